@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam
+from lectern.llm import decontam, exact_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -14,10 +14,12 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_decontamination": decontam.OP1_SQL,
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
