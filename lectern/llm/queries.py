@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup
+from lectern.llm import decontam, exact_dedup, substring_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
@@ -21,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_decontamination": decontam.OP1_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
