@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup, substring_dedup
+from lectern.llm import decontam, exact_dedup, near_dedup, substring_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
