@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup, near_dedup, substring_dedup
+from lectern.llm import decontam, exact_dedup, language_id, near_dedup, substring_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_language_id": language_id.op2_language_id,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
