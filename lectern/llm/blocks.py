@@ -20,9 +20,13 @@ _BYTE_FOLDED[65:91] = _BYTE[97:123]
 _STEP = U(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, dtype=np.uint64)
 
-#: Words are maximal runs of bytes other than space and tab to carriage return.
-SPACE_SEPARATED = np.zeros(256, dtype=bool)
-SPACE_SEPARATED[[32, 9, 10, 11, 12, 13]] = True
+#: Class of each byte; a word is a maximal run of one class, class 0 separates.
+#: Words are runs of bytes other than space and tab to carriage return.
+SPACE_SEPARATED = np.ones(256, dtype=np.uint8)
+SPACE_SEPARATED[[32, 9, 10, 11, 12, 13]] = 0
+#: Letters, digits and all beyond ASCII; runs of other characters are words of their own.
+WORDS_AND_MARKS = np.where(SPACE_SEPARATED, 2, 0).astype(np.uint8)
+WORDS_AND_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def powers(n: int) -> np.ndarray:
@@ -77,16 +81,18 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         lo = hi
 
 
-def word_blocks(column: pa.Array, separators: np.ndarray = SPACE_SEPARATED, fold: bool = False) -> Iterator[Words]:
+def word_blocks(column: pa.Array, classes: np.ndarray = SPACE_SEPARATED, fold: bool = False) -> Iterator[Words]:
     """Words of every text, block by block; ``fold`` hashes A-Z as a-z."""
     table = _BYTE_FOLDED if fold else _BYTE
     for first, data, offsets in text_blocks(column):
         n_texts = len(offsets) - 1
-        inside = ~separators[data]
+        kind = classes[data]
+        inside = kind != 0
         begin, end = inside.copy(), inside.copy()
         if len(data):
-            begin[1:] &= ~inside[:-1]
-            end[:-1] &= ~inside[1:]
+            changes = kind[1:] != kind[:-1]
+            begin[1:] &= changes
+            end[:-1] &= changes
             edges = offsets[:-1][offsets[:-1] < offsets[1:]]
             begin[edges] = inside[edges]
             end[edges[1:] - 1] = inside[edges[1:] - 1]

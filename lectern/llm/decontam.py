@@ -168,6 +168,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WO
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     marked = documents.withColumn("_text_key", key)
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    bad = small_or_shuffled(stored(bad, "decontam-bad"), BROADCAST_ROWS)
     on = marked["doc_id"].eqNullSafe(bad["_bad_id"]) & (marked["_text_key"] == bad["_bad_key"])
     return marked.join(bad, on, "left_anti").drop("_text_key")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup, language_id, near_dedup, substring_dedup
+from lectern.llm import decontam, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -15,15 +15,19 @@ def queries() -> dict:
     return {
         "op1_decontamination": decontam.op1_decontamination,
         "op2_language_id": language_id.op2_language_id,
+        "op3_mixing": mixing.op3_mixing,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_decontamination": decontam.OP1_SQL,
+        "op3_mixing": mixing.OP3_SQL,
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
