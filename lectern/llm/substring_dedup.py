@@ -118,6 +118,7 @@ def _count_bucket(window: int):
     """Sort the windows of a bucket's packed strings and flag those that occur more than once."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["minimiser", "body", "n"])  # rows that repeat doc_id and text
         entries = []
         for i, (packed, n, copies) in enumerate(zip(rows["packed"], rows["n"], rows["copies"], strict=True)):
             entries += [(w, i, k, copies) for k, w in enumerate(_windows(packed, n, window))]
@@ -159,6 +160,7 @@ def repeated_ranges(documents: DataFrame, window: int = WINDOW_WORDS, seed: int
     found = stored(docs.mapInArrow(_superkmer_batches(window, seed), SUPERKMER_SCHEMA), "substring-superkmers")
 
     shared = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("minimiser")
+    shared = stored(shared, "substring-shared")  # so that the join below is one that Spark splits at hot keys
     live = stored(found.join(shared, "minimiser", "left_semi"), "substring-live")
     # One occurrence stands for all equal packed strings. (No struct in min(): that would sort.)
     distinct = live.groupBy("minimiser", "body", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("doc_id", "text_key", "start")).alias("pick"))
@@ -166,7 +168,7 @@ def repeated_ranges(documents: DataFrame, window: int = WINDOW_WORDS, seed: int
     wanted = one.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "minimiser", "body", "copies")).alias("wanted"))
     at = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_key"] == wanted["text_key"])
     packed = docs.join(wanted, at).select("text", "wanted").mapInPandas(_packed(window), "minimiser long, body long, n int, copies long, packed binary")
-    packed = stored(packed.dropDuplicates(["minimiser", "body", "n"]), "substring-packed")
+    packed = stored(packed, "substring-packed")
 
     strings = packed.groupBy("minimiser").agg(F.count(F.lit(1)).alias("s"))
     crowded = small_or_shuffled(stored(strings.filter(F.col("s") > hot).select("minimiser"), "substring-hot"), BROADCAST_ROWS)
@@ -175,7 +177,8 @@ def repeated_ranges(documents: DataFrame, window: int = WINDOW_WORDS, seed: int
     counted = cool.groupBy(F.pmod(F.hash("minimiser"), F.lit(buckets)).alias("bucket")).applyInPandas(
         lambda rows: _count_bucket(window)(rows), "minimiser long, body long, flags long"
     )
-    single = packed.join(crowded, "minimiser", "left_semi").mapInPandas(_explode_windows(window), "minimiser long, body long, k int, copies long, w binary")
+    single = packed.join(crowded, "minimiser", "left_semi").dropDuplicates(["minimiser", "body", "n"])
+    single = single.mapInPandas(_explode_windows(window), "minimiser long, body long, k int, copies long, w binary")
     single = stored(single, "substring-single")
     again = single.groupBy("w").agg(F.sum("copies").alias("c")).filter("c > 1").select("w")
     hot_flags = single.join(again, "w", "left_semi").groupBy("minimiser", "body").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("flags"))
