@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup
+from lectern.llm import decontam, exact_dedup, language_id, mixing, near_dedup, pii, quality, substring_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_pii": pii.op10_pii,
         "pipeline": pipeline,
     }
 
