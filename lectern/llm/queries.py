@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, exact_dedup, language_id, mixing, near_dedup, pii, quality, substring_dedup
+from lectern.llm import decontam, exact_dedup, html_extract, language_id, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 
 
 def pipeline(spark, sf_dir):
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_mixing": mixing.op3_mixing,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_html_extract": html_extract.op5_html_extract,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_pii": pii.op10_pii,
         "pipeline": pipeline,
     }
