@@ -9,9 +9,10 @@ from lectern.functions.domain import bill_id, chamber_of
 
 # Action codes and action texts of passage and enactment.
 PASSED_HOUSE, PASSED_SENATE, ENACTED = ("8000",), ("17000",), ("36000",)
-PASSED_HOUSE_TEXT = r"(?i)\Apassed(?:/agreed to in)? house\b"
-PASSED_SENATE_TEXT = r"(?i)\Apassed(?:/agreed to in)? senate\b"
-ENACTED_TEXT = r"(?i)\Abecame public law\b"
+PASSED_HOUSE_TEXT = r"(?i)\A(?:passed(?:/agreed to)? in house|passed house)\b"
+PASSED_SENATE_TEXT = r"(?i)\A(?:passed(?:/agreed to)? in senate|passed senate)\b"
+ENACTED_TEXT = r"(?i)\Abecame (?:public|private) law\b"
+LAW_NUMBER, LAW_TYPES = r"\A[1-9]\d*-[1-9]\d*\z", ("public law", "private law")
 ACTION = "struct<actionDate:string,actionCode:string,text:string>"
 
 
@@ -45,7 +46,7 @@ def _matching(actions: Column, codes: tuple, pattern: str) -> Column:
 
 def chosen_law(laws: Column, congress: Column) -> Column:
     """The first well-formed law (``congress-number``) of the bill's own congress, else the first; null if none."""
-    good = F.filter(laws, lambda x: F.coalesce(x["number"].rlike(r"\A\d+-\d+\z"), F.lit(False)))
+    good = F.filter(laws, lambda x: F.coalesce(F.trim(x["number"]).rlike(LAW_NUMBER) & F.lower(F.trim(x["type"])).isin(*LAW_TYPES), F.lit(False)))
     own = F.filter(good, lambda x: F.split_part(x["number"], F.lit("-"), F.lit(1)).try_cast("int") == congress)
     return F.coalesce(F.get(own, F.lit(0)), F.get(good, F.lit(0)))
 
