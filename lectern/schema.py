@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TURN = T._parse_datatype_string(
-    "turn_id string, source string, date string, congress int, chamber string, speaker_name string, speaker_id string, "
-    "bioguide string, party string, state string, word_count bigint, is_procedural boolean, text string"
-)
+_S, _L = T.StringType(), T.LongType()
+TURN = T.StructType(
+    [T.StructField(n, t) for n, t in (
+        ("turn_id", _S), ("source", _S), ("date", _S), ("congress", T.IntegerType()), ("chamber", _S), ("speaker_name", _S), ("speaker_id", _S),
+        ("bioguide", _S), ("party", _S), ("state", _S), ("word_count", _L), ("is_procedural", T.BooleanType()), ("text", _S),
+    )]
+)
 MEMBERS = "array<struct<party:string,bioguide:string,name:string,state:string>>"
 
 

@@ -14,14 +14,17 @@ from lectern.operators.dedup import keep_first
 # Field places and the labels of presiding roles.
 DESCRIPTION = {"speech_id": 0, "chamber": 1, "date": 2, "speaker": 4, "state": 7, "word_count": 13}
 SPEAKER_MAP = {"speakerid": 0, "speech_id": 1, "lastname": 2, "firstname": 3, "chamber": 4, "state": 5, "party": 7}
-PRESIDING = r"(?i)\A(the\s+)?(speaker|presiding|president|acting|chief|clerk|chair|vice)"
+PRESIDING = (
+    r"(?i)\A\s*(the\s+)?(vice\s+president|president\s+pro\s+tempore|presiding\s+officer|speaker(\s+pro\s+tempore)?|acting\s+president|"
+    r"chief\s+clerk|the\s+clerk|clerk|chairman|chairwoman|the\s+chair)\b"
+)
 
 
 def read_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
     """(fields, pos, congress) of the lines that are neither blank nor the header; congress from the file name."""
     text = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
     line = F.decode(F.encode(F.regexp_replace("value", r"\r\z", ""), "UTF-8"), "UTF-8")
-    rows = text.select(line.alias("line"), F.monotonically_increasing_id().alias("pos"), F.regexp_extract("_metadata.file_name", r"_(\d+)\.txt", 1).cast("int").alias("congress"))
+    rows = text.select(line.alias("line"), F.monotonically_increasing_id().alias("pos"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("int").alias("congress"))
     return rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header))).select(F.split("line", r"\|", -1).alias("fields"), "pos", "congress")
 
 
