@@ -6,6 +6,8 @@ offsets of all matches come from the lengths of what a pattern splits and extrac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,11 +61,15 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda acc: acc["out"])
 
 
+def token_pattern(words) -> str:
+    """Matches exactly the tokens in ``words``: no letter, digit or joined part before or after."""
+    joined = "|".join(sorted((re.sub(r"([^A-Za-z0-9_’])", r"\\\1", w) for w in words), key=lambda w: (-len(w), w)))
+    return rf"(?<![a-z0-9])(?<![a-z0-9][-'’])(?:{joined})(?![a-z0-9])(?![-'’][a-z0-9])"
+
+
 def token_spans(text: Column, words) -> Column:
     """Spans of the tokens in ``words``."""
-    if not words:
-        return no_spans()
-    return F.filter(match_spans(text, TOKEN), lambda s: _in(cut(text, s), words))
+    return match_spans(text, token_pattern(words)) if words else no_spans()
 
 
 def cut(text: Column, span: Column) -> Column:
