@@ -22,8 +22,8 @@ PRESIDING = (
 
 def read_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
     """(fields, pos, congress) of the lines that are neither blank nor the header; congress from the file name."""
-    text = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
-    line = F.decode(F.encode(F.regexp_replace("value", r"\r\z", ""), "UTF-8"), "UTF-8")
+    text = spark.read.option("lineSep", "\n").text(path)  # the text source keeps bytes as they are
+    line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), r"\r\z", "")
     rows = text.select(line.alias("line"), F.monotonically_increasing_id().alias("pos"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("int").alias("congress"))
     return rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header))).select(F.split("line", r"\|", -1).alias("fields"), "pos", "congress")
 
