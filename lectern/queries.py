@@ -23,6 +23,7 @@ from lectern.operators import dedup as dd
 from lectern.operators import incremental as inc
 from lectern.operators import members as mem
 from lectern.operators import metrics as met
+from lectern.operators import reports as rep
 from lectern.operators import sampling as smp
 from lectern.operators import segments as seg
 from lectern.operators import series as ser
@@ -560,6 +561,45 @@ def month_chunks(spark, sf):
     return cov.month_chunks("2019-11-20", "2020-02-05", spark)
 
 
+@query("corpus_extent", f"""WITH {DAILY_SQL}, {BILLS_SQL} SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS rows, count(DISTINCT bioguide) AS members, (SELECT count(DISTINCT bill_id) FROM bills) AS bills FROM daily""")
+def corpus_extent(spark, sf):
+    return rep.corpus_extent(daily(spark, sf), bills(spark, sf)).drop("congresses")
+
+
+@query("party_findings", f"""WITH {DAILY_SQL}, p AS (SELECT party, sum(words) AS w, sum(profanity_hits) AS a, sum(hostility_hits) AS b, sum(misconduct_hits) AS c FROM daily WHERE chamber IN ('house', 'senate') AND party IN ('D', 'R') GROUP BY party),
+l AS (SELECT m.metric, max(CASE WHEN party = 'D' THEN m.h * 100000.0 / w END) AS d_rate, max(CASE WHEN party = 'R' THEN m.h * 100000.0 / w END) AS r_rate FROM p, unnest([{{'metric': 'profanity', 'h': a}}, {{'metric': 'hostility', 'h': b}}, {{'metric': 'misconduct', 'h': c}}]) t(m) GROUP BY 1)
+SELECT *, CASE WHEN abs(d_rate - r_rate) < 0.05 THEN 'tie' WHEN d_rate > r_rate THEN 'D' ELSE 'R' END AS leader FROM l""")
+def party_findings(spark, sf):
+    return rep.party_findings(daily(spark, sf))
+
+
+@query("signal_correlations", """WITH d AS (SELECT * FROM documents ORDER BY sha256(doc_id::VARCHAR), doc_id LIMIT 500), f AS (SELECT n_chars AS a, length(text) - length(replace(text, 'e', '')) AS b FROM d),
+r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM f) SELECT 'a' AS a, 'b' AS b, round(corr(ra, rb), 9) AS spearman FROM r""")
+def signal_correlations(spark, sf):
+    d = rep.hash_sample(table(spark, sf, "documents"), "doc_id", 500)
+    f = d.select(F.col("n_chars").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("b"))
+    return rep.rank_correlations(f, ["a", "b"]).withColumn("spearman", F.round("spearman", 9))
+
+
+@query("final_labels", f"{PASSES_SQL} SELECT sample_id, CASE WHEN doc_id % 7 = 0 THEN 'no' ELSE profanity END AS profanity, personal_attack, CASE WHEN doc_id % 7 = 0 THEN 'high' ELSE 'low' END AS confidence FROM a")
+def final_labels(spark, sf):
+    a, b = (x.withColumn("confidence", F.lit("low")).withColumn("rationale", F.lit("r")) for x in passes(spark, sf))
+    third = a.filter("sample_id % 7 = 0").withColumn("profanity", F.lit("no")).withColumn("confidence", F.lit("high"))
+    return agr.final_labels(a, b, third, ("profanity", "personal_attack")).drop("rationale")
+
+
+@query("annotation_violations", f"{PASSES_SQL} SELECT sample_id, 'profanity' AS field, 'maybe' AS value FROM a WHERE doc_id % 11 = 0")
+def annotation_violations(spark, sf):
+    a, _ = passes(spark, sf)
+    return agr.vocabulary_violations(a.withColumn("profanity", F.when(F.col("sample_id") % 11 == 0, "maybe").otherwise(F.col("profanity"))))
+
+
+@query("id_differences", f"{PASSES_SQL} SELECT sample_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS only_in FROM a WHERE doc_id % 3 = 0 OR (doc_id % 5 = 0 AND doc_id % 3 <> 0)")
+def id_differences(spark, sf):
+    a, _ = passes(spark, sf)
+    return agr.id_differences(a.filter("sample_id % 5 <> 0 OR sample_id % 3 = 0"), a.filter("sample_id % 3 <> 0"))
+
+
 @query("incremental_totals")
 def incremental_totals(spark, sf):
     """Shard sums merged; equal to the full table (tested)."""
