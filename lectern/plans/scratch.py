@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_root = ""
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _local_root = _local_root or "file://" + tempfile.mkdtemp(prefix="lectern-")
+        root = _local_root
     return root.rstrip("/")
 
 
