@@ -362,6 +362,10 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
             text = text.replace(" ", rng.choice([" | ", "!! ", "*** ", " "])) if rng.random() < 0.6 else " ".join([text.split()[0]] * rng.randint(2, 60))
         return rng.choice([f"<p{noise()}>{text}</p>"] * 6 + [f"<p>{text} <a href='/x'>{words(1, 3)}</a> {words(3, 20)}.</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"])
 
+    def heading() -> str:
+        tag = rng.choice(["h2", "h3", "h3", "h4"])
+        return f"<{tag}>{words(1, 3)}</{tag}>"
+
     def clutter(kind: str) -> str:
         tag = {"nav": ["nav", "nav", "div", "ul"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section"], "form": ["form", "form", "div"]}.get(kind, ["div", "div", "section", "aside", "p"])
         tag = rng.choice(tag)
@@ -370,11 +374,11 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
             "nav": lambda: link_list(),
             "header": lambda: rng.choice([f"<a href='/'>{words(1, 2)}</a>", f"<h1>{words(1, 3)}</h1><p>{words(3, 9)}</p>", link_list(), words(2, 8)]),
             "footer": lambda: rng.choice([f"&copy; {words(1, 2)}.example &middot; {words(4, 14)}.", f"<p>{words(5, 25)}</p>" + link_list(), f"<p>&copy; {words(1, 4)}</p>"]),
-            "aside": lambda: f"<h3>{words(1, 3)}</h3>" + rng.choice([link_list(), paragraph(), f"<p>{words(10, 40)}</p><p>{words(10, 40)}</p>"]),
+            "aside": lambda: heading() + rng.choice([link_list(), paragraph(), f"<p>{words(10, 40)}</p><p>{words(10, 40)}</p>"]),
             "notice": lambda: rng.choice([words(5, 25), f"<p>{words(8, 30)}</p><button>{words(1, 2)}</button>"]),
             "ad": lambda: rng.choice([words(3, 25), f"<a href='/'>{words(3, 9)}</a>", f"<p>{words(5, 25)}</p>"]),
             "form": lambda: f"<label>{words(1, 3)}</label><input name='q'><button>{words(1, 2)}</button>" + rng.choice(["", f"<p>{words(5, 20)}</p>", f"<select><option>{words(1, 2)}<option>{words(1, 2)}</select>"]),
-            "comment": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(rng.choice([f"<div class='comment'><b>{words(1, 2)}</b><p>{words(5, 50)}</p></div>", f"<article class='comment'><p>{words(5, 50)}</p></article>", f"<ol><li><p>{words(5, 40)}</p></li></ol>"]) for _ in range(rng.randint(1, 4))),
+            "comment": lambda: heading() + "".join(rng.choice([f"<div class='comment'><b>{words(1, 2)}</b><p>{words(5, 50)}</p></div>", f"<article class='comment'><p>{words(5, 50)}</p></article>", f"<ol><li><p>{words(5, 40)}</p></li></ol>"]) for _ in range(rng.randint(1, 4))),
             "share": lambda: rng.choice([link_list(), f"<a href='/'>{words(1, 1)}</a> <a href='/'>{words(1, 1)}</a>"]),
         }[kind]()
         return f'<{tag}{attribute} {DATA_CONTENT}="0">{inner}</{tag}>'
@@ -387,6 +391,10 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
             parts.append(paragraph(sizes) if rng.random() < 0.75 else rng.choice(extra))
             if rng.random() < 0.08:
                 parts.append(clutter(rng.choice(["ad", "share", "notice", "aside", "form"])))
+        if rng.random() < 0.25:
+            parts.append(clutter(rng.choice(["comment", "comment", "nav", "footer", "share", "form"])))
+        if rng.random() < 0.3:  # the body in wrappers of its own
+            parts = [parts[0], f'<div{rng.choice(["", noise()])} class="{rng.choice(CONTENT_NAMES)}">', *parts[1:], "</div>"]
         tag, attribute = rng.choice([("article", ""), ("article", ""), ("article", noise()), ("article", f' class="{rng.choice(CONTENT_NAMES)}"'), ("main", ""), ("div", f' class="{rng.choice(CONTENT_NAMES)}"'), ("div", f' id="{rng.choice(CONTENT_NAMES)}"'), ("section", f' class="{rng.choice(CONTENT_NAMES)}"')])
         return f'<{tag}{attribute} {DATA_CONTENT}="1">{"".join(parts)}</{tag}>'
 
