@@ -135,3 +135,15 @@ def content_fingerprint(text: Column, *identity: Column, at_least: int = 500) ->
     """SHA-256 of NUL-joined identity and white-space-normalised text without page marks; '' below the length."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\[\[Page [^\]]*\]\]", " "), r"\s+", " "))
     return F.when(F.length(plain) >= at_least, F.sha2(F.concat_ws("\x00", *identity, plain), 256)).otherwise("")
+
+
+def bill_url(base: str, congress: Column, kind: Column, number: Column) -> Column:
+    """Public page of a bill below ``base``."""
+    chamber = F.when(F.lower(kind) == "s", "senate-bill").otherwise("house-bill")
+    return F.concat(F.lit(base.rstrip("/") + "/"), ordinal(congress), F.lit("-congress/"), chamber, F.lit("/"), number.cast("string"))
+
+
+def newest_stamp(*stamps: Column) -> Column:
+    """The latest of several times as UTC ISO seconds; unparsable ones are passed over (session zone UTC)."""
+    parsed = F.array_max(F.array(*[F.try_to_timestamp(s) for s in stamps]))
+    return F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -58,11 +58,12 @@ def parse_bills(xml: DataFrame) -> DataFrame:
 
 
 def parse_listing(xml: Column) -> Column:
-    """Array of (congress, bill_type, bill_number, url, modified) from a directory listing document."""
-    entry = F.from_xml(xml, "files struct<file:array<struct<name:string,link:string,formattedLastModifiedTime:string>>>")
-    files = F.filter(entry["files"]["file"], lambda f: f["name"].rlike(rf"\A{LISTED}\z"))
+    """Array of (congress, bill_type, bill_number, url, modified) from a directory listing document, in order."""
+    inner = F.regexp_extract(xml, r"(?s)(<files>.*</files>)", 1)
+    files = F.from_xml(inner, "file array<struct<name:string,link:string,formattedLastModifiedTime:string>>", {"rowTag": "files"})["file"]
+    bills = F.filter(F.coalesce(files, F.array().cast("array<struct<name:string,link:string,formattedLastModifiedTime:string>>")), lambda f: f["name"].rlike(rf"\A{LISTED}\z"))
     part = lambda f, i: F.regexp_extract(f["name"], LISTED, i)
-    return F.array_sort(F.transform(files, lambda f: F.struct(
+    return F.array_sort(F.transform(bills, lambda f: F.struct(
         part(f, 1).cast("int").alias("congress"), part(f, 2).alias("bill_type"), part(f, 3).cast("int").alias("bill_number"), f["link"].alias("url"),
         listing_time(f["formattedLastModifiedTime"]).alias("modified"),
     )))

@@ -5,6 +5,11 @@ The files have no quoting and speech text may hold the delimiter, so lines are s
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,43 @@ def read_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
     return rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header))).select(F.split("line", r"\|", -1).alias("fields"), "pos", "congress")
 
 
+LINES_A_BATCH = 10_000
+
+
+def _zip_lines(member: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in sorted(n for n in z.namelist() if member in n.rsplit("/", 1)[-1]):
+                        with z.open(name) as f:
+                            lines, pos = [], 0
+                            for raw in f:
+                                lines.append(raw.rstrip(b"\r\n").decode("latin-1"))
+                                if len(lines) == LINES_A_BATCH:
+                                    yield pa.RecordBatch.from_pydict({"file": [name] * len(lines), "pos": range(pos, pos + len(lines)), "line": lines})
+                                    pos, lines = pos + len(lines), []
+                            if lines:
+                                yield pa.RecordBatch.from_pydict({"file": [name] * len(lines), "pos": range(pos, pos + len(lines)), "line": lines})
+
+    return run
+
+
+def read_zipped_lines(spark: SparkSession, path: str, member: str, header: str) -> DataFrame:
+    """As :func:`read_lines` from archives: the members whose name holds ``member``, streamed line by line."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    rows = files.select("content").mapInArrow(_zip_lines(member), "file string, pos long, line string")
+    kept = rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header)))
+    return kept.select(F.split("line", r"\|", -1).alias("fields"), "pos", F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"(\d+)", 1).cast("int").alias("congress"))
+
+
+def available_congresses(spark: SparkSession, path: str) -> list[int]:
+    """Congress numbers that speech files below ``path`` name; one small row a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "speeches_*.txt").load(path)
+    names = files.select(F.regexp_extract("path", r"speeches_(\d+)\.txt", 1).cast("int").alias("n")).filter("n IS NOT NULL").distinct()
+    return sorted(r["n"] for r in names.collect())
+
+
 def _indexed(lines: DataFrame, places: dict[str, int], at_least: int) -> DataFrame:
     """Named fields of the lines long enough; of one speech the last line counts."""
     rows = lines.filter(F.size("fields") >= at_least)
@@ -36,12 +78,23 @@ def _indexed(lines: DataFrame, places: dict[str, int], at_least: int) -> DataFra
 
 
 def speech_turns(spark: SparkSession, speeches: str, descriptions: str, speaker_map: str, edition: str) -> DataFrame:
-    """Turns of an edition (``bound`` or ``daily``); blank fields fall back from description to speaker map."""
+    """Turns of an edition (``bound`` or ``daily``) from folders or files of its three kinds."""
+    read = lambda path, header: read_lines(spark, path, header)
+    return join_speeches(read(speeches, "speech_id|"), read(descriptions, "speech_id|"), read(speaker_map, "speakerid|"), edition)
+
+
+def zipped_turns(spark: SparkSession, path: str, edition: str) -> DataFrame:
+    """Turns of an edition from ZIP archives that hold its three kinds of files."""
+    read = lambda member, header: read_zipped_lines(spark, path, member, header)
+    return join_speeches(read("speeches_", "speech_id|"), read("descr_", "speech_id|"), read("SpeakerMap", "speakerid|"), edition)
+
+
+def join_speeches(s: DataFrame, descriptions: DataFrame, speaker_map: DataFrame, edition: str) -> DataFrame:
+    """Speeches with their description and speaker; blank fields fall back from description to speaker map."""
     source = f"hein_{edition}"
-    s = read_lines(spark, speeches, "speech_id|")
     s = s.select("congress", "pos", F.get("fields", F.lit(0)).alias("speech_id"), F.array_join(F.slice("fields", 2, F.size("fields")), "|").alias("text"))
-    d = _indexed(read_lines(spark, descriptions, "speech_id|"), DESCRIPTION, 14).alias("d")
-    m = _indexed(read_lines(spark, speaker_map, "speakerid|"), SPEAKER_MAP, 8).alias("m")
+    d = _indexed(descriptions, DESCRIPTION, 14).alias("d")
+    m = _indexed(speaker_map, SPEAKER_MAP, 8).alias("m")
     j = s.alias("s").join(d, ["congress", "speech_id"], "left").join(m, ["congress", "speech_id"], "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     first = lambda *cs: F.coalesce(*[blank_to_null(F.col(c)) for c in cs], F.lit(""))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import zipfile
@@ -121,5 +120,16 @@ def to_do(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(manifest.select("granuleId").distinct(), "granuleId", "left_anti")
 
 
-def unescape(text: str) -> str:
-    return html.unescape(text)
+def granule_metadata(granules: DataFrame) -> DataFrame:
+    """Flat metadata of each granule: sorted distinct member names and ids."""
+    distinct = lambda f: F.array_sort(F.array_distinct(F.filter(F.transform("members", lambda m: m[f]), lambda x: x != "")))
+    return granules.select("granule_id", "granule_class", "chamber", "congress", "date", distinct("name").alias("names"), distinct("bioguide").alias("ids"))
+
+
+def of_class(granules: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    return granules.filter(F.upper("granule_class").isin(*classes))
+
+
+def package_ids(ids: DataFrame, key: str = "package") -> DataFrame:
+    """Ids that have the shape of a daily package."""
+    return ids.filter(F.col(key).rlike(r"\ACREC-\d{4}-\d{2}-\d{2}\z"))

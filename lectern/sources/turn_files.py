@@ -57,3 +57,35 @@ def save_partitions(old: DataFrame | None, new: DataFrame, key: str, path: str)
     rows = new.join(F.broadcast(changed), key, "left_semi").withColumn(f"{key}_key", F.col(key))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"{key}_key").parquet(path)
     return keys
+
+
+def load_partitions(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None if there is none or it is empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return rows if rows.limit(1).count() else None
+
+
+def date_bounds(rows: DataFrame, date: str) -> DataFrame:
+    """First and last date; with Parquet aggregate pushdown on, Spark answers from file footers."""
+    return rows.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
+def publish(turns: DataFrame, read: int, rejected: int, path: str, max_rejected: float = 0.05) -> None:
+    """Replace the congresses that ``turns`` has, unless too many inputs were rejected or nothing came through."""
+    if read and rejected / read > max_rejected:
+        raise ValueError(f"{rejected} of {read} inputs rejected")
+    if not turns.limit(1).count():
+        raise ValueError("no turns to publish")
+    write_turns(turns, path, mode="overwrite")
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotation batches (CSV with header, quoted line breaks) with labels in lower case."""
+    from lectern.operators.agreement import clean_labels
+
+    return clean_labels(spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path))

@@ -170,10 +170,48 @@ def test_bill_xml_of_both_generations(spark, tmp_path, t, n):
 
 
 def test_listing(spark):
-    xml = "<data><files><file><name>BILLSTATUS-118hr12.xml</name><link>u</link><formattedLastModifiedTime>07-Jan-2024 03:04</formattedLastModifiedTime></file><file><name>x.zip</name></file></files></data>"
-    inner = xml[xml.index("<files>") : xml.index("</data>")]
-    got = spark.createDataFrame([(inner,)], "x string").select(F.from_xml("x", "file array<struct<name:string,link:string,formattedLastModifiedTime:string>>", {"rowTag": "files"}).alias("f")).first()
-    assert got["f"]["file"][0]["name"] == "BILLSTATUS-118hr12.xml"
+    xml = "<data><files><file><name>BILLSTATUS-118s2.xml</name><link>v</link><formattedLastModifiedTime>2024-01-01T00:00:00</formattedLastModifiedTime></file><file><name>BILLSTATUS-118hr12.xml</name><link>u</link><formattedLastModifiedTime>07-Jan-2024 03:04</formattedLastModifiedTime></file><file><name>x.zip</name></file></files></data>"
+    got = spark.createDataFrame([(xml,), ("<data/>",)], "x string").select(bill_status.parse_listing(F.col("x")).alias("f")).collect()
+    assert [tuple(f) for f in got[0]["f"]] == [(118, "hr", 12, "u", "2024-01-07T03:04:00"), (118, "s", 2, "v", "2024-01-01T00:00:00")] and got[1]["f"] == []
+
+
+def test_zipped_speeches_equal_plain_ones(spark, tmp_path):
+    files = {"speeches_097.txt": "speech_id|speech\r\n1|caf\xe9 | bar\r\n2|\r\n", "descr_097.txt": "speech_id|h\r\n1|H|19810105|1|Mr. X|||TX||||||7\r\n", "097_SpeakerMap.txt": "speakerid|h\r\n77|2|DOE|JANE|S|NY|F|200|1|v\r\n"}
+    (tmp_path / "z").mkdir()
+    with zipfile.ZipFile(tmp_path / "z" / "a.zip", "w") as z:
+        for name, text in files.items():
+            z.writestr(f"hein-daily/{name}", text.encode("latin-1"))
+            (tmp_path / name).write_bytes(text.encode("latin-1"))
+    a = delimited.zipped_turns(spark, str(tmp_path / "z"), "daily")
+    b = delimited.speech_turns(spark, *(str(tmp_path / n) for n in files), "daily")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 2
+    assert delimited.available_congresses(spark, str(tmp_path)) == [97]
+
+
+def test_publish_guards_and_missing_tables(spark, tmp_path):
+    assert turn_files.load_partitions(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError, match="rejected"):
+        turn_files.publish(frame(spark, [turn(1)]), 10, 5, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no turns"):
+        turn_files.publish(frame(spark, []), 10, 0, str(tmp_path / "t"))
+
+
+def test_scalar_functions(spark):
+    from lectern.functions import domain as dom
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    assert [get(dom.ordinal(F.lit(n))) for n in (1, 2, 3, 11, 112, 113, 121)] == ["1st", "2nd", "3rd", "11th", "112th", "113th", "121st"]
+    assert get(dom.congress_of_year(F.lit(1788))) == 0 and get(dom.congress_of_year(F.lit(2024))) == 118
+    assert get(dom.congress_or_date(F.lit("0"), F.lit("1995-01-03"))) == 104 and get(dom.congress_or_date(F.lit(None), F.lit(""))) == 0
+    assert get(dom.iso_date(F.lit("19950103"))) == "1995-01-03" and get(dom.iso_date(F.lit("x"))) == "x"
+    assert get(dom.without_key(F.lit("http://x/?a=1&api_key=SECRET&b=2"))) == "http://x/?a=1&api_key=***&b=2"
+    assert get(dom.is_newer(F.lit("2024-01-01T05:00:00+05:00"), F.lit("2024-01-01T00:00:00Z"))) is False
+    assert get(dom.is_newer(F.lit("bad"), F.lit("2024"))) is True
+    assert get(dom.passage(F.lit("abcdefghij"), F.lit(9), 4)) == "ghij" and get(dom.passage(F.lit("ab"), F.lit(1), 4)) == "ab"
+    assert get(dom.newest_stamp(F.lit("2024-01-01"), F.lit("bad"), F.lit("2024-03-01T10:00:00"))) == "2024-03-01T10:00:00Z"
+    assert get(dom.bill_url("https://x.example/", F.lit(118), F.lit("HR"), F.lit(5))) == "https://x.example/118th-congress/house-bill/5"
+    assert get(dom.surname(F.lit("Smith, Ann"))) == "SMITH" and get(dom.era_of(F.lit(1945))) == "1901-1945"
 
 
 def test_turn_files_round_trip(spark, tmp_path):
