@@ -115,10 +115,12 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Minima are stored, so that the joins are of two plain exchanges, which Spark splits at hot keys.
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        low = stored(low, f"{name}-low")
         large = both.join(low, both["u"] == low["c"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large, f"{name}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stored(small, f"{name}-small")
