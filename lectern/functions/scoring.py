@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.lexicon import Lexicon, compile_tiers
+from lectern.plans.parallelism import spread
 
 # Names of the other party by the speaker's, exclusion and negation patterns.
 OTHER_PARTY_WORDS = {"D": ("republicans", "gop"), "R": ("democrat", "democrats")}
@@ -91,9 +92,16 @@ class Scorer:
 
         return F.when(party == "D", of("D")).when(party == "R", of("R")).otherwise(tx.merge_spans(idioms))
 
-    def misconduct_spans(self, text: Column) -> Column:
+    def misconduct_spans(self, text: Column, toks: Column | None = None) -> Column:
+        """Accepted misconduct spans. With the text's tokens, texts without any term skip the span work."""
         spans = tx.without_overlaps(tx.lexicon_spans(self.misconduct, text), text, MISCONDUCT_EXCLUSIONS)
-        return tx.unnegated(spans, text, NEGATION, COORDINATION)
+        spans = tx.unnegated(spans, text, NEGATION, COORDINATION)
+        if toks is None:
+            return spans
+        some = tx.count_tokens(toks, self.misconduct.words) > 0
+        if self.misconduct.phrases:
+            some = some | text.rlike(self.misconduct.phrases)
+        return F.when(some, spans).otherwise(tx.no_spans())
 
     def comity(self, text: Column, toks: Column) -> Column:
         return (
@@ -119,6 +127,11 @@ class Scorer:
             "outparty_target": self.outgroup_spans(low, party),
         }
 
+    def words(self) -> frozenset[str]:
+        """Every single word that any lexicon counts, and the party label."""
+        lexicons = [self.courtesy, self.gratitude, self.cooperation, self.hostility, self.misconduct, self.labels, self.idioms, *self.profanity.values()]
+        return frozenset({PARTY_LABEL_WORD}.union(*(x.words for x in lexicons)))
+
     def any_signal(self) -> str:
         """One pattern that every text with a signal matches: a cheap filter before the exact work."""
         lexicons = [self.courtesy, self.gratitude, self.cooperation, self.hostility, self.misconduct, self.idioms, *self.profanity.values()]
@@ -142,20 +155,24 @@ def score_turns(turns: DataFrame, scorer: Scorer, text: str = "text", party: str
     once. ``sentiment`` maps a text column to struct(sentiment, neg_share, n_sentences) and adds those columns.
     """
     base = list(turns.columns)
-    d = turns.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    d = spread(turns).withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     d = d.withColumn("_tok", tx.tokens(F.col("_low"))).withColumn("_ref", scorer.outgroup_spans(F.col("_low"), F.coalesce(party, F.lit("other"))))
-    d = d.withColumn("_win", tx.window_text(F.col("_low"), F.col("_ref"))).withColumn("_ctx", tx.span_contexts(F.col("_low"), F.col("_ref")))
-    d = d.withColumn("_wtok", tx.tokens(F.col("_win")))
+    d = d.withColumn("_win", tx.window_text(F.col("_low"), F.col("_ref")))
+    d = d.withColumn("_ctx", tx.span_contexts(F.col("_low"), F.col("_ref")))
+    # Counting only needs the tokens that some lexicon has: one pass over all tokens, short arrays after it.
+    known = lambda toks: F.filter(toks, lambda t: t.isin(*sorted(scorer.words())))
+    d = d.withColumn("n_words", F.size("_tok")).withColumn("_tok", known(F.col("_tok"))).withColumn("_wtok", known(tx.tokens(F.col("_win"))))
+    d = d.withColumn("_ctx", F.transform("_ctx", lambda c: F.struct(c.alias("c"), known(tx.tokens(c)).alias("t"))))
     low, tok, win, wtok = map(F.col, ("_low", "_tok", "_win", "_wtok"))
     contexts = lambda hit: F.size(F.filter("_ctx", hit))
     mild = F.greatest(F.lit(0), tx.count_hits(scorer.profanity["mild"], low, tok) - F.regexp_count(low, F.lit(MILD_EXCLUSIONS)))
     made = {
-        "n_words": F.size(tok),
+        "n_words": F.col("n_words"),
         "formal_courtesy_hits": tx.count_hits(scorer.courtesy, low, tok),
         "gratitude_praise_hits": tx.count_hits(scorer.gratitude, low, tok),
         "cooperation_hits": tx.count_hits_excluding(scorer.cooperation, low, tok, COOPERATION_EXCLUSIONS),
         "hostility_hits": scorer.attack(low, tok),
-        "misconduct_hits": F.size(scorer.misconduct_spans(low)),
+        "misconduct_hits": F.size(scorer.misconduct_spans(low, tok)),
         "ideological_label_hits": tx.count_hits(scorer.labels, low, tok),
         "profanity_mild": mild,
         "profanity_strong": tx.count_hits(scorer.profanity["strong"], low, tok),
@@ -164,10 +181,10 @@ def score_turns(turns: DataFrame, scorer: Scorer, text: str = "text", party: str
         "democrat_party_pej": F.when(F.array_contains(tok, PARTY_LABEL_WORD), F.regexp_count(low, F.lit(PARTY_LABEL))).otherwise(0),
         "directed_comity_hits": scorer.comity(win, wtok),
         "directed_hostility_hits": scorer.attack(win, wtok),
-        "directed_misconduct_hits": F.size(scorer.misconduct_spans(win)),
-        "outgroup_comity_contexts": contexts(lambda c: scorer.comity(c, tx.tokens(c)) > 0),
-        "outgroup_hostility_contexts": contexts(lambda c: scorer.attack(c, tx.tokens(c)) > 0),
-        "outgroup_misconduct_contexts": contexts(lambda c: F.size(scorer.misconduct_spans(c)) > 0),
+        "directed_misconduct_hits": F.size(scorer.misconduct_spans(win, wtok)),
+        "outgroup_comity_contexts": contexts(lambda x: scorer.comity(x["c"], x["t"]) > 0),
+        "outgroup_hostility_contexts": contexts(lambda x: scorer.attack(x["c"], x["t"]) > 0),
+        "outgroup_misconduct_contexts": contexts(lambda x: F.size(scorer.misconduct_spans(x["c"], x["t"])) > 0),
     }
     d = d.select(*base, *(v.cast("long").alias(k) for k, v in made.items()))
     d = d.withColumn("comity_hits", F.col("formal_courtesy_hits") + F.col("gratitude_praise_hits") + F.col("cooperation_hits"))
