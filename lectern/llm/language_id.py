@@ -57,8 +57,8 @@ def bucket_rows(points: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS)
 def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of lower-cased texts of about ``BLOCK_CHARS``; null counts as empty."""
     first, group, size = 0, [], 0
-    for text in column.to_pylist():
-        group.append((text or "").lower())
+    for k in range(len(column)):  # one at a time: a batch as Python strings would be several times its bytes
+        group.append((column[k].as_py() or "").lower())
         size += len(group[-1])
         if size >= BLOCK_CHARS:
             yield first, group
