@@ -9,11 +9,15 @@ Without given weights the target of a source is its characters to the power ``TE
 rise, large ones fall). With given weights, sources without one are left out. Null is a source of its own.
 A source without characters keeps rate 1. A null doc_id hashes its text instead; rows that repeat a doc_id get
 the same count. An empty input gives an empty result. Columns ``mix_replica`` and ``mix_key`` are added, or
-replaced if the documents have such.
+replaced if the documents have such. No rate is capped: up to ``TABLE_RATE`` the distribution is a table per
+source, above it each document walks the part of the distribution that 52 bits can tell, from a first value
+taken in log space, and copies are made in blocks. ``mix_replica`` is an int, so one document can have 2^31 - 1 copies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,9 @@ from lectern.plans.scratch import stored
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-#: exp(-rate) must stay well above the smallest double.
-MAX_RATE = 500.0
+#: Up to here exp(-rate) stays well above the smallest double, and tables stay short.
+TABLE_RATE = 500.0
+COPY_BLOCK = 10_000
 BROADCAST_ROWS = 100_000
 
 
@@ -45,6 +50,23 @@ def poisson_steps(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["steps"])
 
 
+def poisson_walk(rate: Column, u: Column) -> Column:
+    """Number of values of the distribution function up to ``u``, for rates above TABLE_RATE."""
+    reach = 12 * F.sqrt(rate) + 20
+    first, last = F.floor(rate - reach).cast("long"), F.ceil(rate + reach).cast("long")
+    # ln(rate^k exp(-rate) / k!) with Stirling's series, written so that large terms cancel before they are rounded
+    log_p = first - rate + first * F.log(rate / first) - F.log(2 * math.pi * first) / 2 - 1 / (12.0 * first) + 1 / (360.0 * F.pow(first.cast("double"), F.lit(3.0)))
+    p = F.exp(log_p)
+    start = F.struct(p.alias("p"), p.alias("upto"), (first + F.when(p <= u, 1).otherwise(0)).alias("n"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        upto = acc["upto"] + p
+        return F.struct(p.alias("p"), upto.alias("upto"), (acc["n"] + F.when(upto <= u, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["n"])
+
+
 def repetition_rates(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(source, rate) over all documents."""
     sizes = documents.select(F.col("source").cast("string").alias("source"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
@@ -57,21 +79,24 @@ def repetition_rates(documents: DataFrame, weights: dict[str, float] | None = No
     sizes = stored(sizes.withColumn("target", target), "mixing-sizes")
     whole = sizes.agg(F.sum("size").alias("all_size"), F.sum("target").alias("all_target"))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.col("target") / F.col("all_target") * F.col("all_size") / F.col("size"))
-    checked = F.when(rate > MAX_RATE, F.raise_error(F.concat(F.lit("repetition rate above 500 for source "), F.coalesce("source", F.lit("null"))))).otherwise(rate)
     first = whole.first()
-    return sizes.withColumn("all_size", F.lit(first["all_size"])).withColumn("all_target", F.lit(first["all_target"])).select("source", checked.alias("rate"))
+    return sizes.withColumn("all_size", F.lit(first["all_size"])).withColumn("all_target", F.lit(first["all_target"])).select("source", rate.alias("rate"))
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """Every document as often as its count says, in a global random order."""
     documents = documents.drop("mix_replica", "mix_key")
-    rates = repetition_rates(documents, weights).select(F.col("source").alias("_mix_source"), poisson_steps(F.col("rate")).alias("_mix_steps"))
+    steps = F.when(F.col("rate") <= TABLE_RATE, poisson_steps(F.col("rate")))
+    rates = repetition_rates(documents, weights).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), steps.alias("_mix_steps"))
     rates = small_or_shuffled(stored(rates, "mixing-rates"), BROADCAST_ROWS)
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
     joined = documents.join(rates, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
     counted = joined.withColumn("_mix_name", name).withColumn("_mix_u", uniform(F.col("_mix_name")))
-    copies = F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u")))
-    exploded = counted.withColumn("_mix_n", copies).filter("_mix_n > 0").withColumn("mix_replica", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
+    in_table = F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u"))).cast("long")
+    copies = F.when(F.col("_mix_steps").isNotNull(), in_table).otherwise(poisson_walk(F.col("_mix_rate"), F.col("_mix_u")))
+    blocks = counted.withColumn("_mix_n", copies.cast("int")).filter("_mix_n > 0").withColumn("_mix_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n").cast("long"), F.lit(COPY_BLOCK).cast("long"))))
+    upto = F.least(F.col("_mix_n"), F.col("_mix_from") + (COPY_BLOCK - 1)).cast("int")
+    exploded = blocks.withColumn("mix_replica", F.explode(F.sequence(F.col("_mix_from").cast("int"), upto)))
     keyed = exploded.withColumn("mix_key", F.substring(F.sha2(F.concat_ws(":", "_mix_name", "mix_replica"), 256), 1, 16))
     return keyed.select(*documents.columns, "mix_replica", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 

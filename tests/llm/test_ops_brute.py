@@ -1,5 +1,6 @@
 """Operators against brute force on small tables: what SQL cannot say, or says only for the given tables."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -22,6 +23,29 @@ def test_query_equals_its_sql(spark, sf, name):
     assert oracle.same(queries.queries()[name](spark, sf).toPandas(), sf, queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", [None, "tiny"])
+def test_mixing_keeps_a_tiny_source_beside_a_huge_one(spark, name):
+    rows = [(i, "x" * 1_000_000, "huge") for i in range(4)] + [(10, "y", name)] + [(11 + i, "", name) for i in range(20)] + [(None, None, name)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(frame).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("mix_replica").alias("top"), F.countDistinct("mix_key").alias("keys")).collect()}
+    rate = 1 / (1 + math.sqrt(4e6)) * (4e6 + 1)
+    assert rate > mixing.TABLE_RATE
+    for doc_id, _, source in rows:
+        if source == name:
+            u = int(hashlib.sha256(f"mix-1:{'text:' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            upto, k = 0.0, 0
+            while (upto := upto + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+                k += 1
+            assert (got[doc_id]["n"], got[doc_id]["top"], got[doc_id]["keys"]) == (k, k, k)
+
+
+def test_mixing_makes_copies_in_blocks(spark):
+    frame = spark.createDataFrame([(1, "x" * 500_000, "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    n, low, top, keys = mixing.mix(frame, {"a": 1.0, "b": 0.1}).filter("doc_id = 2").agg(F.count(F.lit(1)), F.min("mix_replica"), F.max("mix_replica"), F.countDistinct("mix_key")).first()
+    rate = 0.1 / 1.1 * 500_001
+    assert n == top == keys and low == 1 and n > 4 * mixing.COPY_BLOCK and abs(n - rate) < 6 * math.sqrt(rate)
+
+
 def words(t):
     return (t or "").encode().lower().split()
 
