@@ -1,7 +1,8 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Base patterns find emails, IP addresses, card and phone numbers. Those seeds induce lexical patterns: the one and
-the two words to the left. Other identifier-like strings are candidates. Patterns and instances (seeds and
+the two words to the left. Words end at white space and after label marks (``account:99`` is ``account:`` and
+``99``); matches and whole texts are cut into the same words, and a word counts once for a kind. Other identifier-like strings are candidates. Patterns and instances (seeds and
 candidates) form a graph; Spark scores it for ``ROUNDS`` rounds: a pattern's confidence for a kind is the
 confident share of all places where its words stand anywhere in the corpus, an instance's is the noisy-or of
 its patterns. Candidates that follow a pattern of at least ``MIN_CONFIDENCE`` become spans of its kind.
@@ -24,8 +25,10 @@ ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 BROADCAST_ROWS = 200_000
-#: Characters before a match that can hold its two words of context.
-CONTEXT_CHARS = 100
+#: A run of letters, digits and the marks inside identifiers with what follows it, or such other marks alone.
+WORD = r"[\p{L}\p{M}\p{N}._%+@/\x01-]++[^\s\p{L}\p{M}\p{N}._%+@/\x01-]*+|[^\s\p{L}\p{M}\p{N}._%+@/\x01-]++"
+#: Stands before each match while the words are cut.
+MARK = "\x01"
 
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -37,8 +40,12 @@ PATTERNS = {
     # as it is
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Strings without white space, brackets or quotes that have four digits or more, from the start of a run.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@/:#-])(?=[A-Za-z._%+@/:#-]*[0-9])[A-Za-z0-9][A-Za-z0-9._%+@/:#-]{4,63}(?<=[A-Za-z0-9])(?![A-Za-z0-9._%+@/:#-]{2})"
+#: Labels, then the string: without white space, brackets or quotes, from the start of a run or behind its labels, to
+#: the last letter or digit of the run. Groups of hexadecimal digits are no labels.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%+@/:#-])(?=[A-Za-z._%+@/:#-]*+[0-9])((?:(?!(?:[0-9A-Fa-f]{1,4}:){2})[A-Za-z][A-Za-z._-]*+[:#](?=[A-Za-z0-9]))*+)"
+    r"([A-Za-z0-9][A-Za-z0-9._%+@/:#-]{3,}[A-Za-z0-9])"
+)
 
 
 def _digits(value: Column) -> Column:
@@ -69,10 +76,45 @@ def holds(kind: Column, value: Column) -> Column:
     )
 
 
+def _normal(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), "[0-9]", "0")
+
+
+def words(text: Column) -> Column:
+    """The words of a text, lower-cased and with 0 for every digit."""
+    return F.regexp_extract_all(_normal(text), F.lit(WORD), F.lit(0))
+
+
+def _lefts(text: Column, pattern: str) -> Column:
+    """For each match the place of the word that it starts in, and its contexts: the word before and the two words before."""
+    clean = lambda w: F.translate(w, MARK, "")
+    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), pattern, f"$1{MARK}$2")
+
+    def left(w: Column, i: Column) -> Column:
+        one = clean(F.get(w, i - 1))
+        two = F.concat(clean(F.get(w, i - 2)), F.lit(" "), one)
+        return F.filter(F.array(one, two), lambda x: x.isNotNull())
+
+    def lefts(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.contains(F.get(w, i), F.lit(MARK)))
+        count = lambda x: F.length(x) - F.length(clean(x))
+        return F.flatten(F.transform(starts, lambda i: F.array_repeat(F.struct(i.alias("word"), left(w, i).alias("left")), count(F.get(w, i)))))
+
+    return F.element_at(F.transform(F.array(words(marked)), lefts), 1)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (length of what stands between, its last characters, match); the last match is null."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.right(b, F.lit(CONTEXT_CHARS)).alias("tail"), m.alias("value")))
+    """Array of (length of what stands between, match, its word, its contexts); the last match is null.
+
+    Group 2 of the pattern is the match, group 1 the labels before it.
+    """
+    all_of = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    found = F.zip_with(F.zip_with(all_of(1), all_of(2), lambda b, m: F.struct(F.length(b).alias("label"), m.alias("value"))), _lefts(text, pattern), lambda m, x: F.struct(m["label"].alias("label"), m["value"].alias("value"), x["word"].alias("word"), x["left"].alias("left")))
+    parts = F.zip_with(
+        F.split(text, pattern, -1), found,
+        lambda b, m: F.struct((F.length(b) + F.coalesce(m["label"], F.lit(0))).alias("gap"), m["value"].alias("value"), m["word"].alias("word"), m["left"].alias("left")),
+    )
+    return F.when(text.rlike(pattern), parts)
 
 
 def find_strings(documents: DataFrame) -> DataFrame:
@@ -81,21 +123,24 @@ def find_strings(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"))
     digit = F.col("t").rlike("[0-9]")
     needs = {"email": F.contains("t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("t", F.lit("+")), "": digit}
-    nothing = F.array().cast("array<struct<gap:int,tail:string,value:string>>")
+    nothing = F.array().cast("array<struct<gap:int,value:string,word:int,left:array<string>>>")
     finds = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.when(need, _matches(F.col("t"), PATTERNS.get(k, CANDIDATE))).otherwise(nothing).alias("parts"))
+        F.struct(F.lit(k).alias("kind"), F.coalesce(F.when(need, _matches(F.col("t"), f"()({PATTERNS[k]})" if k else CANDIDATE)), nothing).alias("parts"))
         for k, need in needs.items()
     ])
     return stored(docs.select("row", "doc_id", F.filter(finds, lambda f: F.size(f["parts"]) > 1).alias("finds")), "pii-finds")
 
 
 def positioned(found: DataFrame) -> DataFrame:
-    """(row, kind, start, end, value, left): base matches that hold, and candidates (kind '') clear of them."""
+    """(row, kind, start, end, value, left): base matches that hold, and candidates (kind '') clear of them.
+
+    ``left`` has the contexts of the first match of a kind in a word and is empty for others in that word.
+    """
     one = found.select("row", F.explode("finds").alias("f")).select("row", F.col("f.kind").alias("kind"), F.posexplode("f.parts").alias("i", "p"))
-    one = one.select("row", "kind", "i", F.col("p.gap").alias("gap"), F.col("p.tail").alias("tail"), F.col("p.value").alias("value")).filter("value IS NOT NULL")
+    one = one.select("row", "kind", "i", F.col("p.gap").alias("gap"), F.col("p.value").alias("value"), F.col("p.word").alias("word"), F.col("p.left").alias("left")).filter("value IS NOT NULL")
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(upto)
-    placed = one.select("row", "kind", (end - F.length("value")).cast("long").alias("start"), end.cast("long").alias("end"), "value", F.col("tail").alias("left"))
+    placed = one.select("row", "kind", (end - F.length("value")).cast("long").alias("start"), end.cast("long").alias("end"), "value", "word", "left")
     is_base = F.col("kind") != ""
     enough = F.length(_digits(F.col("value"))) >= 4
     placed = placed.filter(F.when(is_base, holds(F.col("kind"), F.col("value"))).otherwise(enough))
@@ -104,26 +149,17 @@ def positioned(found: DataFrame) -> DataFrame:
     later = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     marked = placed.withColumn("earlier", earlier).withColumn("later", later)
     clear = (F.coalesce(F.col("earlier"), F.lit(-1)) <= F.col("start")) & (F.col("later").isNull() | (F.col("later") >= F.col("end")))
-    return stored(marked.filter(is_base | clear).drop("earlier", "later"), "pii-positions")
-
-
-def _normal(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), "[0-9]", "0")
-
-
-def contexts(left: Column) -> Column:
-    """Patterns of a place: its last word and its last two words; none at the start of a text."""
-    words = F.array_remove(F.split(_normal(left), r"\s+"), "")
-    one, two = F.element_at(words, -1), F.array_join(F.slice(words, -2, 2), " ")
-    return F.when(F.size(words) >= 2, F.array(one, two)).when(F.size(words) == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
+    clear_places = marked.filter(is_base | clear).drop("earlier", "later")
+    first = F.row_number().over(Window.partitionBy("row", "kind", "word").orderBy("start")) == 1
+    left = F.when(F.col("first"), F.col("left")).otherwise(F.array().cast("array<string>"))
+    return stored(clear_places.withColumn("first", first).withColumn("left", left).drop("first", "word"), "pii-positions")
 
 
 def pattern_totals(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often the words of each pattern stand in the whole corpus."""
     wanted = patterns.select("pattern", F.element_at(F.split("pattern", " "), -1).alias("word"), F.when(F.contains("pattern", F.lit(" ")), F.split_part("pattern", F.lit(" "), F.lit(1))).alias("before"))
     wanted = small_or_shuffled(stored(wanted, "pii-wanted"), BROADCAST_ROWS)
-    words = F.array_remove(F.split(_normal(F.coalesce("text", F.lit(""))), r"\s+"), "").alias("w")
-    placed = documents.select(words).select("w", F.posexplode("w").alias("i", "word"))
+    placed = documents.select(words(F.coalesce("text", F.lit(""))).alias("w")).select("w", F.posexplode("w").alias("i", "word"))
     fits = F.col("before").isNull() | (F.get("w", F.col("i") - 1) == F.col("before"))
     return placed.join(wanted, "word").filter(fits).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
@@ -131,7 +167,7 @@ def pattern_totals(documents: DataFrame, patterns: DataFrame) -> DataFrame:
 def confident_patterns(documents: DataFrame, places: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
     """(pattern, kind, confidence) after ``rounds`` rounds over the pattern-instance graph."""
     value = _normal_value(F.col("value"))
-    edges = places.select(F.explode(contexts(F.col("left"))).alias("pattern"), value.alias("value")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
+    edges = places.select(F.explode("left").alias("pattern"), value.alias("value")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
     edges = stored(edges, "pii-edges")
     supported = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") >= min_support).select("pattern")
     totals = stored(pattern_totals(documents, supported), "pii-totals")
@@ -139,7 +175,7 @@ def confident_patterns(documents: DataFrame, places: DataFrame, rounds: int = RO
     seeds = stored(places.filter("kind <> ''").select(value.alias("value"), "kind").distinct().withColumn("belief", F.lit(1.0)), "pii-seeds")
     beliefs, scored = seeds, None
     for _ in range(rounds):
-        scored = edges.join(beliefs, "value").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("confidence"))
+        scored = edges.join(beliefs, "value").groupBy("pattern", "kind").agg(F.least(F.sum(F.col("n") * F.col("belief")) / F.max("total"), F.lit(1.0)).alias("confidence"))
         scored = stored(scored, "pii-patterns")
         spread = edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         spread = spread.join(seeds.select("value").distinct(), "value", "left_anti")
@@ -154,7 +190,7 @@ def _normal_value(value: Column) -> Column:
 def discovered(places: DataFrame, patterns: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(row, kind, start, end) of candidates behind a confident pattern; the most confident one names the kind."""
     sure = small_or_shuffled(stored(patterns.filter(F.col("confidence") >= min_confidence), "pii-sure"), BROADCAST_ROWS)
-    new = places.filter("kind = ''").select("row", "start", "end", F.explode(contexts(F.col("left"))).alias("pattern"))
+    new = places.filter("kind = ''").select("row", "start", "end", F.explode("left").alias("pattern"))
     best = F.max(F.struct("confidence", "kind")).alias("best")
     return new.join(sure, "pattern").groupBy("row", "start", "end").agg(best).select("row", F.col("best.kind").alias("kind"), "start", "end")
 

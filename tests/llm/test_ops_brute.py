@@ -255,6 +255,36 @@ def test_pii_base_spans_and_bootstrapping(spark):
     assert [len(got[i]["added"]) for i in range(len(texts))] == [0] * (len(TRICKY) + 6) + [1] * 3 + [0]
 
 
+def added_values(spark, texts):
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert sorted((s["start"], s["k"], s["end"]) for s in got[i]["base"]) == py_base(t)
+    return [[t[s["start"] : s["end"]] for s in sorted(got[i]["added"], key=lambda s: s["start"])] for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("label", ["account:", "id=", "Ticket#", "key='", "(", "account: ", "see:\n"])
+def test_pii_finds_identifiers_that_touch_their_label(spark, label):
+    long = "9-" * 60 + "77"
+    texts = [f"word{i} and {label}user{i}@mail.example.com" for i in range(12)] + [f"foo {label}99-77-4021 bar", f"{label}{long}...", "plain 12345678 x", "x " + "é" * 200 + f" {label}" + " " * 150 * label[-1].isspace() + "55-66-7788"]
+    assert added_values(spark, texts)[12:] == [["99-77-4021"], [long], [], ["55-66-7788"]]
+
+
+def test_pii_contexts_in_lists_reach_over_earlier_matches(spark):
+    texts = [f"Staff: user{i}@mail.example.com or user{i}x@mail.example.com" for i in range(12)] + ["Staff: 11-22-3333 or 44-55-6666"]
+    places = pii.positioned(pii.find_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    lefts = [r["left"] for r in places.filter("kind = ''").orderBy("start").collect()]
+    assert lefts == [["staff:"], ["or", "00-00-0000 or"]]
+    assert added_values(spark, texts)[12] == ["11-22-3333", "44-55-6666"]
+
+
+def test_pii_confidence_counts_every_place_of_a_label(spark):
+    texts = [f"card: id={i} and id=user{i}@mail.example.com" for i in range(9)] + ["id=99-77-4021"]
+    assert added_values(spark, texts)[9] == []
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {(r["pattern"], r["kind"]): r["confidence"] for r in pii.confident_patterns(frame, pii.positioned(pii.find_strings(frame))).collect()}
+    assert rows["and id=", "email"] == 1.0 and 9 / 19 <= rows["id=", "email"] <= 10 / 19
+
+
 def test_pii_on_given_documents(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in pii.personal_data(spark.read.parquet(f"{sf}/documents.parquet")).collect():
