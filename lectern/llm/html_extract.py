@@ -48,7 +48,8 @@ CLOSES = {
 ENDS_P = BLOCK - {"html", "head", "body", "title", "button", "label", "option", "select", "textarea", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 P_BORDER = frozenset("td th table button article section div body aside nav header footer main li blockquote form".split())
 SECTIONING = frozenset("main article section header footer nav aside form dialog menu".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Quotes count only right after ``=``; a quoted value without an end, or with text right behind it, ends at the next ``>``.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*+\"(?=[\s/>]|\Z)|=\s*+'[^']*+'(?=[\s/>]|\Z)|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 

@@ -187,6 +187,21 @@ def test_tree_marginals_equal_enumeration():
     assert np.allclose(joint[1:n].sum(axis=(1, 2)), 1)
 
 
+@pytest.mark.parametrize(
+    "source,blocks",
+    [
+        ("<p title=it's>Hello world</p><p>don't stop</p>", ["Hello world", "don't stop"]),
+        ("<p title='a > b' class=\"x>y\">one</p>", ["one"]),
+        ("<p class=\"a>one</p><p class=\"b\">two</p>", ["one", "two"]),
+        ("<p " + "x" * 20_000 + "'>one</p>", ["one"]),
+        ("<p title=\"" + "y" * 20_000 + ">one</p>", ["one"]),
+        ("<p" + " a=" * 20_000 + "\">one</p>", ["one"]),
+    ],
+)
+def test_html_tags_with_odd_quotes_keep_the_text(source, blocks):
+    assert [text for _, text in html_extract.parse(source).blocks] == blocks
+
+
 def test_html_on_given_pages(spark, sf):
     import html as h
 
