@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -11,6 +12,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions.domain import blank_to_null, congress_or_date, content_fingerprint
 from lectern.operators.dedup import drop_repeated_content, prefer_unflagged
@@ -22,13 +24,18 @@ GRANULE = f"package string, granule_id string, congress int, granule_class strin
 PACKAGE_DATE = re.compile(r"(\d{4}-\d{2}-\d{2})")
 
 
+@F.arrow_udf(StringType())
+def decoded(text: pa.Array) -> pa.Array:
+    """All numeric and named references decoded once."""
+    return pa.array([x if x is None or "&" not in x else html.unescape(x) for x in text.to_pylist()], pa.string())
+
+
 def html_text(source: Column) -> Column:
     """Text of the ``pre`` part, or of all: tags out, references decoded, line ends trimmed, blank lines capped at one."""
     pre = F.regexp_extract(source, r"(?is)<pre[^>]*>(.*?)</pre>", 1)
     body = F.when(pre != "", pre).otherwise(F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""))
     plain = F.regexp_replace(body, r"(?s)<[^>]*>", "")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(value))
+    plain = decoded(plain)
     lines = F.regexp_replace(F.regexp_replace(plain, r"(?md)[ \t\r]+$", ""), r"\n{3,}", "\n\n")
     return F.concat(F.regexp_replace(lines, r"\A\s+|\s+\z", ""), F.lit("\n"))
 

@@ -260,5 +260,13 @@ def test_stream_recomputes_touched_days(spark, tmp_path):
     assert got == {"2017-01-03": 2, "2017-01-04": 1}
 
 
+def test_html_text_decodes_all_references(spark):
+    import html
+
+    pages = ["It&#8217;s caf&#233; &#x2014; &eacute;t&eacute;&mdash;&hellip; &copy; &middot;", "&amp;lt; &amp;#233; &lt;b&gt; &quot;x&quot; &#39;&apos;", "no references", "R&D & AT&T &unknown; &#x1D54F;", "x&nbsp;y&#160;z"]
+    rows = spark.createDataFrame([*((i, f"<pre>{p}</pre>") for i, p in enumerate(pages)), (len(pages), None)], "i int, h string").select("i", packages.html_text(F.col("h")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == [*(html.unescape(p) + "\n" for p in pages), None]
+
+
 def test_zip_helper_is_real():
     assert zipfile.is_zipfile(io.BytesIO(b"PK\x05\x06" + b"\0" * 18))
