@@ -1,8 +1,8 @@
 """Turns as a stream: score as they arrive, recompute the member-days they touch.
 
-The reference behaviour is batch: append, look-back repair, idempotent upsert. So the stream keeps turns
-deduplicated by id within a watermark and each micro-batch replaces the days it touches, from the whole turn
-table, which makes replays and late turns harmless.
+The reference behaviour is batch: append, look-back repair, idempotent upsert. So each micro-batch replaces the
+days it touches, from the whole turn table with each id once, which makes replays and turns of any age harmless
+and needs no streaming state.
 """
 
 from __future__ import annotations
@@ -19,12 +19,6 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(TURN).option("recursiveFileLookup", "true").parquet(path)
 
 
-def unique_turns(turns: DataFrame, late: str = "30 days") -> DataFrame:
-    """First arrival of each turn id, remembered for ``late`` in event time."""
-    timed = turns.withColumn("day", F.try_to_timestamp("date")).filter("day IS NOT NULL")
-    return timed.withWatermark("day", late).dropDuplicatesWithinWatermark(["turn_id"]).drop("day")
-
-
 def recompute_days(batch: DataFrame, all_turns: DataFrame, scorer: Scorer) -> DataFrame:
     """Member-days, over all known turns, of the days that ``batch`` has."""
     days = attributed(batch).select("date").distinct()
@@ -40,5 +34,5 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str, scorer: Sco
         days = recompute_days(batch, turns, scorer).withColumn("day_key", F.col("date"))
         days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day_key").parquet(out)
 
-    writer = unique_turns(read_stream(spark, path)).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = read_stream(spark, path).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()

@@ -260,6 +260,17 @@ def test_stream_recomputes_touched_days(spark, tmp_path):
     assert got == {"2017-01-03": 2, "2017-01-04": 1}
 
 
+def test_stream_takes_old_files_after_new_ones(spark, tmp_path):
+    from lectern.streaming import turn_stream
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([turn(1)], [turn(2, date="2017-01-04")], [turn(3, date="1995-03-01"), turn(4, date="1995-03-01")]):
+        frame(spark, part).write.mode("append").parquet(src)
+        turn_stream.start(spark, src, out, str(tmp_path / "ck"), SCORER).awaitTermination()
+    got = {r["date"]: r["turns"] for r in spark.read.parquet(out).collect()}
+    assert got == {"2017-01-03": 1, "2017-01-04": 1, "1995-03-01": 2}
+
+
 def test_html_text_decodes_all_references(spark):
     import html
 
