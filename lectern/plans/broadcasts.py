@@ -1,15 +1,31 @@
-"""Broadcast a join side only after its rows have been counted."""
+"""Broadcast a join side only after its rows and bytes have been counted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of values that one broadcast side may have.
+MAX_BYTES = 64 << 20
 
-def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else ``df`` as it is.
+
+def _width(field: T.StructField):
+    """Bytes of a value: 8 for numbers, the text's bytes for all else."""
+    fixed = isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+    value = F.col(f"`{field.name}`")
+    if fixed:
+        return F.lit(8)
+    flat = value if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(value))
+    return F.coalesce(F.octet_length(flat), F.lit(0)) + 8
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` in all, else ``df`` as it is.
 
     Without the hint Spark plans a shuffle join, which adaptive execution splits where a key is hot.
-    The count stops after ``max_rows + 1`` rows.
+    Give it stored tables: what is not stored is computed once to be counted and again in the join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    width = sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
