@@ -2,18 +2,21 @@
 
 Each of ``permutations`` hash permutations of a document's 3-word shingles gives two signature values, its
 minimum and its maximum, so half the hash evaluations fill the signature. Bands of ``rows`` values deal
-documents into bands' buckets; documents that share a bucket, directly or through others, are a family.
+documents into buckets. Documents that share a bucket are candidates; all of a bucket belong to the
+neighbourhood of its smallest document, so neighbourhoods cover every candidate pair and many buckets of one
+group of copies are one neighbourhood.
 
-All links inside a family are confirmed on the full shingle sets, as words, never on signatures. A family of
-at most ``chunk`` texts is confirmed whole, in one task. A larger one is cut into chunks; each chunk
-also holds the family's ``LEADERS`` best connected texts, which ties near copies together at linear cost. Then
-every text outside the family's largest component meets, chunk by chunk, all texts that are not in its
-component. So each pair of a family is either in one component or compared; no pair rows are made, and tasks
-return a spanning forest of the links they confirmed.
+Links are confirmed on the full shingle sets, as words, never on signatures. A neighbourhood of at most
+``chunk`` texts is confirmed whole, in one task. A larger one is dealt into chunks; each chunk also holds the
+``LEADERS`` texts that share most buckets, which ties near copies together at linear cost. Then every text
+outside the neighbourhood's largest component meets, block by block, all texts that are not in its component.
+So each candidate pair is either in one component or compared; no pair rows are made, and tasks return a
+spanning forest of the links they confirmed.
 
 Equal word sequences are one text, represented by their smallest doc_id. Texts without words link with
 nothing and are their own component. Rows that share a doc_id are one document and one component. Rows with a
-null doc_id have the component of their equal texts, null if those have none. Other columns are ignored.
+null doc_id have the component of their equal texts, null if those have none. doc_ids must be whole numbers, or
+strings of such. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ PERMUTATIONS = 36
 BAND_ROWS = 4
 CHUNK_TEXTS = 400
 LEADERS = 8
+#: Shingles that one chunk is planned to hold, whatever its number of texts.
+CHUNK_SHINGLES = 4_000_000
 BROADCAST_ROWS = 200_000
 
 SIGNATURE_SCHEMA = "doc_id long, sequence binary, n_shingles long, bands array<long>"
@@ -108,28 +113,36 @@ def _signature_batches(n: int, permutations: int, rows: int):
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node of each component of (a, b). Edges must not be null.
 
-    Alternates large-star and small-star steps on stored edge tables until nothing changes; every node only
-    ever meets its own neighbours in an aggregation, so hubs combine on the map side.
+    Each round points every node at its first neighbour in some order, follows two such hops, and contracts the
+    edges to the nodes reached; it ends when no edge is left. The order is that of the nodes at first, which
+    contracts stars around their smallest node at once, and a hashed one later, so that long chains shrink by a
+    constant factor each round. Neighbours meet only in aggregations, so hubs combine on the map side.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-edges")
-    seen = None
+    labels, rounds = None, 0
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are stored, so that the joins are of two plain exchanges, which Spark splits at hot keys.
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        low = stored(low, f"{name}-low")
-        large = both.join(low, both["u"] == low["c"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, f"{name}-large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
-        small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = stored(small, f"{name}-small")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        order = (lambda c: F.col(c)) if rounds == 0 else (lambda c: F.xxhash64(F.col(c), F.lit(rounds)))  # noqa: B023
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("p", order("v"))
+        low = both.groupBy("u").agg(F.min_by("v", "p").alias("m"))
+        low = stored(low.select("u", F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("m")), f"{name}-low")
+        hop = small_or_shuffled(low, BROADCAST_ROWS)
+        one, two = hop.select(F.col("u").alias("m"), F.col("m").alias("m1")), hop.select(F.col("u").alias("m1"), F.col("m").alias("root"))
+        reached = stored(low.join(one, "m").join(two, "m1").select("u", "root"), f"{name}-reached")
+        to = small_or_shuffled(reached, BROADCAST_ROWS)
+        over = e.join(to, "u").select("v", F.col("root").alias("ru")).join(to.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v")
+        e = stored(over.filter("ru <> rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct(), f"{name}-edges")
+        if labels is None:
+            labels = reached.select(F.col("u").alias("node"), F.col("root").alias("component"))
+        else:
+            labels = labels.join(to.select(F.col("u").alias("component"), "root"), "component", "left")
+            labels = stored(labels.select("node", F.coalesce("root", "component").alias("component")), f"{name}-labels")
+        rounds += 1
+        if e.isEmpty():
             break
-        seen = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    if rounds == 1:  # every node hopped to a smaller one
+        return labels
+    smallest = small_or_shuffled(stored(labels.groupBy("component").agg(F.min("node").alias("least")), f"{name}-least"), BROADCAST_ROWS)
+    return stored(labels.join(smallest, "component").select("node", F.col("least").alias("component")), f"{name}-labels")
 
 
 class _Forest:
@@ -201,7 +214,7 @@ def _confirm_bin(n: int, percent: int):
         out = []
         for _, group in rows.sort_values("node").groupby("grp", sort=False):
             nodes = group["node"].tolist()
-            roots, _ = confirm(group["text"].tolist(), group["component"].tolist(), n, percent)
+            roots, _ = confirm(group["text"].tolist(), nodes, n, percent)
             out += [(nodes[i], nodes[r]) for i, r in enumerate(roots) if nodes[i] != nodes[r]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -220,40 +233,66 @@ def _confirm_rest(n: int, percent: int):
     return run
 
 
-def _links(texts: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
-    """(a, b): edges that connect exactly the linked texts. ``texts``: family, size, place, node, text."""
-    small, large = texts.filter(F.col("size") <= chunk), texts.filter(F.col("size") > chunk)
-    bins = F.lit(max(1, small.count() // (2 * chunk)) * 4)
-    whole = small.select("node", "text", F.col("family").alias("grp"), F.pmod(F.hash("family"), bins).alias("bin"))
-    chunks = F.ceil((F.col("size") - LEADERS) / (chunk - LEADERS)).cast("int")
-    mine = F.when(F.col("place") <= LEADERS, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.floor((F.col("place") - LEADERS - 1) / (chunk - LEADERS)).cast("int")))
-    cut = large.select("node", "text", "family", F.explode(mine).alias("c"))
-    cut = cut.select("node", "text", F.xxhash64("family", "c").alias("grp")).withColumn("bin", F.col("grp"))
-    groups = whole.select("node", "text", "grp", F.col("bin").cast("long")).unionByName(cut).withColumn("component", F.monotonically_increasing_id())
-    stars = stored(groups.groupBy("bin").applyInPandas(_confirm_bin(n, percent), "a long, b long"), "near-stars")
-    if not large.limit(1).count():
-        return stars
-
-    # Large families: each text outside the largest component meets all texts of its family.
-    owners = large.select("node", "family").distinct()
-    component = connected(stars.join(owners.select(F.col("node").alias("a")), "a", "left_semi"), "near-large")
-    owners = stored(
-        owners.join(component, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "near-owners"
-    )
-    sizes = owners.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    half = chunk // 2
-    by_node = Window.partitionBy("family").orderBy("node")
-    placed = owners.join(main, "family").withColumn("out", F.col("component") != F.col("main"))
-    placed = placed.withColumn("j", F.floor((F.row_number().over(by_node) - 1) / half).cast("int"))
-    placed = placed.withColumn("i", F.floor((F.sum(F.col("out").cast("int")).over(by_node.rowsBetween(Window.unboundedPreceding, 0)) - 1) / half).cast("int"))
-    ends = placed.groupBy("family").agg(F.max("j").alias("last_j"), F.max(F.when(F.col("out"), F.col("i"))).alias("last_i"))
-    placed = stored(placed.join(ends.filter("last_i IS NOT NULL"), "family"), "near-rest")
-    across = placed.select("node", "component", "family", "j", F.explode(F.sequence(F.lit(0), "last_i")).alias("i"))
-    down = placed.filter("out").select("node", "component", "family", F.explode(F.sequence(F.lit(0), "last_j")).alias("j"), "i")
-    pairs = across.unionByName(down).select("node", "component", F.xxhash64("family", "i", "j").alias("grp"))
-    rest = pairs.join(large.select("node", "text"), "node").groupBy("grp").applyInPandas(_confirm_rest(n, percent), "a long, b long")
-    return stars.unionByName(stored(rest, "near-rest-links"))
+def _neighbourhoods(texts: DataFrame, chunk: int) -> DataFrame:
+    """(first, node, shared, parts, half): the texts that meet ``first`` in a bucket whose smallest node it is.
+
+    ``parts`` chunks hold a neighbourhood's texts, one if it is small; ``half`` is the number of half chunks.
+    """
+    members = texts.filter("node IS NOT NULL").select("node", F.size("bands").alias("any"), "n_shingles", F.posexplode("bands").alias("b", "key"))
+    members = members.select("node", "n_shingles", F.xxhash64("b", "key").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "first")
+    buckets = small_or_shuffled(stored(buckets, "near-buckets"), BROADCAST_ROWS)
+    met = members.join(buckets, "band").groupBy("first", "node").agg(F.count(F.lit(1)).alias("shared"), F.min("n_shingles").alias("n_shingles"))
+    met = stored(met, "near-met")
+    size = met.groupBy("first").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"))
+    parts = lambda c: F.greatest(F.ceil(F.col("size") / c), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    size = size.select("first", F.when((F.col("size") <= chunk) & (F.col("weight") <= CHUNK_SHINGLES), 1).otherwise(parts(chunk - LEADERS)).alias("parts"), parts(chunk // 2).alias("half"))
+    size = small_or_shuffled(stored(size, "near-sizes"), BROADCAST_ROWS)
+    return stored(met.join(size, "first").select("first", "node", "shared", "parts", "half"), "near-neighbourhoods")
+
+
+def _grouped(met: DataFrame) -> DataFrame:
+    """(node, grp, split): the chunks of each neighbourhood; its leaders are in each chunk."""
+    place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    best = Window.partitionBy("first").orderBy(F.desc("shared"), "node")
+    leaders = met.filter("parts > 1").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("first", "node", "parts")
+    split = (F.col("parts") > 1).alias("split")
+    rows = met.select("first", "node", split, place.alias("c")).unionByName(leaders.select("first", "node", split, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c")))
+    return rows.select("node", F.xxhash64("first", "c").alias("grp"), "split").distinct()
+
+
+def _confirmed(docs: DataFrame, groups: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
+    """(a, b): stars of what is linked inside each group. Small groups share bins; a chunk of a split one has its own."""
+    groups = stored(groups, "near-groups")
+    bins = max(1, groups.count() // chunk) * 4
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(small_or_shuffled(groups, BROADCAST_ROWS), "node")
+    binned = rows.select("node", "text", "grp", F.when(F.col("split"), F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins))).alias("bin"))
+    return stored(binned.groupBy("bin").applyInPandas(_confirm_bin(n, percent), "a long, b long"), "near-stars")
+
+
+def _rest_links(docs: DataFrame, met: DataFrame, component: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """(a, b): links that the chunks of split neighbourhoods could not see; None if there is nothing to compare.
+
+    Each text outside the largest component of its neighbourhood meets, in blocks, all of the neighbourhood.
+    """
+    large = met.filter("parts > 1").select("first", "node", "half")
+    if large.isEmpty():
+        return None
+    owned = large.join(small_or_shuffled(component, BROADCAST_ROWS), "node", "left").select("first", "node", "half", F.coalesce("component", "node").alias("component"))
+    owned = stored(owned, "near-owned")
+    sizes = owned.groupBy("first", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("first").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("out_size"), F.sum("n").alias("size"))
+    sizes = stored(sizes.filter("out_size > 0"), "near-main")
+    if sizes.isEmpty():
+        return None
+    outs = F.ceil(F.col("half") * F.col("out_size") / F.col("size")).cast("int").alias("outs")
+    placed = owned.join(small_or_shuffled(sizes.select("first", "main", "out_size", "size"), BROADCAST_ROWS), "first").select("first", "node", "component", "half", outs, (F.col("component") != F.col("main")).alias("out"))
+    at = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    across = placed.select("first", "node", "component", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), at("half").alias("j"))
+    down = placed.filter("out").select("first", "node", "component", at("outs").alias("i"), F.explode(F.sequence(F.lit(0), F.col("half") - 1)).alias("j"))
+    blocks = stored(across.unionByName(down).select("node", "component", F.xxhash64("first", "i", "j").alias("grp")).distinct(), "near-blocks")
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(small_or_shuffled(blocks, BROADCAST_ROWS), "node")
+    return stored(rows.groupBy("grp").applyInPandas(_confirm_rest(n, percent), "a long, b long"), "near-rest")
 
 
 def components(
@@ -263,24 +302,25 @@ def components(
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(docs.mapInArrow(_signature_batches(n, permutations, rows), SIGNATURE_SCHEMA), "near-signatures")
     # Equal sequences are one node, named by their smallest doc_id.
-    texts = signed.filter("n_shingles > 0").groupBy("sequence").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
+    texts = signed.filter("n_shingles > 0").groupBy("sequence").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"))
     texts = stored(texts, "near-texts")
-    members = texts.filter("node IS NOT NULL").select("node", F.posexplode("bands").alias("b", "key")).select("node", F.xxhash64("b", "key").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(buckets, "band").select("node", "first", "n"), "near-shared")
-
-    family = connected(shared.select(F.col("node").alias("a"), F.col("first").alias("b")), "near-family").withColumnRenamed("component", "family")
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    order = Window.partitionBy("family").orderBy(F.desc("degree"), "node")
-    placed = stored(family.join(size, "family").join(degree, "node").withColumn("place", F.row_number().over(order)), "near-placed")
-    near = docs.join(small_or_shuffled(placed.select(F.col("node").alias("doc_id"), "family", "size", "place"), BROADCAST_ROWS), "doc_id")
-    near = stored(near.withColumnRenamed("doc_id", "node"), "near-candidates")
-
-    component = stored(connected(_links(near, n, percent, chunk), "near-components"), "near-result")
-    known = texts.join(component, "node", "left").select("sequence", F.coalesce("component", "node").alias("component_id"))
+
+    met = _neighbourhoods(texts, chunk)
+    component = connected(_confirmed(docs, _grouped(met), n, percent, chunk), "near-components")
+    rest = _rest_links(docs, met, component, n, percent)
+    if rest is not None and not rest.isEmpty():
+        between = component.select("node", "component")
+        of = small_or_shuffled(between, BROADCAST_ROWS)
+        ends = rest.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        joined = connected(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "near-joined")
+        joined = small_or_shuffled(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), BROADCAST_ROWS)
+        alone = joined.select(F.col("component").alias("node"), "whole").join(of.select("node"), "node", "left_anti")
+        component = component.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        component = stored(component.unionByName(alone.select("node", F.col("whole").alias("component"))), "near-result")
+
+    known = texts.join(small_or_shuffled(component, BROADCAST_ROWS), "node", "left").select("sequence", F.coalesce("component", "node").alias("component_id"))
     known = small_or_shuffled(stored(known.filter("component_id IS NOT NULL"), "near-known"), BROADCAST_ROWS)
-    joined = signed.join(known, "sequence", "left")
+    joined = signed.select("doc_id", "sequence", "n_shingles").join(known, "sequence", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
