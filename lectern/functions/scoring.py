@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions.lexicon import Lexicon, compile_tiers
-from lectern.plans.parallelism import spread
 
 # Names of the other party by the speaker's, exclusion and negation patterns.
 OTHER_PARTY_WORDS = {"D": ("republicans", "gop"), "R": ("democrat", "democrats")}
@@ -62,6 +62,9 @@ class Scorer:
     idioms: Lexicon
     profanity: dict[str, Lexicon] = field(default_factory=dict)
 
+    def __hash__(self) -> int:
+        return hash((self.courtesy, self.gratitude, self.cooperation, self.hostility, self.misconduct, self.labels, self.idioms, *sorted(self.profanity.items(), key=lambda x: x[0])))
+
     @classmethod
     def compile(cls, terms: dict[str, list[str]], tiers: list[str], slurs: list[str], inflect: bool = True) -> Scorer:
         fuzzy = {k: Lexicon.compile(terms.get(k, []), inflect) for k in ("courtesy", "gratitude", "cooperation", "hostility", "labels", "idioms")}
@@ -113,6 +116,13 @@ class Scorer:
     def attack(self, text: Column, toks: Column) -> Column:
         return tx.count_hits_excluding(self.hostility, text, toks, HOSTILITY_EXCLUSIONS)
 
+    def profanity_counts(self, low: Column, toks: Column) -> dict[str, Column]:
+        """Hits of the mild tier, less its exclusions, and of the strong tier."""
+        return {
+            "profanity_mild": tx.count_hits_excluding(self.profanity["mild"], low, toks, MILD_EXCLUSIONS),
+            "profanity_strong": tx.count_hits(self.profanity["strong"], low, toks),
+        }
+
     def signal_spans(self, low: Column, party: Column) -> dict[str, Column]:
         """Accepted spans of each signal, for sampling."""
         clean = lambda lex, exclusions: tx.without_overlaps(tx.lexicon_spans(lex, low), low, exclusions)
@@ -148,34 +158,21 @@ SCORES = (
 )
 
 
-def score_turns(turns: DataFrame, scorer: Scorer, text: str = "text", party: str = "party", sentiment: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``turns`` with ``n_words`` and the columns of ``SCORES``; a null text scores as empty.
-
-    Lower-cased text, tokens, spans and windows are made in successive projections, so that each is computed
-    once. ``sentiment`` maps a text column to struct(sentiment, neg_share, n_sentences) and adds those columns.
-    """
-    base = list(turns.columns)
-    d = spread(turns).withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    d = d.withColumn("_tok", tx.tokens(F.col("_low"))).withColumn("_ref", scorer.outgroup_spans(F.col("_low"), F.coalesce(party, F.lit("other"))))
-    d = d.withColumn("_win", tx.window_text(F.col("_low"), F.col("_ref")))
-    d = d.withColumn("_ctx", tx.span_contexts(F.col("_low"), F.col("_ref")))
+@functools.lru_cache(maxsize=32)
+def _steps(scorer: Scorer, text: str, party: str) -> tuple[dict[str, Column], ...]:
+    """Columns to add, step by step. Building thousands of expression nodes takes seconds, so they are kept by scorer."""
+    low, tok, win, wtok = map(F.col, ("_low", "_tok", "_win", "_wtok"))
     # Counting only needs the tokens that some lexicon has: one pass over all tokens, short arrays after it.
     known = lambda toks: F.filter(toks, lambda t: t.isin(*sorted(scorer.words())))
-    d = d.withColumn("n_words", F.size("_tok")).withColumn("_tok", known(F.col("_tok"))).withColumn("_wtok", known(tx.tokens(F.col("_win"))))
-    d = d.withColumn("_ctx", F.transform("_ctx", lambda c: F.struct(c.alias("c"), known(tx.tokens(c)).alias("t"))))
-    low, tok, win, wtok = map(F.col, ("_low", "_tok", "_win", "_wtok"))
     contexts = lambda hit: F.size(F.filter("_ctx", hit))
-    mild = F.greatest(F.lit(0), tx.count_hits(scorer.profanity["mild"], low, tok) - F.regexp_count(low, F.lit(MILD_EXCLUSIONS)))
     made = {
-        "n_words": F.col("n_words"),
         "formal_courtesy_hits": tx.count_hits(scorer.courtesy, low, tok),
         "gratitude_praise_hits": tx.count_hits(scorer.gratitude, low, tok),
         "cooperation_hits": tx.count_hits_excluding(scorer.cooperation, low, tok, COOPERATION_EXCLUSIONS),
         "hostility_hits": scorer.attack(low, tok),
         "misconduct_hits": F.size(scorer.misconduct_spans(low, tok)),
         "ideological_label_hits": tx.count_hits(scorer.labels, low, tok),
-        "profanity_mild": mild,
-        "profanity_strong": tx.count_hits(scorer.profanity["strong"], low, tok),
+        **scorer.profanity_counts(low, tok),
         "profanity_slurs": tx.count_hits(scorer.profanity["slurs"], low, tok),
         "outgroup_refs": F.size("_ref"),
         "democrat_party_pej": F.when(F.array_contains(tok, PARTY_LABEL_WORD), F.regexp_count(low, F.lit(PARTY_LABEL))).otherwise(0),
@@ -186,14 +183,56 @@ def score_turns(turns: DataFrame, scorer: Scorer, text: str = "text", party: str
         "outgroup_hostility_contexts": contexts(lambda x: scorer.attack(x["c"], x["t"]) > 0),
         "outgroup_misconduct_contexts": contexts(lambda x: F.size(scorer.misconduct_spans(x["c"], x["t"])) > 0),
     }
-    d = d.select(*base, *(v.cast("long").alias(k) for k, v in made.items()))
-    d = d.withColumn("comity_hits", F.col("formal_courtesy_hits") + F.col("gratitude_praise_hits") + F.col("cooperation_hits"))
-    d = d.withColumn("profanity_hits", F.col("profanity_mild") + F.col("profanity_strong"))
+    return (
+        {"_low": F.lower(F.coalesce(F.col(text), F.lit("")))},
+        {"_tok": tx.tokens(low), "_ref": scorer.outgroup_spans(low, F.coalesce(party, F.lit("other")))},
+        {"_win": tx.window_text(low, F.col("_ref")), "_ctx": tx.span_contexts(low, F.col("_ref")), "n_words": F.size("_tok").cast("long"), "_tok": known(tok)},
+        {"_wtok": known(tx.tokens(win)), "_ctx": F.transform("_ctx", lambda c: F.struct(c.alias("c"), known(tx.tokens(c)).alias("t")))},
+        {k: v.cast("long") for k, v in made.items()},
+        {"comity_hits": F.col("formal_courtesy_hits") + F.col("gratitude_praise_hits") + F.col("cooperation_hits"), "profanity_hits": F.col("profanity_mild") + F.col("profanity_strong")},
+    )
+
+
+def score_turns(turns: DataFrame, scorer: Scorer, text: str = "text", party: str = "party", sentiment: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``turns`` with ``n_words`` and the columns of ``SCORES``; a null text scores as empty.
+
+    Lower-cased text, tokens, spans and windows are made in successive projections, so that each is computed
+    once. ``sentiment`` maps a text column to struct(sentiment, neg_share, n_sentences) and adds those columns.
+    Give a small scan :func:`lectern.plans.parallelism.spread` first.
+    """
+    base, d = list(turns.columns), turns
+    for step in _steps(scorer, text, party):
+        d = d.withColumns(step)
     if sentiment is None:
         return d.select(*base, "n_words", *SCORES)
     return d.withColumn("_s", sentiment(F.col(text))).select(*base, "n_words", *SCORES, "_s.*")
 
 
+def polarity_sentiment(valence: dict[str, float], negators: tuple[str, ...] = ("not", "no", "never"), scale: float = 15.0) -> Callable[[Column], Column]:
+    """A sentiment for :func:`score_turns` from a word list with valences; the list is the user's.
+
+    A sentence's value is the sum of its words' valences, each turned if a negator stands right before it, squashed to
+    -1 .. 1 by x / sqrt(x^2 + scale); its negative share is the share of its valued words below 0. Both are means over
+    sentences; a text without sentences has 0, 0 and no sentences.
+    """
+    table = F.create_map(*[F.lit(x) for word, v in sorted(valence.items()) for x in (word, float(v))])
+
+    def of_sentence(s: Column) -> Column:
+        toks = tx.tokens(F.lower(s))
+        values = F.transform(toks, lambda t, i: F.coalesce(F.try_element_at(table, t), F.lit(0.0)) * F.when(F.coalesce(F.get(toks, i - 1).isin(*negators), F.lit(False)), -1.0).otherwise(1.0))
+        valued = F.filter(values, lambda v: v != 0)
+        total = F.aggregate(valued, F.lit(0.0), lambda n, v: n + v)
+        below = F.size(F.filter(valued, lambda v: v < 0))
+        return F.struct((total / F.sqrt(total * total + scale)).alias("value"), F.coalesce(F.try_divide(below, F.size(valued)), F.lit(0.0)).alias("below"))
+
+    def sentiment(text: Column) -> Column:
+        each = F.transform(sentences(F.coalesce(text, F.lit(""))), of_sentence)
+        mean = lambda f: F.coalesce(F.try_divide(F.aggregate(each, F.lit(0.0), lambda n, x: n + x[f]), F.size(each)), F.lit(0.0))
+        return F.struct(mean("value").alias("sentiment"), mean("below").alias("neg_share"), F.size(each).cast("long").alias("n_sentences"))
+
+    return sentiment
+
+
 def sentences(text: Column) -> Column:
     """Sentences: split at white space after ``.``, ``!`` or ``?``; blank ones are left out."""
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")

@@ -7,6 +7,7 @@ offsets of all matches come from the lengths of what a pattern splits and extrac
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also if a lambda inside ``use`` reads it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
@@ -34,16 +40,19 @@ def count_tokens(toks: Column, words) -> Column:
 
 def count_hits(lexicon: Lexicon, low: Column, toks: Column) -> Column:
     """Word hits plus phrase hits, less the word hits inside phrase hits."""
-    words = count_tokens(toks, lexicon.words)
+    words = count_tokens(toks, lexicon.words) if lexicon.words else F.lit(0)
     if not lexicon.phrases:
         return words
-    found = F.regexp_extract_all(low, F.lit(lexicon.phrases), F.lit(0))
-    inside = F.aggregate(found, F.lit(0), lambda n, m: n + (count_tokens(tokens(m), lexicon.words) if lexicon.words else F.lit(0)))
-    return words + F.size(found) - inside
+    if not lexicon.words:
+        return F.regexp_count(low, F.lit(lexicon.phrases))
+    added = F.aggregate(F.regexp_extract_all(low, F.lit(lexicon.phrases), F.lit(0)), F.lit(0), lambda n, m: n + 1 - count_tokens(tokens(m), lexicon.words))
+    return words + added
 
 
 def count_hits_excluding(lexicon: Lexicon, low: Column, toks: Column, exclusions: str) -> Column:
-    return F.greatest(F.lit(0), count_hits(lexicon, low, toks) - F.regexp_count(low, F.lit(exclusions)))
+    """Hits less exclusion matches, never below 0; the exclusions are only looked for where there are hits."""
+    net = lambda hits: F.when(hits > 0, F.greatest(F.lit(0), hits - F.regexp_count(low, F.lit(exclusions)))).otherwise(0)
+    return let(count_hits(lexicon, low, toks), net)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -80,14 +89,18 @@ def lexicon_spans(lexicon: Lexicon, text: Column) -> Column:
     """Phrase spans and the word spans that no phrase span contains, in order."""
     phrases = match_spans(text, lexicon.phrases)
     words = token_spans(text, lexicon.words)
-    alone = F.filter(words, lambda w: ~F.exists(phrases, lambda p: (p["st"] <= w["st"]) & (w["en"] <= p["en"])))
-    return F.array_sort(F.concat(phrases, alone))
+    if not lexicon.phrases:
+        return words
+    if not lexicon.words:
+        return phrases
+    alone = lambda found: F.filter(words, lambda w: ~F.exists(found, lambda p: (p["st"] <= w["st"]) & (w["en"] <= p["en"])))
+    return let(phrases, lambda found: F.array_sort(F.concat(found, alone(found))))
 
 
 def without_overlaps(spans: Column, text: Column, exclusions: str) -> Column:
     """The spans that overlap no exclusion match."""
-    blocked = match_spans(text, exclusions)
-    return F.filter(spans, lambda s: ~F.exists(blocked, lambda b: (s["st"] < b["en"]) & (b["st"] < s["en"])))
+    clear = lambda s, blocked: ~F.exists(blocked, lambda b: (s["st"] < b["en"]) & (b["st"] < s["en"]))
+    return let(match_spans(text, exclusions), lambda blocked: F.filter(spans, lambda s: clear(s, blocked)))
 
 
 def merge_spans(spans: Column, touching: bool = False) -> Column:
@@ -143,7 +156,7 @@ def span_contexts(text: Column, spans: Column, radius: int = 300) -> Column:
 
 def mask_quotes(text: Column, opening: str = "``", closing: str = "''", cap: int = 4000) -> tuple[Column, Column]:
     """(spoken, quoted): quoted regions blanked to equal length, and their inner texts joined by a space."""
-    q = lambda s: "".join("\\" + c for c in s)
+    q = lambda s: re.sub(r"([^A-Za-z0-9])", r"\\\1", s)
     pattern = rf"(?s){q(opening)}(.{{0,{cap}}}?){q(closing)}"
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     blanks = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit(""))))
