@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.domain import blank_to_null, rate
 from lectern.functions.scoring import Scorer, score_turns
-from lectern.functions.text import mask_quotes
+from lectern.functions.text import mask_quotes, tokens
 
 FLOOR = ("house", "senate")
 HITS = ("profanity_hits", "hostility_hits", "misconduct_hits")
@@ -26,12 +26,11 @@ def attributed(turns: DataFrame) -> DataFrame:
 def score_spoken(turns: DataFrame, scorer: Scorer) -> DataFrame:
     """Scores of the spoken text, and ``profanity_quoted_hits`` of what is quoted."""
     spoken, quoted = mask_quotes(F.coalesce("text", F.lit("")))
-    parts = turns.withColumn("_quoted", quoted).withColumn("text", spoken)
-    scored = score_turns(parts, scorer)
-    inner = scored.withColumn("_spoken_hits", F.struct("n_words", *HITS)).drop("n_words", *[c for c in scored.columns if c not in parts.columns and c != "n_words"])
-    again = score_turns(inner, scorer, text="_quoted").withColumn("profanity_quoted_hits", F.col("profanity_hits"))
-    kept = [c for c in turns.columns if c != "text"]
-    return again.select(*kept, "profanity_quoted_hits", "_spoken_hits.*")
+    parts = turns.withColumn("_quoted", F.lower(quoted)).withColumn("text", spoken)
+    inside = scorer.profanity_counts(F.col("_quoted"), tokens(F.col("_quoted")))
+    hits = F.when(F.col("_quoted") == "", 0).otherwise(inside["profanity_mild"] + inside["profanity_strong"])
+    scored = score_turns(parts.withColumn("profanity_quoted_hits", hits.cast("long")), scorer)
+    return scored.select(*[c for c in turns.columns if c != "text"], "profanity_quoted_hits", "n_words", *HITS)
 
 
 def latest(value: Column, order: Column) -> Column:

@@ -64,7 +64,8 @@ def sum_scores(scored: DataFrame, keys=GROUP, sentiment: bool = False) -> DataFr
 
 
 def merge_sums(partials: DataFrame, keys=GROUP) -> DataFrame:
-    return partials.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("turns", "words", *SCORES)))
+    more = [c for c in ("sentiment_sum", "neg_share_sum", "sentiment_n") if c in partials.columns]
+    return partials.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("turns", "words", *SCORES, *more)))
 
 
 def rates(metrics=METRICS) -> list[Column]:
@@ -72,15 +73,14 @@ def rates(metrics=METRICS) -> list[Column]:
 
 
 def metric_table(sums: DataFrame, metrics=METRICS) -> DataFrame:
-    """By source: keys, year, turns, words, raw counts and rates in registry order."""
-    raw = sums.select("source", "congress", year_of_congress(F.col("congress")).alias("year"), "chamber", "party", "turns", "words", *(F.col(m.score).alias(m.raw) for m in metrics))
-    means = [c for c in ("sentiment_sum", "neg_share_sum") if c in sums.columns]
-    if means:
-        raise ValueError("use sentiment_means for sums with sentiment")
-    return raw.select("*", *rates(metrics))
+    """By source: keys, year, turns, words, raw counts and rates in registry order, and sentiment means if ``sums`` has them."""
+    means = sentiment_means() if "sentiment_n" in sums.columns else []
+    raw = sums.select("source", "congress", year_of_congress(F.col("congress")).alias("year"), "chamber", "party", "turns", "words", *(F.col(m.score).alias(m.raw) for m in metrics), *means)
+    last = ["mean_sentiment", "mean_neg_share"] if means else []
+    return raw.select(*[c for c in raw.columns if c not in last], *rates(metrics), *last)
 
 
-def sentiment_means(sums: DataFrame) -> list[Column]:
+def sentiment_means() -> list[Column]:
     """Sentence-weighted means; null without sentences."""
     return [F.try_divide(f"{c}_sum", "sentiment_n").alias(f"mean_{c}") for c in ("sentiment", "neg_share")]
 
@@ -114,6 +114,12 @@ def primary_source(table: DataFrame) -> DataFrame:
     return table.filter(leads).withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
 
 
+def primary_boundary_year(table: DataFrame) -> DataFrame:
+    """One row: the first year in which the later source leads; null if it has none."""
+    late = (F.col("source") == PRIMARY_LATE) & (F.col("congress") > PRIMARY_LAST_CONGRESS)
+    return table.agg(F.min(F.when(late, F.col("year"))).alias("primary_boundary_year"))
+
+
 def source_ranges(table: DataFrame) -> DataFrame:
     return table.groupBy("source").agg(
         F.min("congress").alias("min_congress"), F.max("congress").alias("max_congress"),

@@ -32,16 +32,23 @@ def rollup_levels(table: DataFrame, sets: list[list[str]], sums: list[str]) -> D
     return out.select(*keys, "level", *sums)
 
 
-def party_gap(table: DataFrame, value: str, keys: list[str], parties=("R", "D")) -> DataFrame:
-    """Mean of ``value`` by party, side by side, and their difference where both are there."""
+def party_gap(table: DataFrame, value: str, keys: list[str], parties=("D", "R")) -> DataFrame:
+    """Mean of ``value`` by party, side by side, and the first party's less the second's where both are there."""
     wide = table.groupBy(*keys).pivot("party", list(parties)).agg(F.avg(value)).dropna(subset=list(parties))
     return wide.withColumn("gap", F.col(parties[0]) - F.col(parties[1]))
 
 
+def chamber_mean_gap(table: DataFrame, value: str, keys: list[str], parties=("D", "R"), chambers=FLOOR) -> DataFrame:
+    """The party gap of each chamber side by side and their mean with equal weights, where all chambers have one."""
+    gaps = party_gap(table, value, [*keys, "chamber"], parties)
+    wide = gaps.groupBy(*keys).pivot("chamber", list(chambers)).agg(F.max("gap")).dropna(subset=list(chambers))
+    return wide.withColumn("gap", sum((F.col(c) for c in chambers), F.lit(0.0)) / len(chambers))
+
+
 def centred_mean(rows: DataFrame, value: str, order: str, keys: list[str], reach: int = 2, at_least: int = 3) -> DataFrame:
     """Mean over ``reach`` rows either side; null below ``at_least`` values."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach)
     return rows.withColumn(f"{value}_smooth", F.when(F.count(value).over(w) >= at_least, F.avg(value).over(w)))
 
 
-__all__ = ["COUNTS", "centred_mean", "chamber_series", "language_series", "party_gap", "period", "rollup_levels"]
+__all__ = ["COUNTS", "centred_mean", "chamber_mean_gap", "chamber_series", "language_series", "party_gap", "period", "rollup_levels"]
