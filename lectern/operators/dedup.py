@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.scratch import stored
+
+BROADCAST_ROWS = 200_000
+
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``. One key's rows meet in one sort, spilled if large."""
@@ -23,6 +28,21 @@ def first_wins(turns: DataFrame, rank: Column, *then: Column, scope: Column | No
     return keep_first(turns.filter(inside), ["turn_id"], [rank, *then]).unionByName(turns.filter(~inside))
 
 
+def without_repeats(rows: DataFrame, key: str, order: list[str], scope: Column | None = None) -> DataFrame:
+    """As :func:`first_wins`, by finding the repeated rows on ``key`` and ``order`` alone and leaving them out.
+
+    Wide columns are shuffled only if the repeated rows are too many to broadcast. ``order`` must tell the rows of
+    one key apart and have no nulls.
+    """
+    slim = rows.filter(F.coalesce(scope, F.lit(False))) if scope is not None else rows
+    w = Window.partitionBy(key).orderBy(*order)
+    later = slim.select(key, *order).withColumn("_k", F.row_number().over(w)).filter("_k > 1").drop("_k")
+    later = small_or_shuffled(stored(later.distinct(), "repeats"), BROADCAST_ROWS)
+    outside = rows.filter(~F.coalesce(scope, F.lit(False))) if scope is not None else None
+    kept = slim.join(later, [key, *order], "left_anti").select(*rows.columns)
+    return kept if outside is None else kept.unionByName(outside)
+
+
 def source_rank(path: Column) -> Column:
     """Reading order of turn files by name: bound and daily editions, bulk packages, the rest."""
     name = F.element_at(F.split(path, "/"), -1)

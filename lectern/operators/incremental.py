@@ -7,16 +7,27 @@ shard partials equals the full aggregation.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
-from dataclasses import asdict
+import logging
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import lexicon as lexicon_module
+from lectern.functions import scoring as scoring_module
+from lectern.functions import text as text_module
 from lectern.functions.scoring import SCORES, Scorer, score_turns
-from lectern.operators.dedup import first_wins, upsert
-from lectern.operators.metrics import GROUP, METRICS, merge_sums, substantive, sum_scores, with_groups
+from lectern.operators.dedup import upsert, without_repeats
+from lectern.operators.metrics import GROUP, merge_sums, substantive, sum_scores, with_groups
+from lectern.plans.scratch import stored
+
+LOG = logging.getLogger(__name__)
+#: How a table that is missing or damaged makes itself known.
+UNREADABLE = (PySparkException, Py4JJavaError)
 
 
 def shard_of(file: Column) -> Column:
@@ -27,10 +38,15 @@ def shard_of(file: Column) -> Column:
 
 
 def settings_fingerprint(scorer: Scorer, **flags) -> str:
-    """SHA-256 of the compiled lexicons, the metric registry and flags."""
+    """SHA-256 of all that can change a shard's sums: compiled lexicons, score names, flags and the scoring code.
+
+    The code holds the exclusion, negation and party patterns. Titles and rates of metrics are made from merged
+    sums and are left out.
+    """
     lexicon = lambda x: [sorted(x.words), x.phrases]
     parts = {k: ({t: lexicon(x) for t, x in v.items()} if isinstance(v, dict) else lexicon(v)) for k, v in vars(scorer).items()}
-    return hashlib.sha256(json.dumps([parts, [asdict(m) for m in METRICS], SCORES, flags], sort_keys=True).encode()).hexdigest()
+    code = [inspect.getsource(x) for x in (scoring_module, text_module, lexicon_module, shard_sums, sum_scores, with_groups, substantive)]
+    return hashlib.sha256(json.dumps([parts, SCORES, flags, code], sort_keys=True).encode()).hexdigest()
 
 
 def file_fingerprints(files: DataFrame) -> DataFrame:
@@ -40,9 +56,12 @@ def file_fingerprints(files: DataFrame) -> DataFrame:
 
 
 def shard_sums(turns: DataFrame, scorer: Scorer, include_procedural: bool = False) -> DataFrame:
-    """Partial sums of (shard, file, pos, turn columns): dedup inside shards, then score and sum."""
+    """Partial sums of (shard, file, pos, turn columns): dedup inside shards, then score and sum.
+
+    Repeats are found on ids alone, so texts are not shuffled for it.
+    """
     package = F.startswith("shard", F.lit("govinfo:"))
-    rows = first_wins(turns, F.col("file"), F.col("pos"), scope=package)
+    rows = without_repeats(turns, "turn_id", ["file", "pos"], scope=package)
     rows = rows if include_procedural else substantive(rows)
     return sum_scores(score_turns(with_groups(rows), scorer), ("shard", *GROUP))
 
@@ -59,6 +78,55 @@ def refresh(state: DataFrame | None, current: DataFrame, turns: DataFrame, score
     return valid.unionByName(fresh)
 
 
+def save_state(state: DataFrame, path: str) -> None:
+    """Store the next state table beside the last one and then name it current, so that a lost run leaves the last one.
+
+    ``path`` holds two slots that take turns, and a small log with the slot, row count and digest of each save.
+    """
+    spark = state.sparkSession
+    log = _state_log(spark, path)
+    number = 0 if log is None else (log.agg(F.max("number")).first()[0] or 0) + 1
+    state.write.mode("overwrite").parquet(f"{path}/slot{number % 2}")
+    rows, digest = _state_digest(spark.read.parquet(f"{path}/slot{number % 2}"))
+    spark.createDataFrame([(number, rows, digest)], "number long, rows long, digest string").coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current state table; None if there is none or it is not what was saved, which rescores every shard."""
+    log = _state_log(spark, path)
+    last = None if log is None else log.orderBy(F.desc("number")).first()
+    if last is None:
+        return None
+    try:
+        state = spark.read.parquet(f"{path}/slot{last['number'] % 2}")
+        if _state_digest(state) == (last["rows"], last["digest"]):
+            return state
+        LOG.warning("state at %s differs from what was saved; it is not used", path)
+    except UNREADABLE as error:
+        LOG.warning("state at %s cannot be read and is not used: %s", path, str(error)[:200])
+    return None
+
+
+def _state_log(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return stored(spark.read.schema("number long, rows long, digest string").parquet(f"{path}/log"), "state-log")
+    except UNREADABLE:
+        return None
+
+
+def _state_digest(state: DataFrame) -> tuple[int, str]:
+    columns = sorted(state.columns)
+    rows, total = state.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0))).first()
+    return rows, hashlib.sha256(f"{columns} {total}".encode()).hexdigest()
+
+
+def update_state(spark: SparkSession, path: str, current: DataFrame, turns: DataFrame, scorer: Scorer, settings: str) -> DataFrame:
+    """Refresh the stored state: only shards whose files or settings changed are scored; gone shards are pruned."""
+    fresh = stored(refresh(load_state(spark, path), current, turns, scorer, settings), "state-next")
+    save_state(fresh, path)
+    return fresh
+
+
 def totals(state: DataFrame) -> DataFrame:
     return merge_sums(state)
 
