@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.domain import bill_id, chamber_of
@@ -51,7 +51,7 @@ def chosen_law(laws: Column, congress: Column) -> Column:
     return F.coalesce(F.get(own, F.lit(0)), F.get(good, F.lit(0)))
 
 
-def canonical(raw: DataFrame) -> DataFrame:
+def canonical(raw: DataFrame, *keep: str) -> DataFrame:
     """Flat bills from congress, type, number, title, origin, sponsors[], actions[], laws[], dates."""
     sponsor = F.get("sponsors", F.lit(0))
     law = chosen_law(F.col("laws"), F.col("congress"))
@@ -62,17 +62,43 @@ def canonical(raw: DataFrame) -> DataFrame:
         F.coalesce("title", F.lit("")).alias("title"), chamber_of(F.col("origin")).alias("origin_chamber"),
         name("bioguideId").alias("sponsor_bioguide"), name("fullName").alias("sponsor_name"), name("party").alias("sponsor_party"), name("state").alias("sponsor_state"),
         F.coalesce("introduced_date", F.lit("")).alias("introduced_date"), *(v.alias(k) for k, v in milestones(F.col("actions")).items()),
-        (F.size("laws") > 0).alias("became_law"), F.coalesce(law["type"], F.lit("")).alias("law_type"), F.coalesce(law["number"], F.lit("")).alias("law_number"),
+        (F.size("laws") > 0).alias("became_law"), F.coalesce(law["type"], F.lit("")).alias("law_type"), F.coalesce(law["number"], F.lit("")).alias("law_number"), *keep,
     )
 
 
+# Flags of a bill, and what chambers are called.
+FLAGS = ("passed_house", "passed_senate", "passed_any_chamber", "became_law")
+CHAMBERS = {"h": "house", "s": "senate"}
+
+
+def normalized(bills: DataFrame, order: Column | None = None) -> DataFrame:
+    """Typed, filled and checked bills, one row a bill_id (the last in ``order``), sorted by congress, type and number.
+
+    Numbers that are none, and rows that :func:`violations` names, fail the job.
+    """
+    chamber = F.lower(F.trim(F.coalesce("origin_chamber", F.lit(""))))
+    for short, long in CHAMBERS.items():
+        chamber = F.when(chamber == short, long).otherwise(chamber)
+    typed = bills.withColumns({"congress": F.col("congress").cast("long"), "bill_number": F.col("bill_number").cast("long"), "origin_chamber": chamber})
+    typed = typed.withColumns({c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in FLAGS if c in bills.columns})
+    problem = F.concat_ws(", ", problems())
+    bad = F.raise_error(F.concat(F.lit("bill "), F.coalesce("bill_id", F.lit("without id")), F.lit(": "), problem)).cast("boolean")
+    typed = typed.filter(F.when(problem == "", True).otherwise(bad))
+    last = Window.partitionBy("bill_id").orderBy((F.monotonically_increasing_id() if order is None else order).desc())
+    typed = typed.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+    return typed.orderBy("congress", "bill_type", "bill_number")
+
+
 def violations(bills: DataFrame) -> DataFrame:
     """(bill_id, problem) for rows whose id does not fit, whose type is unknown or that are law but never passed."""
+    return bills.select("bill_id", F.explode(problems()).alias("problem"))
+
+
+def problems() -> Column:
     checks = {
         "id": F.col("bill_id") != F.concat_ws("-", F.col("congress").cast("string"), "bill_type", F.col("bill_number").cast("string")),
         "type": ~F.col("bill_type").isin("hr", "s"),
         "enacted but not passed": F.col("became_law") & ~F.col("passed_any_chamber"),
         "number": F.col("bill_number") <= 0,
     }
-    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
-    return bills.select("bill_id", F.explode(found).alias("problem"))
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(k == "id")), F.lit(k)) for k, c in checks.items()]))

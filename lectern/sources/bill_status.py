@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from lectern.functions.domain import listing_time
 from lectern.operators.bills import canonical
 
-MAX_BYTES, MAX_ENTRIES = 16 << 20, 50_000
+# Limits of an archive: bytes of an entry, entries, bytes of all entries.
+MAX_BYTES, MAX_ENTRIES, MAX_TOTAL = 25 << 20, 100_000, 2 << 30
+BATCH_CHARS = 8 << 20
 # Element names of the two schema generations.
 _PERSON = "struct<bioguideId:string,fullName:string,party:string,state:string,isByRequest:string>"
 _ACTION = "struct<actionDate:string,actionCode:string,text:string>"
@@ -29,32 +32,55 @@ def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                entries = [e for e in z.infolist() if e.filename.endswith(".xml")]
-                if len(entries) > MAX_ENTRIES or any(e.file_size > MAX_BYTES for e in entries):
+                entries = [e for e in z.infolist() if not e.is_dir()]
+                bills = [e for e in entries if re.fullmatch(LISTED, e.filename.rsplit("/", 1)[-1])]
+                if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_TOTAL or any(e.file_size > MAX_BYTES for e in bills):
                     raise ValueError(f"archive over its limits: {path.as_py()}")
-                for e in entries:
+                if len({e.filename.rsplit("/", 1)[-1] for e in bills}) < len(bills):
+                    raise ValueError(f"a bill twice in {path.as_py()}")
+                made, size = {"archive": [], "file": [], "xml": [], "modified": []}, 0
+                for e in bills:
                     xml = z.read(e).decode("utf-8")
                     if "<!DOCTYPE" in xml or "<!ENTITY" in xml:
                         raise ValueError(f"document type declaration in {e.filename}")
-                    yield pa.RecordBatch.from_pydict({"file": [e.filename], "xml": [xml]})
+                    modified = "{:04d}-{:02d}-{:02d}T{:02d}:{:02d}:00".format(*e.date_time[:5])
+                    for values, value in zip(made.values(), (path.as_py(), e.filename, xml, modified), strict=True):
+                        values.append(value)
+                    size += len(xml)
+                    if size > BATCH_CHARS:
+                        yield pa.RecordBatch.from_pydict(made)
+                        made, size = {k: [] for k in made}, 0
+                if made["file"]:
+                    yield pa.RecordBatch.from_pydict(made)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, file, xml, modified) of the bill documents in all archives; an archive over its limits fails the read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(_unzip, "file string, xml string")
+    return files.select("path", "content").mapInArrow(_unzip, "archive string, file string, xml string, modified string")
 
 
-def parse_bills(xml: DataFrame) -> DataFrame:
+def checked_bills(archives: DataFrame) -> DataFrame:
+    """Bills of :func:`read_archives`, each with the identity that its file name says; another one fails the job."""
+    name = F.element_at(F.split("file", "/"), -1)
+    named = F.concat_ws("-", *[F.regexp_extract(name, LISTED, i) for i in (1, 2, 3)])
+    bills = parse_bills(archives, named.alias("_named"), F.col("modified").alias("source_updated_at"))
+    wrong = F.raise_error(F.concat(F.lit("the document of "), F.col("_named"), F.lit(" says "), F.coalesce("bill_id", F.lit("nothing")))).cast("boolean")
+    return bills.filter(F.when(F.col("bill_id").eqNullSafe(F.col("_named")), True).otherwise(wrong)).drop("_named")
+
+
+def parse_bills(xml: DataFrame, *keep: Column) -> DataFrame:
     """Canonical bills from (xml): one ``billStatus`` document a row; element names may carry a namespace prefix."""
     inner = F.regexp_replace(F.regexp_extract("xml", r"(?s)(<(?:\w+:)?bill>.*</(?:\w+:)?bill>)", 1), r"(</?)\w+:", "$1")
     bill = F.from_xml(inner, BILL, {"rowTag": "bill"}).alias("b")
-    r = xml.select(bill).select("b.*")
+    kept = xml.select(*keep).columns
+    r = xml.select(bill, *keep).select("b.*", *kept)
     some = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>"))
     raw = r.select(
         "congress", F.coalesce("type", "billType").alias("type"), F.coalesce("number", "billNumber").alias("number"), "title", F.col("originChamber").alias("origin"),
-        F.col("introducedDate").alias("introduced_date"), some("sponsors.item", _PERSON).alias("sponsors"), some("actions.item", _ACTION).alias("actions"), some("laws.item", _LAW).alias("laws"),
+        F.col("introducedDate").alias("introduced_date"), some("sponsors.item", _PERSON).alias("sponsors"), some("actions.item", _ACTION).alias("actions"), some("laws.item", _LAW).alias("laws"), *kept,
     )
-    return canonical(raw)
+    return canonical(raw, *kept)
 
 
 def parse_listing(xml: Column) -> Column:

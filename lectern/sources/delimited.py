@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.domain import blank_to_null, chamber_of, iso_date, party_of
 from lectern.operators.dedup import keep_first
+from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.scratch import stored
 
 # Field places and the labels of presiding roles.
 DESCRIPTION = {"speech_id": 0, "chamber": 1, "date": 2, "speaker": 4, "state": 7, "word_count": 13}
@@ -40,6 +42,8 @@ def _zip_lines(member: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
+                if not zipfile.is_zipfile(io.BytesIO(content.as_py())):
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for name in sorted(n for n in z.namelist() if member in n.rsplit("/", 1)[-1]):
                         with z.open(name) as f:
@@ -56,18 +60,31 @@ def _zip_lines(member: str):
 
 
 def read_zipped_lines(spark: SparkSession, path: str, member: str, header: str) -> DataFrame:
-    """As :func:`read_lines` from archives: the members whose name holds ``member``, streamed line by line."""
+    """As :func:`read_lines` from archives: the members whose name holds ``member``, streamed line by line.
+
+    Unreadable archives, such as half a download, have no members.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     rows = files.select("content").mapInArrow(_zip_lines(member), "file string, pos long, line string")
     kept = rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header)))
     return kept.select(F.split("line", r"\|", -1).alias("fields"), "pos", F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"(\d+)", 1).cast("int").alias("congress"))
 
 
+def _zip_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            data = io.BytesIO(content.as_py())
+            names = zipfile.ZipFile(data).namelist() if zipfile.is_zipfile(data) else []
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+
+
 def available_congresses(spark: SparkSession, path: str) -> list[int]:
-    """Congress numbers that speech files below ``path`` name; one small row a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "speeches_*.txt").load(path)
-    names = files.select(F.regexp_extract("path", r"speeches_(\d+)\.txt", 1).cast("int").alias("n")).filter("n IS NOT NULL").distinct()
-    return sorted(r["n"] for r in names.collect())
+    """Congress numbers that speech files below ``path``, loose or in archives, name; unreadable archives have none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    loose = files.option("pathGlobFilter", "speeches_*.txt").load(path).select(F.col("path").alias("name"))
+    zipped = files.option("pathGlobFilter", "*.zip").load(path).select("content").mapInArrow(_zip_names, "name string")
+    names = loose.unionByName(zipped).select(F.regexp_extract("name", r"speeches_(\d+)\.txt\z", 1).alias("n")).filter("n <> ''").distinct()
+    return sorted(int(r["n"]) for r in names.collect())  # one small row a congress
 
 
 def _indexed(lines: DataFrame, places: dict[str, int], at_least: int) -> DataFrame:
@@ -111,6 +128,6 @@ def join_speeches(s: DataFrame, descriptions: DataFrame, speaker_map: DataFrame,
 def edition_regime(turns: DataFrame, first_daily: int = 97) -> DataFrame:
     """Daily edition from ``first_daily`` on, bound before it; the bound edition fills congresses the daily one lacks."""
     daily = turns.filter("source = 'hein_daily'").select("congress").distinct().withColumn("has_daily", F.lit(True))
-    marked = turns.join(F.broadcast(daily), "congress", "left")
+    marked = turns.join(small_or_shuffled(stored(daily, "daily-congresses"), 100_000), "congress", "left")
     use_daily = (F.col("congress") >= first_daily) & F.coalesce("has_daily", F.lit(False))
     return marked.filter(F.when(use_daily, F.col("source") == "hein_daily").otherwise(F.col("source") == "hein_bound")).drop("has_daily")

@@ -19,8 +19,8 @@ from lectern.operators.dedup import drop_repeated_content, prefer_unflagged
 from lectern.operators.segments import turns_of
 from lectern.schema import MEMBERS
 
-MAX_MEMBER_BYTES = 64 << 20
-GRANULE = f"package string, granule_id string, congress int, granule_class string, chamber string, date string, members {MEMBERS}, text string"
+BATCH_CHARS = 8 << 20
+GRANULE = f"package string, place int, granule_id string, congress int, granule_class string, chamber string, date string, members {MEMBERS}, text string"
 PACKAGE_DATE = re.compile(r"(\d{4}-\d{2}-\d{2})")
 
 
@@ -36,16 +36,16 @@ def html_text(source: Column) -> Column:
     body = F.when(pre != "", pre).otherwise(F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""))
     plain = F.regexp_replace(body, r"(?s)<[^>]*>", "")
     plain = decoded(plain)
-    lines = F.regexp_replace(F.regexp_replace(plain, r"(?md)[ \t\r]+$", ""), r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(lines, r"\A\s+|\s+\z", ""), F.lit("\n"))
+    lines = F.regexp_replace(F.regexp_replace(plain, r"(?md)(?<![ \t\r])[ \t\r]++$", ""), r"\n{3,}", "\n\n")
+    return F.concat(F.regexp_replace(lines, r"\A\s++|(?<!\s)\s++\z", ""), F.lit("\n"))
 
 
 def _local(element: ElementTree.Element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def _first(element: ElementTree.Element, name: str) -> str:
-    return next(((e.text or "").strip() for e in element.iter() if _local(e) == name), "")
+def _last(element: ElementTree.Element, name: str) -> str:
+    return ([e.text.strip() for e in element.iter() if _local(e) == name and e.text] or [""])[-1]
 
 
 def _display_name(member: ElementTree.Element) -> str:
@@ -53,61 +53,75 @@ def _display_name(member: ElementTree.Element) -> str:
     return next((named[k] for k in ("authority-fnf", "authority-lnf", "parsed") if named.get(k)), "")
 
 
-def parse_mods(content: bytes) -> list[dict]:
-    """One dict a constituent (or one for the whole document): id, class, chamber, members, congress. [] if not XML."""
+def parse_mods(content: bytes, whole: bool = True) -> list[dict]:
+    """One dict a constituent: id, class, chamber, members, congress. [] if not XML.
+
+    Without constituents there is one dict for the whole document if ``whole``, else none.
+    """
     try:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError:
         return []
     numbers = [int(e.text) for e in root.iter() if _local(e) == "congress" and (e.text or "").strip().isdigit()]
     congress = next((n for n in numbers if n > 0), 0)
-    parts = [e for e in root.iter() if _local(e) == "relatedItem" and e.get("type") == "constituent"] or [root]
+    parts = [e for e in root.iter() if _local(e) == "relatedItem" and e.get("type") == "constituent"] or [root] * whole
     out = []
     for part in parts:
         members = [
             {"party": m.get("party", ""), "bioguide": m.get("bioGuideId", ""), "name": _display_name(m), "state": m.get("state", "")}
             for m in part.iter() if _local(m) == "congMember"
         ]
-        gid = (part.get("ID") or "").removeprefix("id-") or _first(part, "accessId")
-        out.append({"granule_id": gid, "granule_class": _first(part, "granuleClass"), "chamber": _first(part, "chamber"), "members": members, "congress": congress})
+        gid = (part.get("ID") or "").removeprefix("id-") or _last(part, "accessId")
+        out.append({"granule_id": gid, "granule_class": _last(part, "granuleClass"), "chamber": _last(part, "chamber"), "members": members, "congress": congress})
     return out
 
 
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
-        ("package", pa.string()), ("granule_id", pa.string()), ("congress", pa.int32()), ("granule_class", pa.string()), ("chamber", pa.string()), ("date", pa.string()),
+        ("package", pa.string()), ("place", pa.int32()), ("granule_id", pa.string()), ("congress", pa.int32()), ("granule_class", pa.string()), ("chamber", pa.string()), ("date", pa.string()),
         ("members", pa.list_(pa.struct([(k, pa.string()) for k in ("party", "bioguide", "name", "state")]))), ("text", pa.string()),
     ])
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             package = path.as_py().rsplit("/", 1)[-1].removesuffix(".zip")
             day = (PACKAGE_DATE.search(package) or [""])[0]
-            rows = []
+            rows, size = [], 0
             with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                names = {n.filename.rsplit("/", 1)[-1]: n for n in z.infolist() if n.file_size <= MAX_MEMBER_BYTES}
-                for g in parse_mods(z.read(names["mods.xml"])) if "mods.xml" in names else []:
-                    page = names.get(f"{g['granule_id']}.htm")
-                    if page is not None:
-                        rows.append(g | {"package": package, "date": day, "text": z.read(page).decode("utf-8", "replace")})
+                pages = {n.rsplit("/", 1)[-1].removesuffix(".htm"): n for n in z.namelist() if n.endswith(".htm")}
+                mods = next((n for n in z.namelist() if n.endswith("mods.xml")), None)
+                granules = {g["granule_id"]: g for g in (parse_mods(z.read(mods), whole=False) if mods else []) if g["granule_id"]}
+                for place, (gid, g) in enumerate(granules.items()):
+                    if gid in pages:
+                        rows.append(g | {"package": package, "place": place, "date": day, "text": z.read(pages[gid]).decode("utf-8", "replace")})
+                        size += len(rows[-1]["text"])
+                    if size > BATCH_CHARS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Granules of all package archives below ``path``, html as it is."""
+    """Granules of all package archives below ``path``, html as it is; ``place`` is their place in the package's MODS."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInArrow(_unzip, GRANULE)
 
 
-def package_turns(granules: DataFrame, classes: tuple[str, ...] = ("HOUSE", "SENATE", "EXTENSIONS")) -> DataFrame:
-    """Turns of the granules of the given classes; long turns repeated within a package count once."""
+def package_turns(granules: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
+    """Turns of the granules (of ``classes`` if given); long turns repeated within a package count once, the first.
+
+    The granule's class decides the chamber, then its chamber; other classes are chamber ``other``. Granules whose
+    congress neither MODS nor the date tells are left out.
+    """
     from lectern.functions.domain import chamber_of
 
-    rows = granules.filter(F.upper("granule_class").isin(*classes)).withColumn("text", html_text(F.col("text")))
-    rows = rows.withColumn("chamber", chamber_of(F.coalesce(blank_to_null(F.col("chamber")), F.col("granule_class"))))
-    rows = rows.withColumn("congress", congress_or_date(F.col("congress"), F.col("date")))
-    turns = turns_of(rows).withColumn("package", F.regexp_extract("turn_id", r"\Acrec:(CREC-\d{4}-\d{2}-\d{2})", 1))
-    same = content_fingerprint(F.col("text"), F.col("date"), F.col("chamber"), F.col("bioguide"), F.col("speaker_name"))
-    return drop_repeated_content(turns, "package", same, [F.col("turn_id")]).drop("package")
+    rows = granules if classes is None else granules.filter(F.upper("granule_class").isin(*classes))
+    rows = rows.withColumn("text", html_text(F.col("text"))).withColumn("chamber", chamber_of(F.coalesce(blank_to_null(F.col("granule_class")), F.col("chamber"))))
+    rows = rows.withColumn("congress", congress_or_date(F.col("congress"), F.col("date"))).filter("congress > 0")
+    turns = turns_of(rows, "package", "place")
+    procedural = F.when(F.col("is_procedural"), "1").otherwise("0")
+    same = content_fingerprint(F.col("text"), F.col("bioguide"), F.col("speaker_name"), F.col("chamber"), procedural)
+    order = [F.col("place"), F.col("segment"), F.endswith("turn_id", F.lit("-inserted"))]
+    return drop_repeated_content(turns, "package", same, order).drop("package", "place", "segment")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.agreement import FIELDS
-from lectern.operators.metrics import source_ranges
+from lectern.operators.metrics import primary_boundary_year, source_ranges
 from lectern.operators.sampling import slices
 
 
@@ -27,8 +27,15 @@ def write_json(rows: DataFrame, path: str) -> None:
     json_records(rows).write.mode("overwrite").text(path)
 
 
+def source_metadata(table: DataFrame) -> DataFrame:
+    """One row: the ranges of each source, and the first year in which the later source leads."""
+    ranges = source_ranges(table).agg(F.array_sort(F.collect_list(F.struct("source", "min_congress", "max_congress", "min_year", "max_year", "rows"))).alias("sources"))
+    year = primary_boundary_year(table)
+    return ranges.withColumn("_one", F.lit(1)).join(year.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def write_source_metadata(table: DataFrame, path: str) -> None:
-    write_json(source_ranges(table), path)
+    write_json(source_metadata(table), path)
 
 
 def write_annotation_batches(sample: DataFrame, path: str, size: int = 50) -> None:
