@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Annotation fields and their vocabularies, and the score that predicts each field.
@@ -46,7 +46,23 @@ def repeated_ids(rows: DataFrame, key: str = "sample_id") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def one_a_key(rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``rows``; a blank or repeated key fails the job. The shuffle by key serves a join on it too."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    wrong = F.raise_error(F.concat(F.lit(f"blank or repeated {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    ok = (F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "") & (F.col("_n") == 1)
+    return rows.withColumn("_n", n).filter(F.when(ok, True).otherwise(wrong)).drop("_n")
+
+
+def require_same_ids(a: DataFrame, b: DataFrame, keys=("sample_id",)) -> None:
+    """Raise unless both sides have the same ids (and identity columns)."""
+    first = id_differences(a, b, keys).first()
+    if first is not None:
+        raise ValueError(f"only in {first['only_in']}: {[first[k] for k in keys]}")
+
+
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    a, b = one_a_key(a), one_a_key(b)
     other = b.select("sample_id", *[F.col(c).alias(f"{c}_b") for c in b.columns if c != "sample_id"])
     return a.select("sample_id", *[F.col(c).alias(f"{c}_a") for c in a.columns if c != "sample_id"]).join(other, "sample_id")
 
@@ -71,7 +87,14 @@ def to_adjudicate(a: DataFrame, b: DataFrame, fields=FIELDS) -> DataFrame:
 
 
 def final_labels(a: DataFrame, b: DataFrame, adjudicated: DataFrame, fields=FIELDS) -> DataFrame:
-    """The common value, else the adjudicated one; confidence and rationale of whoever decided."""
+    """The common value, else the adjudicated one; confidence and rationale of whoever decided.
+
+    Both passes must have the same ids, once each, and adjudications no others; anything else raises.
+    """
+    require_same_ids(a, b)
+    if not adjudicated.join(a, "sample_id", "left_anti").isEmpty():
+        raise ValueError("adjudications of samples that were not annotated")
+    adjudicated = one_a_key(adjudicated)
     third = adjudicated.select("sample_id", *[F.col(c).alias(f"{c}_c") for c in (*fields, "confidence", "rationale")])
     joined = _both(a, b).join(third, "sample_id", "left")
     same = {f: (F.col(f"{f}_a") == F.col(f"{f}_b")) & F.col(f"{f}_a").isNotNull() for f in fields}
@@ -84,6 +107,7 @@ def final_labels(a: DataFrame, b: DataFrame, adjudicated: DataFrame, fields=FIEL
 
 def precision_recall(labels: DataFrame, scores: DataFrame, meta: DataFrame, predicted_by=PREDICTED_BY) -> DataFrame:
     """Per field, overall (era and source 'all') and by era and source family, in one pass of grouping sets."""
+    labels, scores = one_a_key(labels), one_a_key(scores)
     joined = labels.join(scores, "sample_id").join(meta.select("sample_id", "era", "source_family"), "sample_id")
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f)).alias("label"), (F.coalesce(F.col(s), F.lit(0)) > 0).alias("predicted")) for f, s in predicted_by.items()])
     long = joined.select("era", "source_family", F.inline(each)).withColumn("valid", F.coalesce(F.col("label").isin("yes", "no"), F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.scratch import stored
 
 
 def manifest_profile(rows: DataFrame, id_: str, date: str, malformed: Column | None = None) -> DataFrame:
@@ -29,6 +30,12 @@ def file_profile(files: DataFrame, date: str) -> DataFrame:
     return named.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.max("bytes").alias("bytes"))
 
 
+def source_profile(profile: DataFrame) -> DataFrame:
+    """By source, which is the file name before its last underscore: files, rows and date range of a file profile."""
+    source = F.regexp_replace(F.regexp_replace("file", r"\.parquet\z", ""), r"_[^_]*\z", "")
+    return profile.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+
+
 def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Wanted keys that are not present."""
     return wanted.join(present.select(key).distinct(), key, "left_anti")
@@ -45,9 +52,8 @@ def reconcile(checkpoint: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 def interior_gaps(corpus: DataFrame, manifest: DataFrame, day: str) -> DataFrame:
     """Days of the corpus between the manifest's first and last day that the manifest lacks."""
-    bounds = manifest.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    inside = corpus.select(day).distinct().join(F.broadcast(bounds), F.col(day).between(F.col("_lo"), F.col("_hi"))).select(day)
-    return missing(inside, manifest, day)
+    lo, hi = manifest.agg(F.min(day), F.max(day)).first()  # literals reach the scan, which skips row groups outside
+    return missing(corpus.select(day).filter(F.col(day).between(F.lit(lo), F.lit(hi))).distinct(), manifest, day)
 
 
 def month_chunks(first: str, last: str, spark) -> DataFrame:
@@ -58,4 +64,4 @@ def month_chunks(first: str, last: str, spark) -> DataFrame:
 
 
 def known_days(turns: DataFrame, day: str, max_rows: int = 200_000) -> DataFrame:
-    return small_or_shuffled(turns.select(day).distinct(), max_rows)
+    return small_or_shuffled(stored(turns.select(day).distinct(), "known-days"), max_rows)
