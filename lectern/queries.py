@@ -27,13 +27,14 @@ from lectern.operators import reports as rep
 from lectern.operators import sampling as smp
 from lectern.operators import segments as seg
 from lectern.operators import series as ser
+from lectern.plans.parallelism import spread
+from lectern.score_sql import TOKEN_SQL, contexts, one_of, quoted, raw_and_rates, score_ctes, spans, sums, unnegated, windows
 from lectern.sources.packages import html_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-TOKEN_SQL = r"[a-z0-9]+(?:[-''’][a-z0-9]+)*"
 TURNS_SQL = r"""
 turns AS (
   SELECT doc_id, doc_id::VARCHAR AS turn_id,
@@ -46,7 +47,7 @@ turns AS (
 SCORED_SQL = rf"""{TURNS_SQL},
 tok AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_SQL}') AS t, lower(coalesce(text, '')) AS low FROM turns),
 scored AS (SELECT *, len(t) AS n_words, len(list_filter(t, lambda x: x IN ('the', 'thing', 'things', 'thinged', 'thinging'))) AS single_hits,
-           len(regexp_extract_all(low, '\bof\s+the\b')) + len(regexp_extract_all(low, '\bin\s+the\b')) AS phrase_hits FROM tok)"""
+           len(regexp_extract_all(low, '\band\s+in\b')) AS phrase_hits FROM tok)"""
 DAILY_SQL = """
 daily AS (
   SELECT 'B' || (user_id % 97) AS bioguide, strftime(ts, '%Y-%m-%d') AS date,
@@ -78,7 +79,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    d, i = spread(table(spark, sf, "documents")), F.col("doc_id")
     pick = lambda x, n, names: F.element_at(F.array(*map(F.lit, names)), (x % n + 1).cast("int"))
     return d.select(
         "doc_id", i.cast("string").alias("turn_id"), pick(i, 3, ["govinfo", "hein_bound", "hein_daily"]).alias("source"),
@@ -113,11 +114,11 @@ def bills(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Terms that occur in the tables.
-DEMO = Lexicon.compile(["the", "thing", "of the", "in the"])
+DEMO = Lexicon.compile(["the", "thing", "of the", "and in"])
 
 
 def demo_scorer() -> Scorer:
-    terms = {"courtesy": ["the thing"], "gratitude": ["of the"], "cooperation": ["and"], "hostility": ["edth", "in the"], "misconduct": ["thing"], "labels": ["ing"], "idioms": ["to the", "the other"]}
+    terms = {"courtesy": ["the thing"], "gratitude": ["of the"], "cooperation": ["and"], "hostility": ["edth", "in the"], "misconduct": ["thing", "se"], "labels": ["ing"], "idioms": ["to the", "the other"]}
     return Scorer.compile(terms, ["er\tmild", "on\tstrong"], ["in"])
 
 
@@ -131,18 +132,18 @@ def token_count(spark, sf):
     return hits(spark, sf).select("doc_id", "n_words")
 
 
-# Both phrases hold one lexicon word, 'the', so a phrase hit adds one and takes one away.
-@query("lex_count", f"WITH {SCORED_SQL} SELECT doc_id, single_hits::BIGINT AS hits FROM scored")
+# 'of the' holds one lexicon word, so its hit adds one and takes one away; 'and in' holds none.
+@query("lex_count", f"WITH {SCORED_SQL} SELECT doc_id, (single_hits + phrase_hits)::BIGINT AS hits FROM scored")
 def lex_count(spark, sf):
     return hits(spark, sf).select("doc_id", tx.count_hits(DEMO, F.col("low"), F.col("tok")).cast("long").alias("hits"))
 
 
-@query("lex_count_excluding", rf"WITH {SCORED_SQL} SELECT doc_id, greatest(0, single_hits - len(regexp_extract_all(low, '\bthe\s+a[a-z]*\b')))::BIGINT AS hits FROM scored")
+@query("lex_count_excluding", rf"WITH {SCORED_SQL} SELECT doc_id, greatest(0, single_hits + phrase_hits - len(regexp_extract_all(low, '\bthe\s+a[a-z]*\b')))::BIGINT AS hits FROM scored")
 def lex_count_excluding(spark, sf):
     return hits(spark, sf).select("doc_id", tx.count_hits_excluding(DEMO, F.col("low"), F.col("tok"), r"\bthe\s+a[a-z]*\b").cast("long").alias("hits"))
 
 
-@query("rate_per_1k", f"WITH {SCORED_SQL} SELECT party, sum(n_words)::BIGINT AS words, sum(single_hits)::BIGINT AS hits, CASE WHEN sum(n_words) = 0 THEN 0.0 ELSE sum(single_hits) * 1000.0 / sum(n_words) END AS rate FROM scored GROUP BY party")
+@query("rate_per_1k", f"WITH {SCORED_SQL} SELECT party, sum(n_words)::BIGINT AS words, sum(single_hits + phrase_hits)::BIGINT AS hits, CASE WHEN sum(n_words) = 0 THEN 0.0 ELSE sum(single_hits + phrase_hits) * 1000.0 / sum(n_words) END AS rate FROM scored GROUP BY party")
 def rate_per_1k(spark, sf):
     d = hits(spark, sf).withColumn("h", tx.count_hits(DEMO, F.col("low"), F.col("tok")))
     g = d.groupBy("party").agg(F.sum("n_words").alias("words"), F.sum("h").alias("hits"))
@@ -156,13 +157,20 @@ def scored_table(spark, sf):
 
 
 METRIC_SQL = f"""WITH {SCORED_SQL},
-m AS (SELECT source, congress, chamber, party, count(*)::BIGINT AS turns, sum(n_words)::BIGINT AS words, sum(single_hits)::BIGINT AS hits, (1789 + 2 * (congress - 1))::INTEGER AS year,
-             CASE WHEN sum(n_words) = 0 THEN 0.0 ELSE sum(single_hits) * 1000.0 / sum(n_words) END AS rate FROM scored WHERE NOT is_procedural GROUP BY ALL)"""
+m AS (SELECT source, congress, chamber, party, count(*)::BIGINT AS turns, sum(n_words)::BIGINT AS words, sum(single_hits + phrase_hits)::BIGINT AS hits, (1789 + 2 * (congress - 1))::INTEGER AS year,
+             CASE WHEN sum(n_words) = 0 THEN 0.0 ELSE sum(single_hits + phrase_hits) * 1000.0 / sum(n_words) END AS rate FROM scored WHERE NOT is_procedural GROUP BY ALL)"""
 
 
-@query("metric_table", f"{METRIC_SQL} SELECT * FROM m")
+SCORES_SQL = f"{TURNS_SQL}, {score_ctes(demo_scorer())}"
+SUMS_SQL = f"""spoken AS (SELECT source, congress, chamber, party, count(*)::BIGINT AS turns, sum(n_words)::BIGINT AS words, {sums()} FROM turns JOIN scores USING (doc_id) WHERE NOT is_procedural GROUP BY ALL)"""
+
+
+@query("metric_table", f"WITH {SCORES_SQL}, {SUMS_SQL}, a AS (SELECT congress, party, sum(turns)::BIGINT AS turns, sum(words)::BIGINT AS words, {sums()} FROM spoken GROUP BY ALL) SELECT 'all' AS source, congress, (1789 + 2 * (congress - 1))::INTEGER AS year, 'all' AS chamber, party, turns, words, {raw_and_rates()} FROM a")
 def metric_table(spark, sf):
-    return scored_table(spark, sf)
+    """The metric table of partial sums that are merged over sources and chambers first."""
+    scored = score_turns(met.substantive(met.with_groups(turns(spark, sf))), demo_scorer())
+    merged = met.merge_sums(met.sum_scores(scored), ("congress", "party"))
+    return met.metric_table(merged.withColumn("source", F.lit("all")).withColumn("chamber", F.lit("all")))
 
 
 @query("primary_source_pick", f"""{METRIC_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY congress, chamber, party ORDER BY source) AS k FROM m
@@ -176,13 +184,13 @@ def source_ranges(spark, sf):
     return met.source_ranges(scored_table(spark, sf))
 
 
-@query("score_vector")
+@query("score_vector", f"WITH {SCORES_SQL} SELECT * FROM scores")
 def score_vector(spark, sf):
-    """All nineteen scores with a lexicon that occurs; held against a pure-Python scorer in the tests."""
+    """All nineteen scores with a lexicon that occurs."""
     return score_turns(turns(spark, sf), demo_scorer()).select("doc_id", "n_words", *SCORES)
 
 
-@query("full_metric_table")
+@query("full_metric_table", f"WITH {SCORES_SQL}, {SUMS_SQL} SELECT source, congress, (1789 + 2 * (congress - 1))::INTEGER AS year, chamber, party, turns, words, {raw_and_rates()} FROM spoken")
 def full_metric_table(spark, sf):
     scored = score_turns(met.substantive(met.with_groups(turns(spark, sf))), demo_scorer())
     return met.metric_table(met.sum_scores(scored))
@@ -223,12 +231,12 @@ def dedup_prefer_flag(spark, sf):
     return dd.prefer_unflagged(e, "user_id", "backfilled", [F.col("event_id")])
 
 
-@query("segment_turns", r"""WITH p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\bOf\b') AS parts FROM documents WHERE lang = 'en'),
+@query("segment_turns", r"""WITH p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\bOf\b') AS parts FROM documents),
 e AS (SELECT doc_id, unnest(range(0, len(parts))) AS i, len(parts) AS n, parts FROM p)
 SELECT doc_id, (CASE WHEN trim(parts[1], E' \t\n\r\f\v') <> '' OR n = 1 THEN i ELSE i - 1 END)::INTEGER AS i, CASE WHEN i = 0 THEN '' ELSE 'Of' END AS marker, trim(parts[i + 1], E' \t\n\r\f\v') AS body
 FROM e WHERE trim(parts[i + 1], E' \t\n\r\f\v') <> ''""")
 def segment_turns(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = d.select("doc_id", F.posexplode(seg.segments(F.col("text"), r"\b(Of)\b")).alias("i", "s"))
     return rows.select("doc_id", "i", "s.marker", "s.body").filter("body <> ''")
 
@@ -238,32 +246,38 @@ def html_text_query(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-@query("mask_quotes", r"""SELECT doc_id, length(text) AS n_chars, regexp_replace(text, '\[\[', '', 'g') IS NOT NULL AS ok,
-  len(regexp_extract_all(text, '(?s)\bthe\b.{0,40}?\bof\b'))::INTEGER AS n_quotes, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s)\bthe\b.{0,40}?\bof\b'), lambda x: length(x))), 0)::BIGINT AS quoted_chars
-FROM documents WHERE lang = 'en'""")
+@query("mask_quotes", r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?s)the(.{0,100}?)of', 1) AS inner_texts, regexp_extract_all(text, '(?s)the.{0,100}?of') AS found, string_split_regex(text, '(?s)the.{0,100}?of') AS gaps FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, sha256(coalesce(list_reduce(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(repeat(' ', length(found[i])), '')), lambda a, b: a || b), '')) AS spoken_sha256,
+  sha256(coalesce(array_to_string(inner_texts, ' '), '')) AS quoted_sha256 FROM d""")
 def mask_quotes(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
-    pattern = r"(?s)\bthe\b.{0,40}?\bof\b"
-    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    masked = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit("")))), "")
-    quoted = F.aggregate(found, F.lit(0), lambda n, m: n + F.length(m)).cast("long")
-    return d.select("doc_id", F.length(masked).cast("long").alias("n_chars"), F.lit(True).alias("ok"), F.size(found).alias("n_quotes"), quoted.alias("quoted_chars"))
+    """The record's quotation marks do not occur in the documents: ``the`` opens and ``of`` closes here, up to 100 characters apart."""
+    spoken, quoted_text = tx.mask_quotes(F.coalesce("text", F.lit("")), "the", "of", 100)
+    return spread(table(spark, sf, "documents")).select("doc_id", F.sha2(spoken, 256).alias("spoken_sha256"), F.sha2(quoted_text, 256).alias("quoted_sha256"))
+
 
+IDIOMS_SQL = f"""low AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents),
+refs AS ({spans("low", "doc_id", quoted(demo_scorer().idioms.phrases))})"""
+DEMO_HITS = rf"(len(list_filter(regexp_extract_all(s, '{TOKEN_SQL}'), lambda x: x IN {one_of(DEMO.words)})) + len(regexp_extract_all(s, '\band\s+in\b')))"
 
-@query("window_counts")
+
+@query("window_counts", f"""WITH {IDIOMS_SQL}, w AS ({windows("doc_id", "low", "refs")}), n AS (SELECT doc_id, count(*) AS refs FROM refs GROUP BY 1)
+SELECT doc_id, coalesce(refs, 0)::INTEGER AS refs, coalesce({DEMO_HITS}, 0)::INTEGER AS near_hits FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id)""")
 def window_counts(spark, sf):
     d = hits(spark, sf).withColumn("spans", tx.lexicon_spans(demo_scorer().idioms, F.col("low")))
     w = d.withColumn("win", tx.window_text(F.col("low"), F.col("spans")))
     return w.select("doc_id", F.size("spans").alias("refs"), tx.count_hits(DEMO, F.col("win"), tx.tokens(F.col("win"))).alias("near_hits"))
 
 
-@query("context_counts")
+@query("context_counts", f"""WITH {IDIOMS_SQL}, c AS (SELECT doc_id, count(*) AS refs, count_if({DEMO_HITS} > 0) AS contexts FROM ({contexts("doc_id", "low", "refs")}) GROUP BY 1)
+SELECT doc_id, coalesce(refs, 0)::INTEGER AS refs, coalesce(contexts, 0)::INTEGER AS contexts FROM documents LEFT JOIN c USING (doc_id)""")
 def context_counts(spark, sf):
     d = hits(spark, sf).withColumn("spans", tx.lexicon_spans(demo_scorer().idioms, F.col("low"))).withColumn("ctx", tx.span_contexts(F.col("low"), F.col("spans")))
     return d.select("doc_id", F.size("ctx").alias("refs"), F.size(F.filter("ctx", lambda c: tx.count_hits(DEMO, c, tx.tokens(c)) > 0)).alias("contexts"))
 
 
-@query("negated_spans")
+@query("negated_spans", rf"""WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents), the AS (SELECT doc_id, st, en FROM ({spans("low", "doc_id", TOKEN_SQL)}) WHERE hit = 'the'),
+k AS (SELECT doc_id, count(*) AS kept FROM ({unnegated("the", "low", "doc_id", r"\b(?:of|in)\s+\z", r"\A\s*(?:,\s*)?(?:or|and)\s*\z")}) GROUP BY 1), a AS (SELECT doc_id, count(*) AS spans FROM the GROUP BY 1)
+SELECT doc_id, coalesce(spans, 0)::INTEGER AS spans, coalesce(kept, 0)::INTEGER AS kept FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def negated_spans(spark, sf):
     d = hits(spark, sf).withColumn("spans", tx.lexicon_spans(Lexicon.compile(["the"]), F.col("low")))
     kept = tx.unnegated(F.col("spans"), F.col("low"), r"\b(?:of|in)\s+\z", r"\A\s*(?:,\s*)?(?:or|and)\s*\z")
@@ -283,9 +297,14 @@ def congress_year(spark, sf):
     return table(spark, sf, "orders").select(y.alias("y")).distinct().select("y", dom.congress_of_year(F.col("y")).alias("congress"), dom.year_of_congress(dom.congress_of_year(F.col("y"))).alias("first_year"))
 
 
-@query("member_day", f"WITH {DAILY_SQL} SELECT bioguide, date, chamber, party, congress, turns, words, profanity_hits, hostility_hits, misconduct_hits FROM daily")
+@query("member_day", f"""WITH {SCORES_SQL}, s AS (SELECT * FROM turns JOIN scores USING (doc_id) WHERE NOT is_procedural),
+w AS (SELECT bioguide, arg_max(party, date || lpad(doc_id::VARCHAR, 12, '0')) AS party FROM s GROUP BY bioguide)
+SELECT s.bioguide, date, chamber, w.party, arg_max(congress, doc_id) AS congress, count(*)::BIGINT AS turns, sum(n_words)::BIGINT AS words, sum(profanity_hits)::BIGINT AS profanity_hits,
+  sum(hostility_hits)::BIGINT AS hostility_hits, sum(misconduct_hits)::BIGINT AS misconduct_hits FROM s JOIN w USING (bioguide) GROUP BY s.bioguide, date, chamber, w.party""")
 def member_day(spark, sf):
-    return daily(spark, sf).select("bioguide", "date", "chamber", "party", "congress", "turns", "words", *mem.HITS)
+    """Scored turns to member-days. The texts hold no quotation marks of the record, so nothing is masked."""
+    t = mem.attributed(turns(spark, sf)).withColumn("pos", F.col("doc_id"))
+    return mem.member_day(mem.score_spoken(t, demo_scorer())).select("bioguide", "date", "chamber", "party", "congress", "turns", "words", *mem.HITS)
 
 
 @query("latest_attrs", """WITH e AS (SELECT user_id, nullif(trim(CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END), '') AS name, ts, event_id FROM events)
@@ -431,9 +450,12 @@ def rollup_levels(spark, sf):
     return ser.rollup_levels(scored_table(spark, sf), [["year", "party"], ["year", "party", "chamber"]], ["words", "hits"]).select("year", "party", "chamber", "level", "words", "hits")
 
 
-@query("pivot_asymmetry", f"{METRIC_SQL} SELECT year, chamber, round(avg(rate) FILTER (WHERE party = 'R') - avg(rate) FILTER (WHERE party = 'D'), 9) AS gap FROM m GROUP BY ALL HAVING count_if(party = 'R') > 0 AND count_if(party = 'D') > 0")
+@query("pivot_asymmetry", f"""{METRIC_SQL}, g AS (SELECT year, chamber, avg(rate) FILTER (WHERE party = 'D') - avg(rate) FILTER (WHERE party = 'R') AS gap FROM m GROUP BY ALL HAVING count_if(party = 'R') > 0 AND count_if(party = 'D') > 0),
+w AS (SELECT year, max(gap) FILTER (WHERE chamber = 'house') AS house, max(gap) FILTER (WHERE chamber = 'senate') AS senate FROM g GROUP BY year)
+SELECT year, round(house, 9) AS house, round(senate, 9) AS senate, round((house + senate) / 2, 9) AS gap FROM w WHERE house IS NOT NULL AND senate IS NOT NULL""")
 def pivot_asymmetry(spark, sf):
-    return ser.party_gap(scored_table(spark, sf), "rate", ["year", "chamber"]).select("year", "chamber", F.round("gap", 9).alias("gap"))
+    wide = ser.chamber_mean_gap(scored_table(spark, sf), "rate", ["year"])
+    return wide.select("year", *(F.round(c, 9).alias(c) for c in ("house", "senate", "gap")))
 
 
 @query("rolling_centered", """WITH y AS (SELECT o_orderpriority AS party, year(o_orderdate)::INTEGER AS y, count(*)::BIGINT AS n FROM orders GROUP BY ALL)
@@ -533,10 +555,10 @@ def rows_by_year(spark, sf):
     return cov.rows_by_year(table(spark, sf, "orders").withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd")), "d")
 
 
-@query("interior_gaps", """WITH m AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 50 = 0) SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem WHERE l_shipdate::DATE BETWEEN (SELECT min(day) FROM m) AND (SELECT max(day) FROM m) AND l_shipdate::DATE NOT IN (SELECT day FROM m)""")
+@query("interior_gaps", """WITH m AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'P') SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem WHERE l_shipdate::DATE BETWEEN (SELECT min(day) FROM m) AND (SELECT max(day) FROM m) AND l_shipdate::DATE NOT IN (SELECT day FROM m)""")
 def interior_gaps(spark, sf):
     corpus = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
-    manifest = table(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("day"))
+    manifest = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("day"))
     return cov.interior_gaps(corpus, manifest, "day")
 
 
@@ -573,12 +595,15 @@ def party_findings(spark, sf):
     return rep.party_findings(daily(spark, sf))
 
 
-@query("signal_correlations", """WITH d AS (SELECT * FROM documents ORDER BY sha256(doc_id::VARCHAR), doc_id LIMIT 500), f AS (SELECT n_chars AS a, length(text) - length(replace(text, 'e', '')) AS b FROM d),
-r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM f) SELECT 'a' AS a, 'b' AS b, round(corr(ra, rb), 9) AS spearman FROM r""")
+SIGNALS = ("formal_courtesy_hits", "gratitude_praise_hits", "hostility_hits", "misconduct_hits")
+_PAIRS = [(a, b) for i, a in enumerate(SIGNALS) for b in SIGNALS[i + 1 :]]
+_AVERAGE_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in SIGNALS)
+
+
+@query("signal_correlations", f"WITH {SCORES_SQL}, r AS (SELECT {_AVERAGE_RANKS} FROM scores) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS spearman FROM r" for a, b in _PAIRS))
 def signal_correlations(spark, sf):
-    d = rep.hash_sample(table(spark, sf, "documents"), "doc_id", 500)
-    f = d.select(F.col("n_chars").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("b"))
-    return rep.rank_correlations(f, ["a", "b"]).withColumn("spearman", F.round("spearman", 9))
+    scored = score_turns(turns(spark, sf), demo_scorer()).select(*SIGNALS)
+    return rep.rank_correlations(scored, list(SIGNALS)).withColumn("spearman", F.round("spearman", 9))
 
 
 @query("final_labels", f"{PASSES_SQL} SELECT sample_id, CASE WHEN doc_id % 7 = 0 THEN 'no' ELSE profanity END AS profanity, personal_attack, CASE WHEN doc_id % 7 = 0 THEN 'high' ELSE 'low' END AS confidence FROM a")
@@ -600,7 +625,7 @@ def id_differences(spark, sf):
     return agr.id_differences(a.filter("sample_id % 5 <> 0 OR sample_id % 3 = 0"), a.filter("sample_id % 3 <> 0"))
 
 
-@query("incremental_totals")
+@query("incremental_totals", f"WITH {SCORES_SQL}, {SUMS_SQL} SELECT * FROM spoken")
 def incremental_totals(spark, sf):
     """Shard sums merged; equal to the full table (tested)."""
     t = turns(spark, sf).withColumn("shard", F.concat_ws(":", "source", F.col("congress").cast("string"))).withColumn("file", F.col("source")).withColumn("pos", F.col("doc_id"))

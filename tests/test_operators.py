@@ -191,9 +191,11 @@ def test_zipped_speeches_equal_plain_ones(spark, tmp_path):
 def test_publish_guards_and_missing_tables(spark, tmp_path):
     assert turn_files.load_partitions(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError, match="rejected"):
-        turn_files.publish(frame(spark, [turn(1)]), 10, 5, str(tmp_path / "t"))
+        turn_files.publish(frame(spark, [turn(1)]), {"manifest_rows": 10, "malformed_json": 1}, str(tmp_path / "t"))
     with pytest.raises(ValueError, match="no turns"):
-        turn_files.publish(frame(spark, []), 10, 0, str(tmp_path / "t"))
+        turn_files.publish(frame(spark, []), {"manifest_rows": 10}, str(tmp_path / "t"))
+    stats = turn_files.publish(frame(spark, [turn(1)]), {"manifest_rows": 2, "invalid_rows": 1}, str(tmp_path / "t"), str(tmp_path / "stats"), max_rejected=1)
+    assert stats["turns_written"] == 1 and spark.read.json(str(tmp_path / "stats")).first()["invalid_rows"] == 1
 
 
 def test_scalar_functions(spark):
