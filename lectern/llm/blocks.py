@@ -19,6 +19,8 @@ _BYTE_FOLDED = _BYTE.copy()
 _BYTE_FOLDED[65:91] = _BYTE[97:123]
 _STEP = U(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, dtype=np.uint64)
+_UNSTEP = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_INVERSE = np.ones(1, dtype=np.uint64)
 
 #: Class of each byte; a word is a maximal run of one class, class 0 separates.
 #: Words are runs of bytes other than space and tab to carriage return.
@@ -39,6 +41,16 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Inverses modulo 2**64 of :func:`powers`, at least ``n`` of them."""
+    global _INVERSE
+    if len(_INVERSE) < n:
+        steps = np.full(max(n, 4096), _UNSTEP, dtype=np.uint64)
+        steps[0] = 1
+        _INVERSE = np.multiply.accumulate(steps)
+    return _INVERSE
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the public splitmix64 finaliser)."""
     h = h ^ (h >> U(30))

@@ -10,7 +10,8 @@ A minimiser with more distinct packed strings than ``HOT_STRINGS`` would make a
 counted by the window itself instead, a grouping with map-side combine, so no bucket grows with one phrase.
 
 Null texts have no words. Windows are judged on the input. doc_ids may be null or repeat: occurrences are told
-apart by doc_id and text, and rows that repeat both get the same result. Other columns are ignored.
+apart by doc_id and text, and rows that repeat both get the same result. doc_ids must be whole numbers, or strings
+of such. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.blocks import U, mix, ngram_hashes, powers, word_blocks
+from lectern.llm.blocks import U, inverse_powers, mix, ngram_hashes, powers, word_blocks
 from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
 WINDOW_WORDS = 35
@@ -68,12 +70,10 @@ def superkmers(words, window: int, seed: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [len(starts)])))
     begin, text = starts[first], text[first]
-    # Hash of words begin .. begin + n + window - 2, whatever their place: prefix sums times inverse powers.
-    p = powers(len(hashes) + 1)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * p[: len(hashes)], dtype=np.uint64)))
+    # Hash of words begin .. begin + n + window - 2, whatever their place: prefix sums times the inverse power of begin.
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes))[: len(hashes)], dtype=np.uint64)))
     length = n + window - 1
-    top = len(hashes)
-    body = (prefix[begin + length] - prefix[begin]) * p[top - begin]
+    body = (prefix[begin + length] - prefix[begin]) * inverse_powers(len(hashes))[begin]
     return text + words.first, begin - bounds[text], n, grams[place[first]], mix(body + length.astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
@@ -226,7 +226,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW_WORDS, seed: int =
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
