@@ -1,19 +1,22 @@
 """Main text of web pages with a tree-structured graphical model over DOM nodes.
 
-Every block-level element (and every inline element with a class or id) is a node that is content or not. A
+Every block-level element (and every inline element with a class or id) is a node that is content or not; inline
+nodes do not end a block, they only mark their part of its text. A
 node's own potential comes from its tag, its class, id and role words and its text; parent-child potentials
 connect it with its parent. Sum-product messages go up and down the tree, so marginals are exact: a paragraph
 in a sidebar is told from one in the article by its ancestors, an advert in the article by itself. Weights are
 fitted by the likelihood of labelled pages, whose elements carry ``data-content="1"`` or ``"0"`` (inherited;
 the attribute is never a feature). Fitting takes at most about ``TRAIN_PAGES`` labelled pages, in one task.
 
-Blocks end where a block-level element begins or ends; ``br`` is white space. Null or empty html gives an
+Blocks end where a block-level element begins or ends, nowhere else; ``br`` is white space. A block is what its content
+nodes have of it. Null or empty html gives an
 empty text. Every input row has a result row, also if page_id is null or repeated. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
 import zlib
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.plans.parallelism import spread
+
 FEATURES = 1 << 12
 TRAIN_PAGES = 2_000
-STEPS = 300
+STEPS = 200
 DATA_CONTENT = "data-content"
 BLOCK_CHARS = 1 << 21
 
@@ -65,7 +70,7 @@ class Page:
     chars: list[int] = field(default_factory=list)
     link_chars: list[int] = field(default_factory=list)
     marks: list[int] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[list[tuple[int, str]]] = field(default_factory=list)  # (node, text as written) of each part
 
     def add(self, parent: int, tag: str, names: tuple[str, ...], label: int) -> int:
         for values, value in zip((self.parent, self.tag, self.names, self.label, self.chars, self.link_chars, self.marks), (parent, tag, names, label, 0, 0, 0), strict=True):
@@ -77,21 +82,23 @@ def parse(source: str | None) -> Page:
     page = Page()
     root = page.add(-1, "#page", (), 0)
     stack: list[tuple[str, int]] = [("#page", root)]  # open elements and their node
-    run: list[str] = []
+    run: list[tuple[int, str]] = []
     links = 0
 
     def flush() -> None:
-        text = " ".join("".join(run).split())
-        run.clear()
-        if text:
-            node = stack[-1][1]
-            page.chars[node] += len(text)
+        parts: list[tuple[int, str]] = []
+        for node, pieces in itertools.groupby(run, key=lambda x: x[0]):
+            text = "".join(t for _, t in pieces)
+            parts.append((node, text))
+            page.chars[node] += len(" ".join(text.split()))
             page.marks[node] += sum(text.count(c) for c in ".,;:!?")
-            page.blocks.append((node, text))
+        run.clear()
+        if any(not t.isspace() for _, t in parts):
+            page.blocks.append(parts)
 
     def pop_to(k: int) -> None:
         nonlocal links
-        if any(t in BLOCK for t, _ in stack[k:]) or stack[-1][1] != stack[k - 1][1]:
+        if any(t in BLOCK for t, _ in stack[k:]):
             flush()
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
@@ -113,14 +120,14 @@ def parse(source: str | None) -> Page:
             lt = size
         if lt > at:
             text = html.unescape(source[at:lt])
-            run.append(text)
+            run.append((stack[-1][1], text))
             if links:
                 page.link_chars[stack[-1][1]] += len(text)
         if lt == size:
             break
         m = TAG.match(source, lt)
         if not m:
-            run.append("<")
+            run.append((stack[-1][1], "<"))
             at = lt + 1
             continue
         at = m.end()
@@ -144,7 +151,7 @@ def parse(source: str | None) -> Page:
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag == "br":
-            run.append(" ")
+            run.append((stack[-1][1], " "))
         names, label = (), page.label[stack[-1][1]]
         if m[3].strip():
             found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])}
@@ -155,8 +162,6 @@ def parse(source: str | None) -> Page:
         if tag in VOID:
             continue
         node = page.add(stack[-1][1], tag, names, label) if tag in BLOCK or names else stack[-1][1]
-        if node != stack[-1][1]:
-            flush()
         stack.append((tag, node))
         links += tag == "a"
     pop_to(1)
@@ -190,14 +195,15 @@ def edge_kind(tag: str, chars: int) -> int:
 
 @dataclass
 class Forest:
-    """Nodes of many pages in arrays; node 0 of each page is its root."""
+    """Nodes of many pages in arrays, by depth, so that each level is a slice; node 0 of each page is its root."""
 
     parent: np.ndarray
-    depth: np.ndarray
     kind: np.ndarray
     feature: np.ndarray
     owner: np.ndarray
     label: np.ndarray
+    place: np.ndarray  # of each node in page order
+    borders: np.ndarray  # of the levels
 
     @classmethod
     def of(cls, pages: list[Page]) -> Forest:
@@ -212,11 +218,18 @@ class Forest:
                 feature += found
                 owner += [base + i] * len(found)
                 label.append(page.label[i])
-        return cls(*(np.array(x, dtype=np.int64) for x in (parent, depth, kind, feature, owner, label)))
+        parent, depth, kind, feature, owner, label = (np.array(x, dtype=np.int64) for x in (parent, depth, kind, feature, owner, label))
+        order = np.argsort(depth, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        above = np.where(parent < 0, -1, place[parent]) if len(parent) else parent
+        borders = np.searchsorted(depth[order], np.arange(depth.max() + 2)) if len(order) else np.zeros(1, np.int64)
+        return cls(above[order], kind[order], feature, place[owner] if len(owner) else owner, label[order], place, borders)
 
-    def levels(self) -> list[np.ndarray]:
-        order = np.argsort(self.depth, kind="stable")
-        return np.split(order, np.searchsorted(self.depth[order], np.arange(1, self.depth.max() + 1))) if len(order) else []
+    def levels(self) -> list[tuple[slice, slice, np.ndarray]]:
+        """(nodes, nodes of the level above, parents' places in that level) of each level below the roots."""
+        b = self.borders
+        return [(slice(b[k], b[k + 1]), slice(b[k - 1], b[k]), self.parent[b[k] : b[k + 1]] - b[k - 1]) for k in range(1, len(b) - 1)]
 
 
 @dataclass
@@ -230,17 +243,18 @@ class TreeModel:
         own = np.zeros((n, 2))
         own[:, 1] = np.bincount(forest.owner, weights=self.own[forest.feature], minlength=n)
         below, up = own.copy(), np.zeros((n, 2))
-        levels = forest.levels()
-        for nodes in reversed(levels[1:]):
-            up[nodes] = np.logaddexp.reduce(self.pair[forest.kind[nodes]] + below[nodes][:, None, :], axis=2)
-            np.add.at(below, forest.parent[nodes], up[nodes])
+        levels, edge = forest.levels(), self.pair[forest.kind]
+        for nodes, above, at in reversed(levels):
+            both = edge[nodes] + below[nodes][:, None, :]
+            up[nodes] = np.logaddexp(both[:, :, 0], both[:, :, 1])
+            for state in (0, 1):
+                below[above, state] += np.bincount(at, weights=up[nodes, state], minlength=above.stop - above.start)
         whole, joint = below.copy(), np.zeros((n, 2, 2))
-        for nodes in levels[1:]:
-            outside = whole[forest.parent[nodes]] - up[nodes]
-            both = outside[:, :, None] + self.pair[forest.kind[nodes]] + below[nodes][:, None, :]
-            joint[nodes] = both
-            whole[nodes] = np.logaddexp.reduce(both, axis=1)
-        joint = np.exp(joint - np.logaddexp.reduce(joint, axis=(1, 2), keepdims=True))
+        for nodes, above, at in levels:
+            outside = whole[above][at] - up[nodes]
+            joint[nodes] = both = outside[:, :, None] + edge[nodes] + below[nodes][:, None, :]
+            whole[nodes] = np.logaddexp(both[:, 0], both[:, 1])
+        joint = np.exp(joint - np.logaddexp(whole[:, 0], whole[:, 1])[:, None, None])
         return 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -50, 50))), joint
 
     @classmethod
@@ -249,16 +263,14 @@ class TreeModel:
         model, forest = cls(np.zeros(FEATURES), np.zeros((4, 2, 2))), Forest.of(pages)
         child = np.flatnonzero(forest.parent >= 0)
         seen_own = np.bincount(forest.feature, weights=forest.label[forest.owner], minlength=FEATURES)
-        seen_pair = np.zeros((4, 2, 2))
-        np.add.at(seen_pair, (forest.kind[child], forest.label[forest.parent[child]], forest.label[child]), 1)
+        of_kind = [child[forest.kind[child] == k] for k in range(4)]
+        seen_pair = np.array([np.bincount(2 * forest.label[forest.parent[c]] + forest.label[c], minlength=4).reshape(2, 2) for c in of_kind], float)
         n = max(1, len(pages))
         moments = [np.zeros(FEATURES), np.zeros((4, 2, 2))]
         for _ in range(steps):
             p, joint = model.marginals(forest)
             g_own = (seen_own - np.bincount(forest.feature, weights=p[forest.owner], minlength=FEATURES)) / n - decay * model.own
-            g_pair = seen_pair.copy()
-            np.add.at(g_pair, forest.kind[child], -joint[child])
-            g_pair = g_pair / n - decay * model.pair
+            g_pair = (seen_pair - np.array([joint[c].sum(axis=0) for c in of_kind])) / n - decay * model.pair
             for value, g, m in zip((model.own, model.pair), (g_own, g_pair), moments, strict=True):
                 m += g * g
                 value += rate * g / (np.sqrt(m) + 1e-8)
@@ -266,12 +278,14 @@ class TreeModel:
 
 
 def _text_of(page: Page, content: np.ndarray) -> str:
-    return "\n".join(text for node, text in page.blocks if content[node] >= 0.5)
+    blocks = (" ".join("".join(t for node, t in parts if content[node] >= 0.5).split()) for parts in page.blocks)
+    return "\n".join(b for b in blocks if b)
 
 
 def extract_texts(model: TreeModel, sources: list[str | None]) -> list[str]:
     pages = [parse(s) for s in sources]
-    p, _ = model.marginals(Forest.of(pages))
+    forest = Forest.of(pages)
+    p = model.marginals(forest)[0][forest.place]
     cuts = np.cumsum([len(page.parent) for page in pages])[:-1]
     return [_text_of(page, content) for page, content in zip(pages, np.split(p, cuts), strict=True)]
 
@@ -320,7 +334,7 @@ def train(labelled: DataFrame, max_pages: int = TRAIN_PAGES) -> TreeModel:
     return TreeModel(np.frombuffer(fitted["own"]), np.frombuffer(fitted["pair"]).reshape(4, 2, 2))
 
 
-#: What the example pages call their parts: fixed values.
+#: What the example pages call their parts.
 CONTENT_NAMES = "content article post entry main story text body page-content post-body article-text entry-content prose".split()
 CLUTTER = {
     "nav": "nav menu navbar navigation topnav main-menu breadcrumb breadcrumbs pagination tabs toc".split(),
@@ -416,5 +430,5 @@ def example_frame(spark: SparkSession, n: int = 900) -> DataFrame:
 
 
 def op5_html_extract(spark, sf_dir: str) -> DataFrame:
-    found = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(example_frame(spark)), "page_id", "url")
+    found = extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), train(example_frame(spark)), "page_id", "url")
     return found.withColumn("n_chars", F.length("text").cast("long"))
