@@ -1,7 +1,7 @@
 """Exact dedup with counting quotient filters.
 
 Every partition turns the 64-bit fingerprints of its normalised texts into counting quotient filters, one for
-each segment of the fingerprint space. Filters of one segment merge losslessly by walking their sorted
+each segment of the fingerprint space (and each 4 million fingerprints of a very large partition). Filters of one segment merge losslessly by walking their sorted
 remainders and adding counts. Only fingerprints with a merged count above one are suspects; their texts are
 compared byte by byte, as grouping keys with map-side combine, so a group of copies that holds a third of all
 rows crosses the network once per task.
@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: Fingerprints that one merged segment is planned to hold.
-SEGMENT_FINGERPRINTS = 1 << 18
+#: Fingerprints that one merged segment is planned to hold, and that a task gathers before it makes filters.
+SEGMENT_FINGERPRINTS = 1 << 21
+HELD_FINGERPRINTS = 1 << 22
 BROADCAST_ROWS = 200_000
 
 
@@ -60,7 +62,7 @@ class CountingQuotientFilter:
         occupied = np.zeros(1 << quotient_bits, dtype=bool)
         occupied[present] = True
         remainders = fingerprints & ((np.uint64(1) << shift) - np.uint64(1))
-        return cls(bits, quotient_bits, np.packbits(occupied), runs.astype(np.uint32), remainders, counts.astype(np.int64))
+        return cls(bits, quotient_bits, np.packbits(occupied), runs, remainders, counts.astype(np.int64))
 
     def fingerprints(self) -> np.ndarray:
         """Sorted, as quotients ascend and remainders ascend in each run."""
@@ -77,17 +79,31 @@ class CountingQuotientFilter:
         return cls.build(fingerprints[first], np.add.reduceat(counts, first), filters[0].bits)
 
     def row(self, segment: int) -> tuple:
-        return (segment, self.bits, self.quotient_bits, self.occupied.tobytes(), self.runs.tobytes(), self.remainders.tobytes(), self.counts.tobytes())
+        """Packed: remainders in as many bytes as their bits need, runs and counts in as many as the largest needs."""
+        parts = (_packed(self.runs), _packed(self.remainders), _packed(self.counts))
+        return (segment, self.bits, self.quotient_bits, len(self.counts), self.occupied.tobytes(), *parts)
 
     @classmethod
     def of(cls, r) -> CountingQuotientFilter:
-        return cls(
-            int(r.bits), int(r.quotient_bits), np.frombuffer(r.occupied, np.uint8), np.frombuffer(r.runs, np.uint32),
-            np.frombuffer(r.remainders, np.uint64), np.frombuffer(r.counts, np.int64),
-        )
+        occupied = np.frombuffer(r.occupied, np.uint8)
+        runs = _unpacked(r.runs, int(np.unpackbits(occupied).sum()))
+        return cls(int(r.bits), int(r.quotient_bits), occupied, runs.astype(np.int64), _unpacked(r.remainders, int(r.size)), _unpacked(r.counts, int(r.size)).astype(np.int64))
 
 
-FILTER_SCHEMA = "segment long, bits int, quotient_bits int, occupied binary, runs binary, remainders binary, counts binary"
+def _packed(values: np.ndarray) -> bytes:
+    """Little-endian values in the fewest whole bytes that hold the largest."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((size, 8), np.uint8)
+    if size:
+        wide[:, : len(data) // size] = np.frombuffer(data, np.uint8).reshape(size, -1)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
+FILTER_SCHEMA = "segment long, bits int, quotient_bits int, size int, occupied binary, runs binary, remainders binary, counts binary"
 
 
 def repeated_fingerprints(fingerprints: DataFrame, segment_size: int = SEGMENT_FINGERPRINTS) -> DataFrame:
@@ -97,16 +113,25 @@ def repeated_fingerprints(fingerprints: DataFrame, segment_size: int = SEGMENT_F
     bits = 64 - segment_bits
 
     def partition_filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            fps, counts = np.unique(batch["fp"].to_numpy(np.int64).view(np.uint64), return_counts=True)
-            segments = (fps >> np.uint64(bits)).astype(np.int64) if segment_bits else np.zeros(len(fps), np.int64)
-            low = fps & np.uint64((1 << bits) - 1)
-            edges = np.flatnonzero(np.concatenate(([True], segments[1:] != segments[:-1], [True]))) if len(fps) else []
-            made = [
-                CountingQuotientFilter.build(low[a:b], counts[a:b], bits).row(int(segments[a]))
-                for a, b in zip(edges[:-1], edges[1:], strict=True)
-            ]
-            yield pd.DataFrame(made, columns=[c.split()[0] for c in FILTER_SCHEMA.split(", ")])
+            held.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
+            if sum(map(len, held)) >= HELD_FINGERPRINTS:
+                yield filters_of(np.concatenate(held))
+                held = []
+        if held:
+            yield filters_of(np.concatenate(held))
+
+    def filters_of(fingerprints: np.ndarray) -> pd.DataFrame:
+        fps, counts = np.unique(fingerprints, return_counts=True)
+        segments = (fps >> np.uint64(bits)).astype(np.int64) if segment_bits else np.zeros(len(fps), np.int64)
+        low = fps & np.uint64((1 << bits) - 1)
+        edges = np.flatnonzero(np.concatenate(([True], segments[1:] != segments[:-1], [True]))) if len(fps) else []
+        made = [
+            CountingQuotientFilter.build(low[a:b], counts[a:b], bits).row(int(segments[a]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True)
+        ]
+        return pd.DataFrame(made, columns=[c.split()[0] for c in FILTER_SCHEMA.split(", ")])
 
     def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         whole = CountingQuotientFilter.merge([CountingQuotientFilter.of(r) for r in rows.itertuples()])
@@ -171,7 +196,7 @@ def drop_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    found = duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
