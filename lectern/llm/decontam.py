@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,11 +60,13 @@ class PhraseIndex:
 def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> PhraseIndex:
     items = stored(item_windows(benchmark, n), "decontam-items")
     windows = items.select("phrase", "window").distinct()
-    terms = windows.select("phrase", "window", F.posexplode("window").alias("offset", "term"))
+    terms = stored(windows.select("phrase", "window", F.posexplode("window").alias("offset", "term")), "decontam-window-terms")
     docs = documents.select("doc_id", words_of(F.col("text")).alias("w"))
 
     vocabulary = small_or_shuffled(stored(terms.select("term").distinct(), "decontam-terms"), BROADCAST_ROWS)
     frequency = docs.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
+    # One row a term; where it is too long to broadcast, the join is of two stored tables, which Spark splits at hot terms.
+    frequency = small_or_shuffled(stored(frequency, "decontam-frequency"), BROADCAST_ROWS)
 
     # A window with a term that no document has cannot occur.
     by_rarity = Window.partitionBy("phrase").orderBy("frequency", "offset")
@@ -76,7 +79,7 @@ def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORD
     )
     lookups = stored(lookups, "decontam-lookups")
 
-    keys = small_or_shuffled(lookups.select("term").distinct().withColumn("is_key", F.lit(True)), BROADCAST_ROWS)
+    keys = small_or_shuffled(stored(lookups.select("term").distinct().withColumn("is_key", F.lit(True)), "decontam-keys"), BROADCAST_ROWS)
     begin = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     postings = (
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "w")
@@ -183,7 +186,7 @@ def contamination_by_text(documents: DataFrame, benchmark: DataFrame, n: int = W
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(build_index(documents, benchmark))
     return found.select(

@@ -8,7 +8,11 @@ of the matrix that a text's n-grams pick, in numpy, for many texts at once.
 The score is the posterior of the predicted language with evenly likely languages, evidence divided by the
 square root of the number of n-grams (they are far from independent). Null texts and texts without a letter
 are ``und`` with score 0. A model without labelled rows calls every text ``und``. Ties go to the language that
-sorts first. doc_ids may be null or repeat: rows are scored one by one. Other columns are ignored.
+sorts first.
+
+:func:`drop_foreign` filters with the model: a text must have a letter, and its mean log probability per n-gram in the
+predicted language must reach that language's floor, the lowest mean of its training texts less ``FLOOR_MARGIN``.
+Texts in no learned language and gibberish fall far below it. Without learned languages every text with a letter stays. doc_ids may be null or repeat: rows are scored one by one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.blocks import U, mix
+from lectern.plans.parallelism import spread
+from lectern.plans.scratch import stored
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -30,6 +36,8 @@ TRAIN_ROWS = 3_000
 MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: Log probability per n-gram by which a text may fall below the lowest training text of its language.
+FLOOR_MARGIN = 1.0
 #: Code points handled at once.
 BLOCK_CHARS = 1 << 18
 
@@ -85,6 +93,23 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
 
 
+def _floor_batches(broadcast):
+    """One row for each language a task has seen: the lowest mean evidence of its texts with a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, lowest = broadcast.value, {}
+        place = {lang: k for k, lang in enumerate(model.languages)}
+        for batch in batches:
+            for first, texts in text_groups(batch.column(1)):
+                evidence, grams = model.evidence(texts)
+                for k, lang in enumerate(batch.column(0).slice(first, len(texts)).to_pylist()):
+                    if any(map(str.isalpha, texts[k])):
+                        lowest[lang] = min(lowest.get(lang, 0.0), float(evidence[k, place[lang]] / grams[k]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(lowest), pa.string()), pa.array(list(lowest.values()), pa.float64())], names=["lang", "lowest"])
+
+    return run
+
+
 def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
     return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.tobytes()]})
@@ -94,18 +119,29 @@ def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
 class LanguageModel:
     languages: list[str]
     log_probability: np.ndarray  # buckets x languages, then a row of zeros for the empty bucket
+    floor: np.ndarray | None = None  # least mean log probability per n-gram of each language's texts
 
-    @classmethod
-    def train(cls, labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> LanguageModel:
-        """``labelled``: doc_id, text, lang; rows without lang are left out."""
+    @staticmethod
+    def sample(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> DataFrame | None:
+        """(lang, text): the bounded, hash-chosen training rows of (doc_id, text, lang); None without any."""
         labelled = labelled.select(F.xxhash64("doc_id", F.length("text")).alias("place"), F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL")
         sizes = labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
         if len(sizes) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
         if not sizes:
-            return cls([], np.zeros((BUCKETS, 0), np.float32))
+            return None
         share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-        sample = labelled.filter(F.pmod("place", F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")]).select("lang", "text")
+        return labelled.filter(F.pmod("place", F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")]).select("lang", "text")
+
+    @classmethod
+    def train(cls, labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> LanguageModel:
+        """``labelled``: doc_id, text, lang; rows without lang are left out."""
+        return cls.fit(cls.sample(labelled, rows_per_language))
+
+    @classmethod
+    def fit(cls, sample: DataFrame | None) -> LanguageModel:
+        if sample is None:
+            return cls([], np.zeros((BUCKETS + 1, 0), np.float32))
         counted = sample.mapInArrow(_count_batches, "lang string, counts binary").groupBy("lang").applyInPandas(_sum_counts, "lang string, counts binary")
         found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}
         languages = sorted(found)
@@ -113,14 +149,36 @@ class LanguageModel:
         matrix = np.log(counts / counts.sum(axis=1, keepdims=True)).T
         return cls(languages, np.vstack([matrix, np.zeros((1, len(languages)))]).astype(np.float32))
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the best language, its posterior) of lower-cased texts."""
+    def with_floor(self, sample: DataFrame) -> LanguageModel:
+        """The model with each language's floor over ``sample`` (lang, text)."""
+        if not self.languages:
+            return self
+        broadcast = sample.sparkSession.sparkContext.broadcast(self)
+        found = sample.mapInArrow(_floor_batches(broadcast), "lang string, lowest double").groupBy("lang").agg(F.min("lowest").alias("lowest"))
+        lowest = {r["lang"]: r["lowest"] for r in found.collect()}  # one row a language
+        return LanguageModel(self.languages, self.log_probability, np.array([lowest.get(x, -np.inf) for x in self.languages]) - FLOOR_MARGIN)
+
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of each text in each language, n-grams of each text) of lower-cased texts."""
         points, starts = code_points(texts)
         evidence = np.zeros((len(texts), len(self.languages)))
         for rows in bucket_rows(points, starts):
             evidence += np.add.reduceat(self.log_probability[rows], starts[:-1], axis=0, dtype=np.float64)
-        grams = np.sqrt(np.diff(starts) * len(ORDERS))[:, None]
-        evidence = (evidence - evidence.max(axis=1, keepdims=True)) / grams
+        return evidence, np.diff(starts) * len(ORDERS)
+
+    def belongs(self, texts: list[str]) -> np.ndarray:
+        """Whether each lower-cased text has a letter and reaches the floor of its best language."""
+        lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+        if not self.languages or self.floor is None:
+            return lettered
+        evidence, grams = self.evidence(texts)
+        best = evidence.argmax(axis=1)
+        return lettered & (evidence[np.arange(len(texts)), best] / grams >= self.floor[best])
+
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the best language, its posterior) of lower-cased texts."""
+        evidence, grams = self.evidence(texts)
+        evidence = (evidence - evidence.max(axis=1, keepdims=True)) / np.sqrt(grams)[:, None]
         weight = np.exp(evidence)
         return weight.argmax(axis=1), weight.max(axis=1) / weight.sum(axis=1)
 
@@ -161,24 +219,25 @@ def held_out() -> Column:
 
 
 def _keep_batches(broadcast):
-    predict = _predict_batches(broadcast)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], names=["text"])
-            guessed = [x for out in predict([text]) for x in out.column(0).to_pylist()]
-            yield batch.filter(pa.array([x != UNDETERMINED for x in guessed], pa.bool_()))
+            keep = [k for _, texts in text_groups(batch.column(batch.schema.get_field_index("text"))) for k in broadcast.value.belongs(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def drop_undetermined(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents, with all their columns, whose text has a letter, so that the model can tell a language."""
+def drop_foreign(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that belong to a language of ``labelled`` (doc_id, text, lang)."""
+    sample = LanguageModel.sample(labelled)
+    sample = None if sample is None else stored(sample, "language-sample")
+    model = LanguageModel.fit(sample)
+    model = model if sample is None else model.with_floor(sample)
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_keep_batches(broadcast), documents.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out())
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("held_out", held_out())
     model = LanguageModel.train(documents.filter("NOT held_out"))
     return identify(documents, model, "doc_id", "held_out")

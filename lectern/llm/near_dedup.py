@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.blocks import U, mix, ngram_hashes, word_blocks
 from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
 SHINGLE_WORDS = 3
@@ -341,5 +342,18 @@ def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = components(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM d, unnest(range(0, greatest(len(w) - 2, 1))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.blocks import U, WORDS_AND_MARKS, mix, ngram_hashes, word_blocks
+from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
 BUCKET_BITS = 18
@@ -145,16 +147,16 @@ def held_out() -> Column:
 def labelled_texts(documents: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, label) for a hash-chosen sample of about ``max_rows`` labelled, not held-out doc_ids.
 
-    The sample's ids are bounded by the parameter, so they are broadcast to the scan of the documents.
+    The sample's ids are bounded by the parameter, so they are broadcast, once counted, to the scan of the documents.
     """
     marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out())
     marks = marks.groupBy("doc_id").agg(F.avg("quality").alias("mean")).select("doc_id", (F.col("mean") >= 0.5).cast("int").alias("label"))
     share = min(1.0, max_rows / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * share)
-    return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    return documents.select("doc_id", "text").join(small_or_shuffled(stored(marks, "quality-marks"), 2 * max_rows), "doc_id")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     w = fit(labelled_texts(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score(documents.withColumn("held_out", held_out()), w, "doc_id", "held_out")

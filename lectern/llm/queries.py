@@ -23,6 +23,8 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_pii": pii.op10_pii,
+        "pii_base": pii.pii_base,
+        "url_listed": url_filter.url_listed,
         "pipeline": pipeline,
     }
 
@@ -32,5 +34,8 @@ def oracle_sql() -> dict:
         "op1_decontamination": decontam.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op4_substring_dedup": substring_dedup.OP4_SQL,
+        "op6_near_dedup": near_dedup.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "pii_base": pii.PII_BASE_SQL,
+        "url_listed": url_filter.URL_LISTED_SQL,
     }
