@@ -96,7 +96,10 @@ def test_language_id(spark, full):
     out = language_id.identify(full, model, "doc_id", "row")
     assert out.columns == ["doc_id", "row", "lang_pred", "score"] and out.count() == len(TEXTS) + 3
     assert {r["doc_id"] for r in out.filter("lang_pred = 'und'").collect()} == {0, 1, 2, 3}
-    assert language_id.drop_undetermined(full, model).columns == full.columns
+    kept = language_id.drop_foreign(full, full)
+    assert kept.columns == full.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({0, 1, 2, 3})
+    unlabelled = full.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.drop_foreign(full, unlabelled).count() == len(TEXTS) + 3 - 4  # what has a letter stays
     none = language_id.LanguageModel.train(docs(spark, []))
     assert {r["lang_pred"] for r in language_id.identify(full, none, "doc_id").collect()} == {"und"}
 
@@ -155,8 +158,14 @@ def test_pii(spark, full):
 
 
 def test_pipeline_stages(spark, full, sf):
-    out = full.drop("mix_key")
+    out, left = full.drop("mix_key"), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, sf)
         assert out.columns == full.drop("mix_key").columns
-    assert corpus_pipeline.STAGES[-1][1](spark, out, sf).count() >= 0
+        left.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, len(r["text"])) for r in out.select("doc_id", "text").collect()))
+    lettered = [(i, t) for i, t in [*enumerate(TEXTS), (None, "no id at all here"), (4, "Short one"), (5, "same id other text")] if t and any(map(str.isalpha, t))]
+    assert len(left[0]) == len(lettered)
+    assert len(left[1]) == len({" ".join(t.split()) for _, t in lettered})  # one row of equal texts
+    assert len(left[2]) < len(left[1]) and (True, 0, 17) in left[2]  # the near copy goes, the row without an id stays
+    assert left[3] == left[2]  # no benchmark passage
+    assert corpus_pipeline.STAGES[-1][1](spark, out, sf).columns == [*out.columns, "mix_replica", "mix_key"]
