@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.domain import bill_id, chamber_of
+from lectern.functions.domain import bill_id, blank_to_null, chamber_of, without_key
+from lectern.operators.coverage import reconcile
+from lectern.operators.dedup import replace_groups, upsert
 
 # Action codes and action texts of passage and enactment.
 PASSED_HOUSE, PASSED_SENATE, ENACTED = ("8000",), ("17000",), ("36000",)
@@ -102,3 +104,46 @@ def problems() -> Column:
         "number": F.col("bill_number") <= 0,
     }
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(k == "id")), F.lit(k)) for k, c in checks.items()]))
+
+
+#: A bill of the REST service with its actions, as far as it is used.
+PAYLOAD = (
+    "congress string, type string, number string, title string, originChamberCode string, originChamber string, introducedDate string, url string, "
+    "updateDateIncludingText string, updateDate string, sponsors array<struct<bioguideId:string,fullName:string,name:string,party:string,state:string>>, "
+    f"laws array<struct<type:string,number:string>>, actions array<{ACTION}>"
+)
+
+
+def rest_bills(payloads: DataFrame, base_url: str) -> DataFrame:
+    """Canonical bills of (payload): one JSON object of the service a row. A payload without congress or number fails the job.
+
+    Keys in urls are masked; a bill without url gets the service's.
+    """
+    p = payloads.select(F.from_json("payload", PAYLOAD).alias("p")).select("p.*")
+    whole = lambda c: F.col(c).try_cast("int")
+    bad = F.raise_error(F.lit("bill payload is missing a valid congress or number")).cast("boolean")
+    p = p.filter(F.when(F.coalesce((whole("congress") > 0) & (whole("number") > 0), F.lit(False)), True).otherwise(bad))
+    sponsors = F.transform(F.coalesce("sponsors", F.array().cast("array<struct<bioguideId:string,fullName:string,name:string,party:string,state:string>>")), lambda s: F.struct(
+        s["bioguideId"].alias("bioguideId"), F.coalesce(blank_to_null(s["fullName"]), s["name"]).alias("fullName"), s["party"].alias("party"), s["state"].alias("state"),
+    ))
+    own_url = F.concat_ws("/", F.lit(base_url.rstrip("/") + "/bill"), "congress", F.lower("type"), "number")
+    raw = p.select(
+        whole("congress").alias("congress"), F.lower(F.trim("type")).alias("type"), whole("number").alias("number"), F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce(blank_to_null(F.col("originChamberCode")), F.col("originChamber")).alias("origin"), F.col("introducedDate").alias("introduced_date"), sponsors.alias("sponsors"),
+        F.coalesce("actions", F.array().cast(f"array<{ACTION}>")).alias("actions"), F.coalesce("laws", F.array().cast("array<struct<type:string,number:string>>")).alias("laws"),
+        without_key(F.coalesce(blank_to_null(F.col("url")), own_url)).alias("source_url"), F.coalesce(blank_to_null(F.col("updateDateIncludingText")), F.col("updateDate"), F.lit("")).alias("source_updated_at"),
+    )
+    return canonical(raw, "source_url", "source_updated_at")
+
+
+def update_bills(known: DataFrame | None, fresh: DataFrame, full: bool) -> DataFrame:
+    """The next bill table, checked: a full run replaces every congress that ``fresh`` has, another one single bills."""
+    if known is None:
+        return normalized(fresh)
+    return normalized(replace_groups(known, fresh, "congress") if full else upsert(known, fresh, ["bill_id"]))
+
+
+def next_batch(wanted: DataFrame, checkpoint: DataFrame, known: DataFrame, size: int = 100) -> DataFrame:
+    """The first ``size`` wanted bill_ids, in order, that are not both checkpointed and stored: a resumed seeding goes on there."""
+    done = reconcile(checkpoint.select("bill_id"), known, "bill_id")
+    return wanted.select("bill_id").distinct().join(done, "bill_id", "left_anti").orderBy("bill_id").limit(size)

@@ -22,12 +22,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def application_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The files outlive executors, so a lost executor costs a task retry and never a recomputation of
-    what came before. The folder is scratch: delete it when the application has ended.
+    what came before. They are scratch: :func:`clear` deletes an application's.
     """
-    path = f"{shared_root(df.sparkSession)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = f"{application_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete all tables that this application stored; results that were made from them must have been written by then."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(application_root(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -151,6 +151,46 @@ def of_class(granules: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return granules.filter(F.upper("granule_class").isin(*classes))
 
 
+_MODS_TEXTS = {
+    "granule_class": ("granuleClass",), "sub_class": ("subGranuleClass",), "title": ("searchTitle", "title"), "page_prefix": ("pagePrefix",), "chamber": ("chamber",),
+    "congress": ("congress",), "session": ("session",), "volume": ("volume",), "issue": ("issue",), "date": ("dateIssued",),
+}
+GRANULE_MODS = ", ".join(f"{k} string" for k in ("file", *_MODS_TEXTS, "citation")) + f", members {MEMBERS}, names array<string>, ids array<string>, parse_error string"
+
+
+def _granule_mods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([
+        *((k, pa.string()) for k in ("file", *_MODS_TEXTS, "citation")), ("members", pa.list_(pa.struct([(k, pa.string()) for k in ("party", "bioguide", "name", "state")]))),
+        ("names", pa.list_(pa.string())), ("ids", pa.list_(pa.string())), ("parse_error", pa.string()),
+    ])
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            row = {"file": path.rsplit("/", 1)[-1]}
+            try:
+                root = ElementTree.fromstring(content.as_py())
+            except ElementTree.ParseError as error:
+                rows.append(row | {"parse_error": str(error)})
+                continue
+            texts: dict[str, str] = {}
+            for e in root.iter():
+                if (e.text or "").strip():
+                    texts.setdefault(_local(e), e.text.strip())
+                    if _local(e) == "identifier" and e.get("type") == "congressional record citation":
+                        row.setdefault("citation", e.text.strip())
+            row |= {k: next((texts[n] for n in names if n in texts), None) for k, names in _MODS_TEXTS.items()}
+            members = parse_mods(content.as_py())[0]["members"]
+            distinct = {k: sorted({m[f] for m in members if m[f]}) for k, f in (("names", "name"), ("ids", "bioguide"))}
+            rows.append(row | distinct | {"members": members})
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def read_granule_mods(spark: SparkSession, path: str) -> DataFrame:
+    """Flat metadata of the MODS files of single granules; a file that is no XML has only its name and ``parse_error``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(_granule_mods, GRANULE_MODS)
+
+
 def package_ids(ids: DataFrame, key: str = "package") -> DataFrame:
     """Ids that have the shape of a daily package."""
     return ids.filter(F.col(key).rlike(r"\ACREC-\d{4}-\d{2}-\d{2}\z"))

@@ -248,3 +248,39 @@ def test_mask_quotes_with_letters_as_marks(spark):
     spoken, inner = tx.mask_quotes(F.col("t"), "the", "of", 5)
     row = spark.createDataFrame([("a the x of b the far away of",)], "t string").select(spoken.alias("s"), inner.alias("q")).first()
     assert row["s"] == "a " + " " * 8 + " b the far away of" and row["q"] == " x "
+
+
+def test_granule_mods_mark_what_is_no_xml(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("""<mods xmlns="http://x"><titleInfo><title>Plain</title></titleInfo><extension><searchTitle>Search</searchTitle><congress>115</congress><granuleClass>HOUSE</granuleClass>
+<dateIssued>2017-01-03</dateIssued><congMember bioGuideId="Z1" party="R" state="TX"><name type="parsed">Z</name></congMember><congMember bioGuideId="A1" party="D" state="MD"><name type="authority-lnf">A, B</name></congMember></extension>
+<identifier type="congressional record citation">170 Cong. Rec. H5</identifier></mods>""")
+    (tmp_path / "b.xml").write_text("<mods><broken>")
+    got = {r["file"]: r for r in packages.read_granule_mods(spark, str(tmp_path)).collect()}
+    assert (got["a.xml"]["title"], got["a.xml"]["citation"], got["a.xml"]["names"], got["a.xml"]["ids"], got["a.xml"]["parse_error"]) == ("Search", "170 Cong. Rec. H5", ["A, B", "Z"], ["A1", "Z1"], None)
+    assert got["b.xml"]["parse_error"] and got["b.xml"]["title"] is None
+
+
+def test_rest_bills_updates_and_resumed_batches(spark):
+    import json
+
+    one = {"congress": 118, "type": "HR", "number": "5", "originChamberCode": "H", "introducedDate": "2023-01-09", "url": "https://x.example/bill?api_key=SECRET", "sponsors": [{"bioguideId": "B1", "name": "N"}], "actions": [{"actionDate": "2023-02-01", "actionCode": "8000", "text": "Passed"}]}
+    frame_of = lambda *items: spark.createDataFrame([(json.dumps(i),) for i in items], "payload string")
+    bills = bl.rest_bills(frame_of(one, {"congress": "118", "type": "S", "number": 7}), "https://x.example/")
+    got = {r["bill_id"]: r for r in bills.collect()}
+    assert (got["118-hr-5"]["sponsor_name"], got["118-hr-5"]["passed_house"], got["118-hr-5"]["origin_chamber"], got["118-hr-5"]["source_url"]) == ("N", True, "house", "https://x.example/bill?api_key=***")
+    assert got["118-s-7"]["source_url"] == "https://x.example/bill/118/s/7" and not got["118-s-7"]["became_law"]
+    with pytest.raises(PySparkException, match="valid congress"):
+        bl.rest_bills(frame_of({"type": "HR", "number": 5}), "https://x.example").collect()
+    fresh = bills.filter("bill_id = '118-hr-5'").withColumn("title", F.lit("new"))
+    ids = lambda d: [(r["bill_id"], r["title"]) for r in d.collect()]
+    assert ids(bl.update_bills(bills, fresh, full=False)) == [("118-hr-5", "new"), ("118-s-7", "")] and ids(bl.update_bills(bills, fresh, full=True)) == [("118-hr-5", "new")]
+    wanted = spark.createDataFrame([("118-hr-5",), ("118-hr-6",), ("118-s-7",), ("118-s-8",)], "bill_id string")
+    checkpoint = spark.createDataFrame([("118-hr-5",), ("118-s-8",)], "bill_id string")
+    assert [r[0] for r in bl.next_batch(wanted, checkpoint, bills, 2).collect()] == ["118-hr-6", "118-s-7"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from lectern.plans import scratch
+
+    kept = scratch.stored(spark.range(3), "gone")
+    assert kept.count() == 3 and scratch.clear(spark) and not scratch.clear(spark)
