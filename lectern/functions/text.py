@@ -67,7 +67,8 @@ def match_spans(text: Column, pattern: str) -> Column:
         st = acc["at"] + p["g"]
         return F.struct((st + p["n"]).alias("at"), F.array_append(acc["out"], F.struct(st.alias("st"), (st + p["n"]).alias("en"))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda acc: acc["out"])
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), found).otherwise(no_spans())  # most texts have no match: one pass, nothing made
 
 
 def token_pattern(words) -> str:
