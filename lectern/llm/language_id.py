@@ -11,12 +11,13 @@ are ``und`` with score 0. A model without labelled rows calls every text ``und``
 sorts first.
 
 :func:`drop_foreign` filters with the model: a text must have a letter, and its mean log probability per n-gram in the
-predicted language must reach that language's floor, the lowest mean of its training texts less ``FLOOR_MARGIN``.
+predicted language, over its letters alone, must reach that language's floor, the lowest mean of its training texts less ``FLOOR_MARGIN``.
 Texts in no learned language and gibberish fall far below it. Without learned languages every text with a letter stays. doc_ids may be null or repeat: rows are scored one by one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,8 @@ MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Log probability per n-gram by which a text may fall below the lowest training text of its language.
-FLOOR_MARGIN = 1.0
+FLOOR_MARGIN = 2.0
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Code points handled at once.
 BLOCK_CHARS = 1 << 18
 
@@ -75,6 +77,11 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, group
 
 
+def letters_of(texts: list[str]) -> list[str]:
+    """The texts with every run of other characters as one space: numbers, addresses and marks say nothing of a language."""
+    return [NOT_LETTERS.sub(" ", t).strip() for t in texts]
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each language a task has seen: its n-gram counts."""
     totals: dict[str, np.ndarray] = {}
@@ -101,7 +108,7 @@ def _floor_batches(broadcast):
         place = {lang: k for k, lang in enumerate(model.languages)}
         for batch in batches:
             for first, texts in text_groups(batch.column(1)):
-                evidence, grams = model.evidence(texts)
+                evidence, grams = model.evidence(letters_of(texts))
                 for k, lang in enumerate(batch.column(0).slice(first, len(texts)).to_pylist()):
                     if any(map(str.isalpha, texts[k])):
                         lowest[lang] = min(lowest.get(lang, 0.0), float(evidence[k, place[lang]] / grams[k]))
@@ -171,7 +178,7 @@ class LanguageModel:
         lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         if not self.languages or self.floor is None:
             return lettered
-        evidence, grams = self.evidence(texts)
+        evidence, grams = self.evidence(letters_of(texts))
         best = evidence.argmax(axis=1)
         return lettered & (evidence[np.arange(len(texts)), best] / grams >= self.floor[best])
 
