@@ -159,9 +159,9 @@ def positioned(found: DataFrame) -> DataFrame:
     is_base = F.col("kind") != ""
     enough = (F.length(_digits(F.col("value"))) >= 4) | is_secret(F.col("value"))
     placed = placed.filter(F.when(is_base, holds(F.col("kind"), F.col("value"))).otherwise(enough))
-    order = Window.partitionBy("row").orderBy("start")
-    earlier = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # Of matches that start together the base one comes first, so one of the two windows sees every overlap.
+    earlier = F.max(F.when(is_base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", ~is_base).rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min(F.when(is_base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start"), ~is_base).rowsBetween(Window.unboundedPreceding, -1))
     marked = placed.withColumn("earlier", earlier).withColumn("later", later)
     clear = (F.coalesce(F.col("earlier"), F.lit(-1)) <= F.col("start")) & (F.col("later").isNull() | (F.col("later") >= F.col("end")))
     clear_places = marked.filter(is_base | clear).drop("earlier", "later")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import sys
 from pathlib import Path
 
@@ -420,11 +421,30 @@ TRICKY = [
 
 
 def test_pii_base_spans_and_bootstrapping(spark):
-    texts = TRICKY + [f"word{i} and account: user{i}@mail.example.com" for i in range(6)] + [f"foo account: 99-77-4{i}21 bar" for i in range(3)] + ["no: 12345678 plain"]
+    texts = TRICKY + [f"word{i} and account: user{i}@mail.example.com" for i in range(12)] + [f"foo account: 99-77-4{i}21 bar" for i in range(3)] + ["no: 12345678 plain"]
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         assert sorted((s["start"], s["k"], s["end"]) for s in got[i]["base"]) == py_base(t)
-    assert [len(got[i]["added"]) for i in range(len(texts))] == [0] * (len(TRICKY) + 6) + [1] * 3 + [0]
+    assert [len(got[i]["added"]) for i in range(len(texts))] == [0] * (len(TRICKY) + 12) + [1] * 3 + [0]
+
+
+def test_pii_second_round_finds_what_the_first_cannot(spark):
+    """Identifiers that follow a sure pattern are instances too; where they stand elsewhere, they make new patterns."""
+    texts = [f"word{i} account: user{i}@mail.example.com" for i in range(120)] + [f"foo{i} account: 55-66-{i}21 bar" for i in range(10)]
+    texts += [f"line{i} ref: 55-66-{i}21 end" for i in range(10)] + ["last ref: 88-99-4444 end"]
+    places = pii.positioned(pii.find_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = lambda rounds: pii.discovered(places, pii.confident_patterns(places, rounds)).count()
+    assert (found(1), found(2), found(pii.ROUNDS)) == (10, 21, 21)
+
+
+def test_pii_takes_a_text_with_many_candidates(spark):
+    """Time grows in proportion: 100,000 candidates in one text."""
+    text = " ".join(f"id{k % 9}-{k}77" for k in range(100_000)) + " a@b.cd"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    places = pii.positioned(pii.find_strings(frame))
+    assert places.filter("kind = ''").count() == 100_000
+    assert time.monotonic() - began < 40
 
 
 def added_values(spark, texts):
