@@ -56,12 +56,16 @@ def interior_gaps(corpus: DataFrame, manifest: DataFrame, day: str) -> DataFrame
     return missing(corpus.select(day).filter(F.col(day).between(F.lit(lo), F.lit(hi))).distinct(), manifest, day)
 
 
-def month_chunks(first: str, last: str, spark) -> DataFrame:
-    """(start, end) of each month between two days, clipped to them."""
-    one = spark.range(1).select(F.lit(first).cast("date").alias("a"), F.lit(last).cast("date").alias("b"))
-    months = one.select("a", "b", F.explode(F.sequence(F.trunc("a", "month"), F.col("b"), F.expr("interval 1 month"))).alias("m"))
+def month_chunks(days: DataFrame) -> DataFrame:
+    """(start, end) of each month between the days ``a`` and ``b`` of each row, clipped to them."""
+    months = days.select("a", "b", F.explode(F.sequence(F.trunc("a", "month"), F.col("b"), F.expr("interval 1 month"))).alias("m"))
     return months.select(F.greatest("a", "m").alias("start"), F.least("b", F.last_day("m")).alias("end"))
 
 
+def month_chunks_of(rows: DataFrame, day: Column) -> DataFrame:
+    """The months from the first to the last day that a table has."""
+    return month_chunks(rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).filter("a IS NOT NULL"))
+
+
 def known_days(turns: DataFrame, day: str, max_rows: int = 200_000) -> DataFrame:
     return small_or_shuffled(stored(turns.select(day).distinct(), "known-days"), max_rows)

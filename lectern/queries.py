@@ -578,9 +578,10 @@ def resume_semi_join(spark, sf):
     return cov.reconcile(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("month_chunks", "SELECT greatest(DATE '2019-11-20', m::DATE) AS start, least(DATE '2020-02-05', last_day(m::DATE)) AS \"end\" FROM range(DATE '2019-11-01', DATE '2020-02-06', INTERVAL 1 MONTH) t(m)")
+@query("month_chunks", """WITH b AS (SELECT min(ts)::DATE AS a, max(ts)::DATE AS z FROM events)
+SELECT greatest(a, m::DATE) AS start, least(z, last_day(m::DATE)) AS "end" FROM b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 MONTH)) t(m)""")
 def month_chunks(spark, sf):
-    return cov.month_chunks("2019-11-20", "2020-02-05", spark)
+    return cov.month_chunks_of(table(spark, sf, "events"), F.to_date("ts"))
 
 
 @query("corpus_extent", f"""WITH {DAILY_SQL}, {BILLS_SQL} SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS rows, count(DISTINCT bioguide) AS members, (SELECT count(DISTINCT bill_id) FROM bills) AS bills FROM daily""")

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.domain import listing_time
 from lectern.operators.bills import canonical
+from lectern.sources import archives
 
 # Limits of an archive: bytes of an entry, entries, bytes of all entries.
 MAX_BYTES, MAX_ENTRIES, MAX_TOTAL = 25 << 20, 100_000, 2 << 30
-BATCH_CHARS = 8 << 20
 # Element names of the two schema generations.
 _PERSON = "struct<bioguideId:string,fullName:string,party:string,state:string,isByRequest:string>"
 _ACTION = "struct<actionDate:string,actionCode:string,text:string>"
@@ -28,36 +23,28 @@ BILL = (
 LISTED = r"BILLSTATUS-(\d+)(hr|s)(\d+)\.xml"
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                entries = [e for e in z.infolist() if not e.is_dir()]
-                bills = [e for e in entries if re.fullmatch(LISTED, e.filename.rsplit("/", 1)[-1])]
-                if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_TOTAL or any(e.file_size > MAX_BYTES for e in bills):
-                    raise ValueError(f"archive over its limits: {path.as_py()}")
-                if len({e.filename.rsplit("/", 1)[-1] for e in bills}) < len(bills):
-                    raise ValueError(f"a bill twice in {path.as_py()}")
-                made, size = {"archive": [], "file": [], "xml": [], "modified": []}, 0
-                for e in bills:
-                    xml = z.read(e).decode("utf-8")
-                    if "<!DOCTYPE" in xml or "<!ENTITY" in xml:
-                        raise ValueError(f"document type declaration in {e.filename}")
-                    modified = "{:04d}-{:02d}-{:02d}T{:02d}:{:02d}:00".format(*e.date_time[:5])
-                    for values, value in zip(made.values(), (path.as_py(), e.filename, xml, modified), strict=True):
-                        values.append(value)
-                    size += len(xml)
-                    if size > BATCH_CHARS:
-                        yield pa.RecordBatch.from_pydict(made)
-                        made, size = {k: [] for k in made}, 0
-                if made["file"]:
-                    yield pa.RecordBatch.from_pydict(made)
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, file, xml, modified) of the bill documents in all archives; an archive over its limits fails the read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(_unzip, "archive string, file string, xml string, modified string")
+    """(archive, file, xml, modified) of the bill documents in all archives, read member by member.
+
+    An archive over its limits, a bill twice in one archive or a document type declaration fails the read. The limits
+    are checked on the directories, before any document is read.
+    """
+    found = archives.index(spark, path)
+    is_bill = archives.base_name(F.col("member")).rlike(rf"\A{LISTED}\z")
+    bills = found.filter(is_bill)
+    name = F.when(is_bill, archives.base_name(F.col("member")))
+    sums = found.groupBy("archive").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("size").alias("total"), F.max(F.when(is_bill, F.col("size"))).alias("largest"),
+        (F.count(name) - F.count_distinct(name)).alias("repeats"),
+    )
+    bad = sums.filter((F.col("entries") > MAX_ENTRIES) | (F.col("total") > MAX_TOTAL) | (F.col("largest") > MAX_BYTES) | (F.col("repeats") > 0)).orderBy("archive").first()
+    if bad is not None:
+        raise PySparkValueError(f"a bill twice in {bad['archive']}" if bad["repeats"] else f"archive over its limits: {bad['archive']}")
+    xml = F.decode("content", "UTF-8")
+    wrong = F.raise_error(F.concat(F.lit("document type declaration in "), F.col("member"))).cast("string")
+    rows = archives.contents(bills).withColumn("xml", xml)
+    checked = F.when(F.contains("xml", F.lit("<!DOCTYPE")) | F.contains("xml", F.lit("<!ENTITY")), wrong).otherwise(F.col("xml"))
+    return rows.select("archive", F.col("member").alias("file"), checked.alias("xml"), F.concat(F.substring("modified", 1, 17), F.lit("00")).alias("modified"))
 
 
 def checked_bills(archives: DataFrame) -> DataFrame:

@@ -5,11 +5,6 @@ The files have no quoting and speech text may hold the delimiter, so lines are s
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +12,8 @@ from lectern.functions.domain import blank_to_null, chamber_of, iso_date, party_
 from lectern.operators.dedup import keep_first
 from lectern.plans.broadcasts import small_or_shuffled
 from lectern.plans.scratch import stored
+from lectern.sources import archives
+from lectern.sources.ranges import list_files
 
 # Field places and the labels of presiding roles.
 DESCRIPTION = {"speech_id": 0, "chamber": 1, "date": 2, "speaker": 4, "state": 7, "word_count": 13}
@@ -35,54 +32,25 @@ def read_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
     return rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header))).select(F.split("line", r"\|", -1).alias("fields"), "pos", "congress")
 
 
-LINES_A_BATCH = 10_000
-
-
-def _zip_lines(member: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                if not zipfile.is_zipfile(io.BytesIO(content.as_py())):
-                    continue
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in sorted(n for n in z.namelist() if member in n.rsplit("/", 1)[-1]):
-                        with z.open(name) as f:
-                            lines, pos = [], 0
-                            for raw in f:
-                                lines.append(raw.rstrip(b"\r\n").decode("latin-1"))
-                                if len(lines) == LINES_A_BATCH:
-                                    yield pa.RecordBatch.from_pydict({"file": [name] * len(lines), "pos": range(pos, pos + len(lines)), "line": lines})
-                                    pos, lines = pos + len(lines), []
-                            if lines:
-                                yield pa.RecordBatch.from_pydict({"file": [name] * len(lines), "pos": range(pos, pos + len(lines)), "line": lines})
-
-    return run
-
-
 def read_zipped_lines(spark: SparkSession, path: str, member: str, header: str) -> DataFrame:
-    """As :func:`read_lines` from archives: the members whose name holds ``member``, streamed line by line.
+    """As :func:`read_lines` from archives: the members whose name holds ``member``, each read by range and line by line.
 
     Unreadable archives, such as half a download, have no members.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    rows = files.select("content").mapInArrow(_zip_lines(member), "file string, pos long, line string")
-    kept = rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header)))
-    return kept.select(F.split("line", r"\|", -1).alias("fields"), "pos", F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"(\d+)", 1).cast("int").alias("congress"))
+    found = archives.index(spark, path, skip_unreadable=True)
+    return zipped_lines(found.filter(F.contains(archives.base_name(F.col("member")), F.lit(member))), header)
 
 
-def _zip_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            data = io.BytesIO(content.as_py())
-            names = zipfile.ZipFile(data).namelist() if zipfile.is_zipfile(data) else []
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+def zipped_lines(members: DataFrame, header: str) -> DataFrame:
+    rows = archives.lines(members)
+    kept = rows.filter((F.trim("line") != "") & ~F.startswith("line", F.lit(header)))
+    return kept.select(F.split("line", r"\|", -1).alias("fields"), "pos", F.regexp_extract(archives.base_name(F.col("member")), r"(\d+)", 1).cast("int").alias("congress"))
 
 
 def available_congresses(spark: SparkSession, path: str) -> list[int]:
     """Congress numbers that speech files below ``path``, loose or in archives, name; unreadable archives have none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    loose = files.option("pathGlobFilter", "speeches_*.txt").load(path).select(F.col("path").alias("name"))
-    zipped = files.option("pathGlobFilter", "*.zip").load(path).select("content").mapInArrow(_zip_names, "name string")
+    loose = list_files(spark, path, "speeches_*.txt").select(F.col("path").alias("name"))
+    zipped = archives.index(spark, path, skip_unreadable=True).select(F.col("member").alias("name"))
     names = loose.unionByName(zipped).select(F.regexp_extract("name", r"speeches_(\d+)\.txt\z", 1).alias("n")).filter("n <> ''").distinct()
     return sorted(int(r["n"]) for r in names.collect())  # one small row a congress
 
@@ -101,8 +69,9 @@ def speech_turns(spark: SparkSession, speeches: str, descriptions: str, speaker_
 
 
 def zipped_turns(spark: SparkSession, path: str, edition: str) -> DataFrame:
-    """Turns of an edition from ZIP archives that hold its three kinds of files."""
-    read = lambda member, header: read_zipped_lines(spark, path, member, header)
+    """Turns of an edition from ZIP archives that hold its three kinds of files; their directories are read once."""
+    found = archives.index(spark, path, skip_unreadable=True)
+    read = lambda member, header: zipped_lines(found.filter(F.contains(archives.base_name(F.col("member")), F.lit(member))), header)
     return join_speeches(read("speeches_", "speech_id|"), read("descr_", "speech_id|"), read("SpeakerMap", "speakerid|"), edition)
 
 

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import html
-import io
-import re
-import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions.domain import blank_to_null, congress_or_date, content_fingerprint
-from lectern.operators.dedup import drop_repeated_content, prefer_unflagged
+from lectern.operators.dedup import drop_repeated_content, keep_first, prefer_unflagged
 from lectern.operators.segments import turns_of
+from lectern.plans.scratch import stored
 from lectern.schema import MEMBERS
+from lectern.sources import archives
 
-BATCH_CHARS = 8 << 20
-GRANULE = f"package string, place int, granule_id string, congress int, granule_class string, chamber string, date string, members {MEMBERS}, text string"
-PACKAGE_DATE = re.compile(r"(\d{4}-\d{2}-\d{2})")
+PACKAGE_DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
 @F.arrow_udf(StringType())
@@ -30,14 +27,27 @@ def decoded(text: pa.Array) -> pa.Array:
     return pa.array([x if x is None or "&" not in x else html.unescape(x) for x in text.to_pylist()], pa.string())
 
 
+# White space besides the line feed, as a character class.
+SPACE = r"\t\x0b\x0c\x1c-\x1f\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A tag: a ``>`` may stand in a quoted value, a ``<`` ends what only looked like a tag.
+TAG = r"""<[A-Za-z/!?](?:[^<>"']|"[^"<]*+"|'[^'<]*+'|["'])*+>"""
+#: Comments, scripts and styles; one that is not closed reaches to the end.
+UNSEEN = r"(?i)<!--(?:[^-]|-(?!->))*+(?:-->|\z)|<(script|style)\b[^<]*+(?:<(?!/\1\b)[^<]*+)*+(?:</\1[^<>]*+>?|\z)"
+PRE = r"(?i)<pre\b[^<>]*+>([^<]*+(?:<(?!/pre\b)[^<]*+)*+)"
+
+
 def html_text(source: Column) -> Column:
-    """Text of the ``pre`` part, or of all: tags out, references decoded, line ends trimmed, blank lines capped at one."""
-    pre = F.regexp_extract(source, r"(?is)<pre[^>]*>(.*?)</pre>", 1)
-    body = F.when(pre != "", pre).otherwise(F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""))
-    plain = F.regexp_replace(body, r"(?s)<[^>]*>", "")
-    plain = decoded(plain)
-    lines = F.regexp_replace(F.regexp_replace(plain, r"(?md)(?<![ \t\r])[ \t\r]++$", ""), r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(lines, r"\A\s++|(?<!\s)\s++\z", ""), F.lit("\n"))
+    """Text of the first ``pre`` element, or of all: tags, comments, scripts and styles out, references decoded, lines trimmed, blank lines capped at one.
+
+    All patterns are possessive and each match consumes what it has read, so the time is in proportion to the source.
+    """
+    seen = F.regexp_replace(source, UNSEEN, "")
+    body = F.when(seen.rlike(PRE), F.regexp_extract(seen, PRE, 1)).otherwise(seen)
+    plain = decoded(F.regexp_replace(body, TAG, ""))
+    lines = F.regexp_replace(plain, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
+    trimmed = F.regexp_replace(lines, rf"(?<![{SPACE}])[{SPACE}]++(?=\n|\z)", "")
+    whole = F.regexp_replace(trimmed, rf"\A[{SPACE}\n]++|(?<![{SPACE}\n])[{SPACE}\n]++\z", "")
+    return F.concat(F.regexp_replace(whole, r"\n{3,}+", "\n\n"), F.lit("\n"))
 
 
 def _local(element: ElementTree.Element) -> str:
@@ -76,34 +86,41 @@ def parse_mods(content: bytes, whole: bool = True) -> list[dict]:
     return out
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _granules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
-        ("package", pa.string()), ("place", pa.int32()), ("granule_id", pa.string()), ("congress", pa.int32()), ("granule_class", pa.string()), ("chamber", pa.string()), ("date", pa.string()),
-        ("members", pa.list_(pa.struct([(k, pa.string()) for k in ("party", "bioguide", "name", "state")]))), ("text", pa.string()),
+        ("archive", pa.string()), ("place", pa.int32()), ("granule_id", pa.string()), ("congress", pa.int32()), ("granule_class", pa.string()), ("chamber", pa.string()),
+        ("members", pa.list_(pa.struct([(k, pa.string()) for k in ("party", "bioguide", "name", "state")]))),
     ])
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            package = path.as_py().rsplit("/", 1)[-1].removesuffix(".zip")
-            day = (PACKAGE_DATE.search(package) or [""])[0]
-            rows, size = [], 0
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                pages = {n.rsplit("/", 1)[-1].removesuffix(".htm"): n for n in z.namelist() if n.endswith(".htm")}
-                mods = next((n for n in z.namelist() if n.endswith("mods.xml")), None)
-                granules = {g["granule_id"]: g for g in (parse_mods(z.read(mods), whole=False) if mods else []) if g["granule_id"]}
-                for place, (gid, g) in enumerate(granules.items()):
-                    if gid in pages:
-                        rows.append(g | {"package": package, "place": place, "date": day, "text": z.read(pages[gid]).decode("utf-8", "replace")})
-                        size += len(rows[-1]["text"])
-                    if size > BATCH_CHARS:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+            granules = {g["granule_id"]: g for g in parse_mods(content.as_py(), whole=False) if g["granule_id"]}
+            yield pa.RecordBatch.from_pylist([g | {"archive": archive, "place": k} for k, g in enumerate(granules.values())], schema=schema)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Granules of all package archives below ``path``, html as it is; ``place`` is their place in the package's MODS."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(_unzip, GRANULE)
+    """Granules of all package archives below ``path``, html as it is; ``place`` is their place in the package's MODS.
+
+    The MODS of each archive are read first and joined to its directory, so that only the pages of granules are read,
+    by range and by as many tasks as their bytes need. A granule without a page is left out; of pages of one name the last counts.
+    """
+    found = archives.index(spark, path)
+    name = archives.base_name(F.col("member"))
+    mods = keep_first(found.filter(F.endswith("member", F.lit("mods.xml"))), ["archive"], [F.col("place")])
+    granules = stored(archives.contents(mods).select("archive", "content").mapInArrow(_granules, f"archive string, place int, granule_id string, congress int, granule_class string, chamber string, members {MEMBERS}"), "package-granules")
+    pages = keep_first(found.filter(F.endswith("member", F.lit(".htm"))).withColumn("granule_id", F.regexp_replace(name, r"\.htm\z", "")), ["archive", "granule_id"], [F.col("place").desc()]).drop("place")
+    wanted = stored(pages.join(granules, ["archive", "granule_id"]), "package-pages")
+    rows = archives.contents(wanted)
+    package = F.regexp_replace(F.element_at(F.split("archive", "/"), -1), r"\.zip\z", "")
+    return rows.select(
+        package.alias("package"), "place", "granule_id", "congress", "granule_class", "chamber", F.regexp_extract(package, PACKAGE_DATE, 1).alias("date"), "members",
+        page_text(F.col("content")).alias("text"),
+    )
+
+
+@F.arrow_udf(StringType())
+def page_text(content: pa.Array) -> pa.Array:
+    """UTF-8 with bad bytes replaced."""
+    return pa.array([None if x is None else x.decode("utf-8", "replace") for x in content.to_pylist()], pa.string())
 
 
 def package_turns(granules: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
