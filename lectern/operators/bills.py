@@ -76,6 +76,7 @@ CHAMBERS = {"h": "house", "s": "senate"}
 def normalized(bills: DataFrame, order: Column | None = None) -> DataFrame:
     """Typed, filled and checked bills, one row a bill_id (the last in ``order``), sorted by congress, type and number.
 
+    Without ``order`` it is the one whose JSON is largest, a rule that no partitioning changes.
     Numbers that are none, and rows that :func:`violations` names, fail the job.
     """
     chamber = F.lower(F.trim(F.coalesce("origin_chamber", F.lit(""))))
@@ -86,7 +87,7 @@ def normalized(bills: DataFrame, order: Column | None = None) -> DataFrame:
     problem = F.concat_ws(", ", problems())
     bad = F.raise_error(F.concat(F.lit("bill "), F.coalesce("bill_id", F.lit("without id")), F.lit(": "), problem)).cast("boolean")
     typed = typed.filter(F.when(problem == "", True).otherwise(bad))
-    last = Window.partitionBy("bill_id").orderBy((F.monotonically_increasing_id() if order is None else order).desc())
+    last = Window.partitionBy("bill_id").orderBy((F.to_json(F.struct(*sorted(typed.columns))) if order is None else order).desc())
     typed = typed.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
     return typed.orderBy("congress", "bill_type", "bill_number")
 
@@ -136,11 +137,14 @@ def rest_bills(payloads: DataFrame, base_url: str) -> DataFrame:
     return canonical(raw, "source_url", "source_updated_at")
 
 
-def update_bills(known: DataFrame | None, fresh: DataFrame, full: bool) -> DataFrame:
-    """The next bill table, checked: a full run replaces every congress that ``fresh`` has, another one single bills."""
+def update_bills(known: DataFrame | None, fresh: DataFrame, full: bool, order: Column | None = None) -> DataFrame:
+    """The next bill table, checked: a full run replaces every congress that ``fresh`` has, another one single bills.
+
+    Of fresh rows of one bill the last in ``order`` counts, see :func:`normalized`.
+    """
     if known is None:
-        return normalized(fresh)
-    return normalized(replace_groups(known, fresh, "congress") if full else upsert(known, fresh, ["bill_id"]))
+        return normalized(fresh, order)
+    return normalized(replace_groups(known, fresh, "congress") if full else upsert(known, fresh, ["bill_id"]), order)
 
 
 def next_batch(wanted: DataFrame, checkpoint: DataFrame, known: DataFrame, size: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.dedup import source_rank
+from lectern.operators.dedup import keep_first, source_rank
 from lectern.plans.broadcasts import small_or_shuffled
 from lectern.plans.scratch import stored
 from lectern.schema import TURN, conform
@@ -28,9 +28,13 @@ def write_turns(turns: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def append_new(turns: DataFrame, path: str) -> int:
-    """Append the turns whose id the table lacks; returns how many. A missing table counts as empty."""
+    """Append the turns whose id the table lacks; returns how many. A missing table counts as empty.
+
+    Of new rows of one id the first in reading order (source_rank, file, pos, where ``turns`` has them) stays, then the first by content.
+    """
     known = load_partitions(turns.sparkSession, path)
-    fresh = turns.dropDuplicates(["turn_id"])
+    order = [F.col(c) for c in ("source_rank", "file", "pos") if c in turns.columns]
+    fresh = keep_first(turns, ["turn_id"], [*order, F.to_json(F.struct(*sorted(turns.columns)))])
     fresh = stored(conform(fresh if known is None else fresh.join(known.select("turn_id"), "turn_id", "left_anti")), "append-new")
     write_turns(fresh, path)
     return fresh.count()

@@ -112,8 +112,8 @@ def files_for(zones: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
     A range is filed under each month from its first to its last; one that spans no two ISO dates meets all values by a bin of its own.
     """
     some = _some(zones)
-    is_day = F.col("low").rlike(r"\A\d{4}-\d{2}") & F.col("high").rlike(r"\A\d{4}-\d{2}")
-    first, last = (F.to_date(F.concat(F.substring(c, 1, BIN), F.lit("-01"))) for c in ("low", "high"))
+    first, last = (F.when(F.col(c).rlike(r"\A\d{4}-\d{2}"), F.concat(F.substring(c, 1, BIN), F.lit("-01")).try_cast("date")) for c in ("low", "high"))
+    is_day = first.isNotNull() & last.isNotNull()
     months = F.transform(F.sequence(first, last, F.expr("interval 1 month")), lambda m: F.date_format(m, "yyyy-MM"))
     ranges = some.select("path", "low", "high", F.explode(F.when(is_day, months).otherwise(F.array(F.lit("*")))).alias("bin")).distinct()
     asked = wanted.select(F.col(value).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
@@ -147,3 +147,17 @@ def missing_values(spark: SparkSession, zones: DataFrame, column: str, wanted: D
         return Missing(asked, len(paths), total - len(paths))
     found = present.select(F.col(column).alias(value)).distinct()
     return Missing(asked.join(found, value, "left_anti"), len(paths), total - len(paths))
+
+
+def still_failed(errors: DataFrame, zones: DataFrame, column: str = "date") -> Missing:
+    """Packages that a log of failures (value: its lines) names and whose day the corpus still lacks, as ``package``.
+
+    A log only grows, so an entry is no proof of a gap: each is looked up, in the files whose range holds its day. Names with an
+    impossible date are left out; of several names of one day the last in the log counts.
+    """
+    names = errors.select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.split("value", r"\s+")).alias("place", "package"))
+    day = F.regexp_extract("package", r"\ACREC-(\d{4}-\d{2}-\d{2})", 1)
+    dated = names.withColumn("day", day).filter(F.col("day").try_cast("date").isNotNull())
+    logged = stored(dated.groupBy("day").agg(F.max_by("package", F.struct("line", "place")).alias("package")), "failed-packages")
+    found = missing_values(errors.sparkSession, zones, column, logged, "day")
+    return Missing(logged.join(found.values, "day", "left_semi").select("package"), found.opened, found.skipped)

@@ -1,8 +1,8 @@
 """Turns as a stream: score as they arrive, recompute the member-days they touch.
 
 The reference behaviour is batch: append, look-back repair, idempotent upsert. So each micro-batch replaces the
-days it touches, from the whole turn table with each id once, which makes replays and turns of any age harmless
-and needs no streaming state.
+days it touches, from the turn files with each id once, which makes replays and turns of any age harmless and needs no
+streaming state, at the cost of a scan a batch. :mod:`lectern.streaming.member_state` keeps state instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.scoring import Scorer
+from lectern.operators.dedup import keep_first
 from lectern.operators.members import attributed, member_day, score_spoken
+from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.scratch import stored
 from lectern.schema import TURN
 
 
@@ -20,10 +23,14 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recompute_days(batch: DataFrame, all_turns: DataFrame, scorer: Scorer) -> DataFrame:
-    """Member-days, over all known turns, of the days that ``batch`` has."""
-    days = attributed(batch).select("date").distinct()
-    rows = attributed(all_turns).dropDuplicates(["turn_id"]).join(days, "date", "left_semi").withColumn("pos", F.col("turn_id"))
-    return member_day(score_spoken(rows, scorer))
+    """Member-days, over all known turns, of the days that ``batch`` has.
+
+    Rows of other days go before anything is shuffled; of repeated ids in what is left the first by date, then by content, stays.
+    """
+    days = small_or_shuffled(stored(attributed(batch).select("date").distinct(), "stream-days"), 100_000)
+    rows = attributed(all_turns).join(days, "date", "left_semi")
+    rows = keep_first(rows, ["turn_id"], [F.col("date"), F.to_json(F.struct(*sorted(rows.columns)))])
+    return member_day(score_spoken(rows.withColumn("pos", F.col("turn_id")), scorer))
 
 
 def start(spark: SparkSession, path: str, out: str, checkpoint: str, scorer: Scorer, available_now: bool = True):
