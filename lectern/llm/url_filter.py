@@ -6,10 +6,12 @@ finds token combinations of labelled URLs whose consequent is the label, pruned
 Mined rules match by an inverted index: each is filed under its rarest token, so a URL only meets rules that
 share that token, and the rest of the antecedent is checked against the URL's tokens.
 
-Mining sees the labelled URLs alone: support is a share of them, confidence a share of those that have the tokens.
-An item set has at most ``MINED_TOKENS`` tokens of a URL (host labels from the right, then path parts from the left,
-then query keys), so that long path templates cannot multiply item sets. Where no mined rule holds, and between
-equally confident ones, the verdict is allow.
+Mining sees the labelled URLs alone. A rule needs ``MIN_URLS`` of them, or the share ``MIN_SUPPORT`` if that is more, a
+confidence (share of those that have the tokens) of ``MIN_CONFIDENCE``, and ``MIN_LAPLACE`` for its confidence as estimated
+with one more URL on either side, so that few URLs do not make a sure rule. All tokens of a URL take part. FP-growth only sees
+tokens that are frequent enough alone, and tokens that occur in exactly the same URLs are one item, so long path templates do not
+multiply item sets; such a rule holds for a URL with any of them. Where no mined rule holds, and between equally confident
+ones, the verdict is allow.
 
 Null or malformed urls have empty host and path, no rule and the verdict allow. Every input row has a result
 row, also if page_id is null or repeated. Equal lengths cannot compete: a longer rule differs in host or path,
@@ -18,6 +20,9 @@ and of equal ones the alphabetically first verdict counts. Other columns are ign
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +33,9 @@ from lectern.plans.scratch import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
+MIN_URLS = 5
+MIN_LAPLACE = 0.85
 MAX_ANTECEDENT = 3
-MINED_TOKENS = 12
 BROADCAST_ROWS = 100_000
 
 #: Rule list of the contract.
@@ -56,9 +62,12 @@ def rule_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def listed_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(row, rule, rule_verdict) for the rows of (row, host, path) that a listed rule fits; the longest one."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """(row, rule, rule_verdict) for the rows of (row, host, path) that a listed rule fits; the longest one.
+
+    A host is looked up by its suffixes of as many labels as some rule's host has, so a long host makes no more of them.
+    """
+    lengths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).distinct().collect())  # label counts of rules
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in lengths])) if lengths else F.array().cast("array<string>")
     named = urls.filter("host <> ''").select("row", "path", F.explode(suffixes).alias("rule_host"))
     fits = named.join(small_or_shuffled(rules, BROADCAST_ROWS), "rule_host").filter(F.startswith("path", F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
@@ -77,36 +86,70 @@ def tokens() -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(found)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, longest: int = MAX_ANTECEDENT, width: int = MINED_TOKENS) -> DataFrame:
-    """(antecedent, verdict, confidence, support) from (tokens, label); rows without a label are left out."""
-    known = labelled.filter(F.col("label").isNotNull())
-    items = F.concat(F.slice(F.array_distinct("tokens"), 1, width), F.array(F.concat(F.lit("label="), F.col("label"))))
-    baskets = stored(known.select(items.alias("items")), "url-baskets")
-    if baskets.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+MINED = "antecedent array<string>, verdict string, confidence double, support double"
+
+
+@dataclass
+class MinedRules:
+    """Rules over items, and the tokens that stand for each item."""
+
+    rules: DataFrame  # antecedent (sorted items), verdict, confidence, support
+    items: DataFrame  # token, item
+
+
+def merged_tokens(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that ``least`` rows of (row, tokens) have; tokens of exactly the same rows share an item.
+
+    The set of a token's rows is told by its size and 128 bits of exclusive ors, which add up before the shuffle.
+    """
+    rows = labelled.select(F.xxhash64("row").alias("a"), F.xxhash64(F.lit("second"), "row").alias("b"), F.explode(F.array_distinct("tokens")).alias("token"))
+    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).filter(F.col("n") >= least)
+    sets = stored(sets, "url-token-sets")
+    return stored(sets.join(sets.groupBy("n", "a", "b").agg(F.min("token").alias("item")), ["n", "a", "b"]).select("token", "item"), "url-items")
+
+
+def as_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, items): the distinct items of each row's tokens; rows without any are left out."""
+    named = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token")).join(small_or_shuffled(items, BROADCAST_ROWS), "token")
+    return named.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, longest: int = MAX_ANTECEDENT, min_urls: int = MIN_URLS, min_laplace: float = MIN_LAPLACE) -> MinedRules:
+    """Rules of (tokens, label); rows without a label are left out."""
+    known = stored(labelled.filter(F.col("label").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "tokens", "label"), "url-labelled")
+    n = known.count()
+    least = max(min_urls, math.ceil(min_support * n))
+    items = merged_tokens(known, least)
+    if n < least:
+        return MinedRules(labelled.sparkSession.createDataFrame([], MINED), items)
+    label = F.concat(F.lit("label="), F.col("label"))
+    found = known.join(as_items(known, items), "row", "left")
+    baskets = stored(found.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(label)).alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.startswith(F.element_at("consequent", 1), F.lit("label=")))
     rules = rules.filter((F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("label="))))
+    both = F.round(F.col("support") * n)
+    rules = rules.filter((both + 1) / (F.round(both / F.col("confidence")) + 2) >= min_laplace)
     verdict = F.substring_index(F.element_at("consequent", 1), "=", -1)
-    return rules.select(F.sort_array("antecedent").alias("antecedent"), verdict.alias("verdict"), "confidence", "support")
+    return MinedRules(stored(rules.select(F.sort_array("antecedent").alias("antecedent"), verdict.alias("verdict"), "confidence", "support"), "url-mined"), items)
 
 
 def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """Mined rules filed under the rarest token of their antecedent."""
+    """Rules filed under the rarest item of their antecedent among the URLs (row, items)."""
     rules = rules.withColumn("rule_id", F.sha2(F.concat_ws(" ", "antecedent", "verdict"), 256))
-    wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
+    wanted = rules.select(F.explode("antecedent").alias("item")).distinct()
     wanted = small_or_shuffled(stored(wanted, "url-wanted"), BROADCAST_ROWS)
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").count()
-    order = Window.partitionBy("rule_id").orderBy("count", "token")
-    filed = rules.select("rule_id", F.explode("antecedent").alias("token")).join(counts, "token")
-    filed = filed.withColumn("k", F.row_number().over(order)).filter("k = 1").select("rule_id", "token")
-    return stored(filed.join(rules, "rule_id").select("token", "antecedent", "verdict", "confidence"), "url-index")
+    counts = urls.select(F.explode("items").alias("item")).join(wanted, "item").groupBy("item").count()
+    order = Window.partitionBy("rule_id").orderBy("count", "item")
+    filed = rules.select("rule_id", F.explode("antecedent").alias("item")).join(counts, "item")
+    filed = filed.withColumn("k", F.row_number().over(order)).filter("k = 1").select("rule_id", "item")
+    return stored(filed.join(rules, "rule_id").select("item", "antecedent", "verdict", "confidence"), "url-index")
 
 
 def mined_verdicts(urls: DataFrame, index: DataFrame) -> DataFrame:
-    """(row, mined_verdict, confidence): the most confident mined rule that a row's tokens satisfy."""
-    met = urls.select("row", "tokens", F.explode("tokens").alias("token")).join(small_or_shuffled(index, BROADCAST_ROWS), "token")
-    met = met.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    """(row, mined_verdict, confidence): the most confident mined rule that the items of a row (row, items) satisfy."""
+    met = urls.select("row", "items", F.explode("items").alias("item")).join(small_or_shuffled(index, BROADCAST_ROWS), "item")
+    met = met.filter(F.size(F.array_except("antecedent", "items")) == 0)
     best = F.max(F.struct("confidence", (F.col("verdict") == "allow").alias("milder"), "verdict")).alias("best")
     return met.groupBy("row").agg(best).select("row", F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("confidence"))
 
@@ -129,8 +172,9 @@ def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -
         train = urls.join(listed, "row", "left").select("tokens", F.col("rule_verdict").alias("label"))
     else:
         train = labels.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).select(tokens().alias("tokens"), "label")
-    index = rule_index(stored(mine(train), "url-mined"), urls)
-    open_urls = urls.join(listed.select("row"), "row", "left_anti")
+    mined = mine(train)
+    open_urls = stored(as_items(urls.join(listed.select("row"), "row", "left_anti"), mined.items), "url-open")
+    index = rule_index(mined.rules, open_urls)
     judged = urls.select("row", "page_id", "host", "path").join(listed, "row", "left").join(mined_verdicts(open_urls, index), "row", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "confidence")
 
