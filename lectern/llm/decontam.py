@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.broadcasts import is_small, small_or_shuffled
 from lectern.plans.parallelism import spread
 from lectern.plans.scratch import stored
 
@@ -50,11 +50,16 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
 
 @dataclass
 class PhraseIndex:
-    """Postings of the lookup terms and the plan of lookups; both are stored tables."""
+    """Postings of the lookup terms and the plan of lookups; all are stored tables.
 
-    postings: DataFrame  # row, doc_id, n_words, pos, term, around, around_from; term null: no posting, only the document
+    Where the terms can be broadcast, a posting carries the words around it. Beyond that, postings are slim, since they are shuffled
+    by term, and the words of the documents are fetched by row for what the intersections leave.
+    """
+
+    postings: DataFrame  # row, doc_id, n_words, pos, term, and if not slim around, around_from; term null: no posting, only the document
     lookups: DataFrame  # phrase, window, size, rank (1: rarest), term, offset
     items: DataFrame  # item_id, phrase
+    words: DataFrame | None = None  # row, w: the documents' words, if postings are slim
 
 
 def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> PhraseIndex:
@@ -63,9 +68,14 @@ def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORD
     terms = stored(windows.select("phrase", "window", F.posexplode("window").alias("offset", "term")), "decontam-window-terms")
     docs = documents.select("doc_id", words_of(F.col("text")).alias("w"))
 
-    vocabulary = small_or_shuffled(stored(terms.select("term").distinct(), "decontam-terms"), BROADCAST_ROWS)
-    frequency = docs.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
-    # One row a term; where it is too long to broadcast, the join is of two stored tables, which Spark splits at hot terms.
+    vocabulary = stored(terms.select("term").distinct(), "decontam-terms")
+    slim = not is_small(vocabulary, BROADCAST_ROWS)
+    if slim:
+        # Words are counted before they meet the vocabulary, so what is shuffled is a row a word and task.
+        docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "w"), "decontam-words")
+        frequency = docs.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("frequency")).join(vocabulary, "term")
+    else:
+        frequency = docs.select(F.explode("w").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
     frequency = small_or_shuffled(stored(frequency, "decontam-frequency"), BROADCAST_ROWS)
 
     # A window with a term that no document has cannot occur.
@@ -78,13 +88,16 @@ def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORD
         .select("phrase", "window", F.size("window").alias("size"), "rank", "term", "offset")
     )
     lookups = stored(lookups, "decontam-lookups")
+    keys = stored(lookups.select("term").distinct(), "decontam-keys")
+    items = items.select("item_id", "phrase")
+    if slim:
+        return PhraseIndex(stored(slim_postings(docs, keys), "decontam-postings"), lookups, items, docs.select("row", "w"))
 
-    keys = small_or_shuffled(stored(lookups.select("term").distinct().withColumn("is_key", F.lit(True)), "decontam-keys"), BROADCAST_ROWS)
     begin = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     postings = (
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "w")
         .select("row", "doc_id", F.size("w").alias("n_words"), "w", F.posexplode_outer("w").alias("pos", "term"))
-        .join(keys, "term", "left")
+        .join(F.broadcast(keys.withColumn("is_key", F.lit(True))), "term", "left")
         .filter(F.col("is_key") | F.coalesce(F.col("pos") == 0, F.lit(True)))
         .select(
             "row", "doc_id", "n_words", "pos",
@@ -93,7 +106,18 @@ def build_index(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORD
             begin.alias("around_from"),
         )
     )
-    return PhraseIndex(stored(postings, "decontam-postings"), lookups, items.select("item_id", "phrase"))
+    return PhraseIndex(stored(postings, "decontam-postings"), lookups, items)
+
+
+def slim_postings(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, pos, term) of the lookup terms, and a row of pos null for each document.
+
+    What is shuffled is (term, row, pos); a document's words stay where they are.
+    """
+    places = docs.select("row", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "term")).join(keys, "term")
+    held = places.select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "pos", "term")
+    heads = docs.select("row", "doc_id", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("term"))
+    return heads.unionByName(held)
 
 
 def _shifted(index: PhraseIndex, rank: int, *more: str) -> DataFrame:
@@ -110,10 +134,13 @@ def _shifted(index: PhraseIndex, rank: int, *more: str) -> DataFrame:
 
 def phrase_matches(index: PhraseIndex) -> DataFrame:
     """(row, phrase, start, size): every occurrence of every window, exactly."""
-    rarest = _shifted(index, 1, "window", "around", "around_from")
+    near = () if index.words is not None else ("around", "around_from")
+    rarest = _shifted(index, 1, "window", *near)
     second = _shifted(index, 2).select("row", "phrase", "start")
     both = rarest.filter(F.col("size") > 1).join(second, ["row", "phrase", "start"], "left_semi")
     found = both.unionByName(rarest.filter(F.col("size") == 1))
+    if index.words is not None:
+        found = found.join(index.words, "row").withColumnRenamed("w", "around").withColumn("around_from", F.lit(0))
     # greatest(): Spark may test this before it drops starts that lie before the text.
     here = F.slice("around", F.greatest(F.col("start") - F.col("around_from") + 1, F.lit(1)), F.col("size"))
     return found.filter(here == F.col("window")).select("row", "phrase", "start", "size")
@@ -147,7 +174,8 @@ def contamination(index: PhraseIndex) -> DataFrame:
         matches.select("row", "phrase").distinct().join(small_or_shuffled(index.items, BROADCAST_ROWS), "phrase")
         .groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     )
-    rows = index.postings.filter(F.coalesce(F.col("pos") == 0, F.lit(True))).select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"))
+    head = F.col("pos").isNull() if index.words is not None else F.coalesce(F.col("pos") == 0, F.lit(True))
+    rows = index.postings.filter(head).select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(hits.join(items, "row", "full"), "row", "left").select(
         "row", "doc_id", "n_words",

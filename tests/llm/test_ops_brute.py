@@ -98,6 +98,23 @@ def test_connected_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 299: 299, 300: 299}
 
 
+def test_decontamination_beyond_broadcasts_shuffles_no_documents(spark, sf, monkeypatch):
+    """With terms too many to broadcast: equal rows, and no array of words passes an exchange before the intersection."""
+    from lectern.llm import decontam
+
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted(map(str, decontam.contamination(decontam.build_index(docs, bench)).drop("row").collect()))
+    near = rows()
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert rows() == near
+    index = decontam.build_index(docs, bench)
+    assert index.words is not None and not any("array" in f.dataType.simpleString() for f in index.postings.schema)
+    plan = decontam.slim_postings(docs.select(F.lit(1).alias("row"), "doc_id", decontam.words_of(F.col("text")).alias("w")), index.lookups.select("term").distinct().hint("merge"))
+    told = spark._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", told)
+    assert "hashpartitioning(term" in told and sent and all(not re.search(r"\bw#", columns) for columns in sent)
+
+
 @pytest.mark.parametrize("bits", [12, 40, 64])
 def test_packed_filters_round_trip(bits):
     rng = np.random.default_rng(2)
