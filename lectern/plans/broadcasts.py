@@ -20,12 +20,17 @@ def _width(field: T.StructField):
     return F.coalesce(F.octet_length(flat), F.lit(0)) + 8
 
 
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` in all; both are counted. Give it stored tables."""
+    width = sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` in all, else ``df`` as it is.
 
     Without the hint Spark plans a shuffle join, which adaptive execution splits where a key is hot.
     Give it stored tables: what is not stored is computed once to be counted and again in the join.
     """
-    width = sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
