@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.scoring import Scorer
-from lectern.operators.incremental import UNREADABLE, shard_sums
-from lectern.plans.scratch import stored
+from lectern.operators.incremental import shard_sums
+from lectern.plans.scratch import exists, stored
 
 DONE = "shard string, files_key string, settings string, wave string"
 KEYS = ["shard", "files_key", "settings"]
@@ -25,10 +25,9 @@ WAVE_ROWS = 5_000_000
 
 def done_shards(spark: SparkSession, path: str) -> DataFrame:
     """(shard, files_key, settings, wave) of all commits; of a shard committed twice, by runs at one time, one counts."""
-    try:
-        log = stored(spark.read.schema(DONE).parquet(f"{path}/done"), "shards-done")
-    except UNREADABLE:
+    if not exists(spark, f"{path}/done"):
         return spark.createDataFrame([], DONE)
+    log = stored(spark.read.schema(DONE).parquet(f"{path}/done"), "shards-done")
     return log.groupBy(*KEYS).agg(F.max("wave").alias("wave"))
 
 

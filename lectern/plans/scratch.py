@@ -37,6 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store has ``path``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def clear(spark: SparkSession) -> bool:
     """Delete all tables that this application stored; results that were made from them must have been written by then."""
     jvm = spark.sparkContext._jvm

@@ -643,3 +643,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from lectern import source_queries as _source_queries  # noqa: E402, F401  registers its queries here

@@ -15,10 +15,11 @@ from lectern.operators.dedup import keep_first
 BUCKETS = 200
 
 
-def write_buckets(rows: DataFrame, table: str, key: str | list[str], buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """``rows`` as a table in buckets of ``key``, sorted inside, one file a bucket."""
+def write_buckets(rows: DataFrame, table: str, key: str | list[str], buckets: int = BUCKETS, mode: str = "overwrite", path: str | None = None) -> None:
+    """``rows`` as a table in buckets of ``key``, sorted inside, one file a bucket; at ``path``, or in the warehouse."""
     keys = [key] if isinstance(key, str) else key
-    rows.repartition(buckets, *keys).write.mode(mode).format("parquet").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    places = {} if path is None else {"path": path}
+    rows.repartition(buckets, *keys).write.mode(mode).format("parquet").options(compression="zstd", **places).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
 def first_of_each(spark: SparkSession, table: str, key: str | list[str], order: list[Column]) -> DataFrame:

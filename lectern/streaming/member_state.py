@@ -89,15 +89,25 @@ def changes(turns: DataFrame, scorer: Scorer) -> DataFrame:
     return prepared(turns, scorer).groupBy("bioguide").transformWithStateInPandas(MemberState(), CHANGE, "Update", "None")
 
 
-def start(spark: SparkSession, path: str, out: str, checkpoint: str, scorer: Scorer, available_now: bool = True):
-    """Keep the change table at ``out`` current with the turn files at ``path``; a folder an epoch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def start(spark: SparkSession, path: str, out: str, checkpoint: str, scorer: Scorer, available_now: bool = True, partitions: int | None = None):
+    """Keep the change table at ``out`` current with the turn files at ``path``; a folder an epoch.
+
+    State is dealt to ``partitions`` for good when the checkpoint is made (the session's number of shuffle partitions, if not given).
+    """
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, **({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})}
 
     def apply(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     writer = changes(read_stream(spark, path), scorer).writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()  # it keeps the settings of its start
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def last_changes(spark: SparkSession, out: str) -> DataFrame | None:
