@@ -2,11 +2,13 @@
 
 Every block-level element (and every inline element with a class or id) is a node that is content or not; inline
 nodes do not end a block, they only mark their part of its text. A
-node's own potential comes from its tag, its class, id and role words and its text; parent-child potentials
-connect it with its parent. Sum-product messages go up and down the tree, so marginals are exact: a paragraph
+node's own potential comes from its tag, its class, id and role words, its text and its shape: how much of the page's and of its
+parent's text is below it, how much of that is links, how long its pieces are, where it stands and how often its kind repeats
+beside it. Parent-child potentials connect it with its parent. Sum-product messages go up and down the tree, so marginals are exact: a paragraph
 in a sidebar is told from one in the article by its ancestors, an advert in the article by itself. Weights are
 fitted by the likelihood of labelled pages, whose elements carry ``data-content="1"`` or ``"0"`` (inherited;
-the attribute is never a feature). Fitting takes at most about ``TRAIN_PAGES`` labelled pages, in one task.
+the attribute is never a feature). Fitting takes at most about ``TRAIN_PAGES`` labelled pages, in one task; the weights of the query lie in a
+file that :mod:`lectern.llm.fit_html_weights` makes.
 
 Blocks end where a block-level element begins or ends, nowhere else; ``br`` is white space. A block is what its content
 nodes have of it. Null or empty html gives an
@@ -17,11 +19,13 @@ from __future__ import annotations
 
 import html
 import itertools
+import json
 import random
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -31,9 +35,14 @@ from pyspark.sql import functions as F
 
 from lectern.plans.parallelism import spread
 
-FEATURES = 1 << 12
+FEATURES = 1 << 16
 TRAIN_PAGES = 2_000
-STEPS = 200
+STEPS = 400
+#: Pages whose surest text is less sure than this have no article.
+LEAST_CONTENT = 0.15
+#: Weights fitted to ``example_pages`` by :mod:`lectern.llm.fit_html_weights`.
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+EXAMPLES = 2_000
 DATA_CONTENT = "data-content"
 BLOCK_CHARS = 1 << 21
 
@@ -56,6 +65,8 @@ SECTIONING = frozenset("main article section header footer nav aside form dialog
 #: Quotes count only right after ``=``; a quoted value without an end, or with text right behind it, ends at the next ``>``.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*+\"(?=[\s/>]|\Z)|=\s*+'[^']*+'(?=[\s/>]|\Z)|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Such as ``5 replies``, ``(12) Kommentare`` or ``Comments (3)``.
+COUNTED = re.compile(r"\(?\d+\)?(?: \w+){1,2}\Z|\w+(?: \w+)? \(\d+\)\Z")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -70,10 +81,11 @@ class Page:
     chars: list[int] = field(default_factory=list)
     link_chars: list[int] = field(default_factory=list)
     marks: list[int] = field(default_factory=list)
+    counted: list[int] = field(default_factory=list)  # whether the first text of its own is a number and a word or two
     blocks: list[list[tuple[int, str]]] = field(default_factory=list)  # (node, text as written) of each part
 
     def add(self, parent: int, tag: str, names: tuple[str, ...], label: int) -> int:
-        for values, value in zip((self.parent, self.tag, self.names, self.label, self.chars, self.link_chars, self.marks), (parent, tag, names, label, 0, 0, 0), strict=True):
+        for values, value in zip((self.parent, self.tag, self.names, self.label, self.chars, self.link_chars, self.marks, self.counted), (parent, tag, names, label, 0, 0, 0, 0), strict=True):
             values.append(value)
         return len(self.parent) - 1
 
@@ -82,6 +94,8 @@ def parse(source: str | None) -> Page:
     page = Page()
     root = page.add(-1, "#page", (), 0)
     stack: list[tuple[str, int]] = [("#page", root)]  # open elements and their node
+    places: dict[str, list[int]] = {}  # where the open elements of each tag are in the stack
+    sections: list[int] = []
     run: list[tuple[int, str]] = []
     links = 0
 
@@ -90,27 +104,39 @@ def parse(source: str | None) -> Page:
         for node, pieces in itertools.groupby(run, key=lambda x: x[0]):
             text = "".join(t for _, t in pieces)
             parts.append((node, text))
-            page.chars[node] += len(" ".join(text.split()))
+            plain = " ".join(text.split())
+            if not page.chars[node]:
+                page.counted[node] = int(COUNTED.match(plain) is not None)
+            page.chars[node] += len(plain)
             page.marks[node] += sum(text.count(c) for c in ".,;:!?")
         run.clear()
         if any(not t.isspace() for _, t in parts):
             page.blocks.append(parts)
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SECTIONING:
+            sections.append(len(stack))
+        stack.append((tag, node))
+
     def pop_to(k: int) -> None:
         nonlocal links
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for t, _ in reversed(stack[k:]):
+            places[t].pop()
+            if t in SECTIONING:
+                sections.pop()
+            links -= t == "a"
         del stack[k:]
 
+    def last(tags) -> int:
+        """Place of the innermost open element of some tags; 0 if none is open. No walk: each tag knows its own."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: set[str] | frozenset[str], border: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                pop_to(k)
-                return close(tags, border)
-            if stack[k][0] in border:
-                return None
-        return None
+        while (k := last(tags)) > last(border):
+            pop_to(k)
 
     source = source or ""
     at, size = 0, len(source)
@@ -135,12 +161,9 @@ def parse(source: str | None) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in SECTIONING:
-                    break
+            k = last((tag,))
+            if k and (tag in BLOCK or not sections or k > sections[-1]):
+                pop_to(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
@@ -162,7 +185,7 @@ def parse(source: str | None) -> Page:
         if tag in VOID:
             continue
         node = page.add(stack[-1][1], tag, names, label) if tag in BLOCK or names else stack[-1][1]
-        stack.append((tag, node))
+        push(tag, node)
         links += tag == "a"
     pop_to(1)
     flush()
@@ -178,12 +201,61 @@ def _code(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
-def node_features(page: Page, i: int) -> list[int]:
-    chars, linked = page.chars[i], page.link_chars[i]
+@dataclass
+class Shape:
+    """What surrounds each node of a page: sums over its subtree, the text before it, and how often its kind repeats beside it."""
+
+    chars: list[int]
+    links: list[int]
+    texts: list[int]
+    before: list[int]
+    alike: list[int]
+    children: list[int]
+    counted: list[int]
+
+    @classmethod
+    def of(cls, page: Page) -> Shape:
+        n = len(page.parent)
+        chars, links, texts, children, counted = list(page.chars), list(page.link_chars), [int(c > 0) for c in page.chars], [0] * n, list(page.counted)
+        before, so_far = [0] * n, 0
+        kinds: dict[tuple, int] = {}
+        for i in range(n):
+            before[i] = so_far
+            so_far += page.chars[i]
+            kind = (page.parent[i], page.tag[i], page.names[i])
+            kinds[kind] = kinds.get(kind, 0) + 1
+        for i in range(n - 1, 0, -1):
+            up = page.parent[i]
+            chars[up] += chars[i]
+            links[up] += links[i]
+            texts[up] += texts[i]
+            children[up] += 1
+            if up == i - 1 and not page.chars[up]:  # its first child tells for it
+                counted[up] = counted[i]
+        return cls(chars, links, texts, before, [kinds[page.parent[i], page.tag[i], page.names[i]] for i in range(n)], children, counted)
+
+
+def node_features(page: Page, i: int, shape: Shape) -> list[int]:
+    chars, linked, tag = page.chars[i], page.link_chars[i], page.tag[i]
+    whole, below, up = max(1, shape.chars[0]), shape.chars[i], max(page.parent[i], 0)
     leaf = "t" if chars else "n"
-    names = [f"tag={page.tag[i]}", f"tag={page.tag[i]},{leaf}", f"tag={page.tag[i]},named={bool(page.names[i])}", f"chars={_bin(chars, (1, 20, 60, 150, 400))}"]
+    names = [f"tag={tag}", f"tag={tag},{leaf}", f"tag={tag},named={bool(page.names[i])}", f"chars={_bin(chars, (1, 20, 60, 150, 400))}"]
     if chars:
         names += [f"links={_bin(linked / chars, (0.01, 0.3, 0.7))}", f"marks={_bin(100 * page.marks[i] / chars, (0.5, 1, 2, 4))}"]
+    if tag not in BLOCK:  # an inline element is a part of its block
+        names.append("inline")
+    elif below:
+        share, dense = _bin(below / whole, (0.03, 0.15, 0.35, 0.6)), _bin(shape.links[i] / below, (0.05, 0.3, 0.6))
+        each, place = _bin(below / max(1, shape.texts[i]), (12, 30, 70, 150)), _bin(shape.before[i] / whole, (0.01, 0.15, 0.5, 0.85))
+        of_parent = _bin(below / max(1, shape.chars[up]), (0.1, 0.4, 0.7))
+        kind = "sec" if tag in SECTIONING else "div" if tag == "div" else "list" if tag in ("ul", "ol", "dl", "table") else leaf
+        names += [
+            f"share={share}", f"dense={dense},{kind}", f"each={each},{kind}", f"place={place},{kind}", f"ofparent={of_parent},{kind}", f"share={share},dense={dense}", f"each={each},dense={dense},{kind}",
+            f"alike={_bin(shape.alike[i], (2, 3, 6))},{kind}", f"children={_bin(shape.children[i], (1, 2, 4))},{kind}",
+            f"counted={shape.counted[i]},{kind},{place > 1}",
+        ]
+    else:
+        names.append("below=0")
     names += [f"name={n}" for n in page.names[i]]
     return [_code(n) for n in names]
 
@@ -209,12 +281,12 @@ class Forest:
     def of(cls, pages: list[Page]) -> Forest:
         parent, depth, kind, feature, owner, label = [], [], [], [], [], []
         for page in pages:
-            base = len(parent)
+            base, shape = len(parent), Shape.of(page)
             for i, p in enumerate(page.parent):
                 parent.append(base + p if p >= 0 else -1)
                 depth.append(depth[base + p] + 1 if p >= 0 else 0)
                 kind.append(edge_kind(page.tag[i], page.chars[i]))
-                found = node_features(page, i)
+                found = node_features(page, i, shape)
                 feature += found
                 owner += [base + i] * len(found)
                 label.append(page.label[i])
@@ -277,8 +349,18 @@ class TreeModel:
         return model
 
 
+def chosen_nodes(page: Page, marginals: np.ndarray) -> np.ndarray:
+    """Nodes that are content: marginals of one half or more.
+
+    Where no text has that, but some has ``LEAST_CONTENT``, the page is judged given that it has an article at all: its nodes'
+    marginals are taken over the largest of its texts.
+    """
+    best = max((marginals[i] for i, c in enumerate(page.chars) if c), default=0.0)
+    return marginals >= (0.5 if best >= 0.5 or best < LEAST_CONTENT else 0.5 * best)
+
+
 def _text_of(page: Page, content: np.ndarray) -> str:
-    blocks = (" ".join("".join(t for node, t in parts if content[node] >= 0.5).split()) for parts in page.blocks)
+    blocks = (" ".join("".join(t for node, t in parts if content[node]).split()) for parts in page.blocks)
     return "\n".join(b for b in blocks if b)
 
 
@@ -287,25 +369,26 @@ def extract_texts(model: TreeModel, sources: list[str | None]) -> list[str]:
     forest = Forest.of(pages)
     p = model.marginals(forest)[0][forest.place]
     cuts = np.cumsum([len(page.parent) for page in pages])[:-1]
-    return [_text_of(page, content) for page, content in zip(pages, np.split(p, cuts), strict=True)]
+    return [_text_of(page, chosen_nodes(page, own)) for page, own in zip(pages, np.split(p, cuts), strict=True)]
 
 
 def _extract_batches(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, first = batch.schema.get_field_index("html"), 0
-            sources = batch.column(place).to_pylist()
-            while first < len(sources):
-                last, size = first, 0
-                while last < len(sources) and (size < BLOCK_CHARS or last == first):
-                    size += len(sources[last] or "")
-                    last += 1
-                texts = extract_texts(broadcast.value, sources[first:last])
+            place = batch.schema.get_field_index("html")
+            first, last, size, sources = 0, 0, 0, []
+            for value in batch.column(place):
+                sources.append(value.as_py())
+                size += len(sources[-1] or "")
+                last += 1
+                if size < BLOCK_CHARS and last < batch.num_rows:
+                    continue
+                texts = extract_texts(broadcast.value, sources)
                 rest = batch.slice(first, last - first)
                 columns = [c for k, c in enumerate(rest.columns) if k != place]
                 names = [f.name for k, f in enumerate(rest.schema) if k != place]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, "text"])
-                first = last
+                first, size, sources = last, 0, []
 
     return run
 
@@ -315,7 +398,7 @@ def extract(pages: DataFrame, model: TreeModel, *keep: str) -> DataFrame:
     broadcast = pages.sparkSession.sparkContext.broadcast(model)
     chosen = pages.select(*keep, F.col("html").cast("string").alias("html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "html")
-    return chosen.mapInArrow(_extract_batches(broadcast), f"{fields}, text string")
+    return chosen.mapInArrow(_extract_batches(broadcast), ", ".join(filter(None, (fields, "text string"))))
 
 
 def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -344,12 +427,12 @@ CLUTTER = {
     "notice": "notice cookie cookies consent gdpr alert warning message popup modal overlay paywall".split(),
     "ad": "ad ads advert advertisement sponsor sponsored promo promotion banner-ad adsense".split(),
     "form": "form newsletter subscribe signup login search search-form contact-form survey".split(),
-    "comment": "comment comments discussion replies reply responses disqus respond thread".split(),
+    "comment": "comment comments discussion replies reply responses disqus respond thread opinions reviews feedback".split(),
     "share": "share social sharing share-buttons follow".split(),
 }
 
 
-def example_pages(n: int = 900, seed: int = 11) -> list[str]:
+def example_pages(n: int = EXAMPLES, seed: int = 11) -> list[str]:
     """Labelled pages made up from templates; words are random syllables."""
     rng = random.Random(seed)
     syllables = "an be co da el fi go hu in jo ka le mo nu or pa qu re si ta un ve wi xo ya zu é ß ñ".split()
@@ -365,7 +448,11 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
     def noise() -> str:
         return rng.choice(["", "", f' id="{words(1, 1)}"', f' class="{words(1, 1)} {words(1, 1)}"', f' class="c{rng.randint(1, 99)}"'])
 
+    plain = False  # whether the page's names say nothing, so that only shape and tags tell
+
     def named(kind: str) -> str:
+        if plain:
+            return noise()
         return f' {rng.choice(["class", "class", "id"])}="{rng.choice(CLUTTER[kind])}"'
 
     def link_list(tag: str = "ul") -> str:
@@ -375,25 +462,32 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
         text = words(*rng.choice(sizes))
         if rng.random() < 0.1:
             text = text.replace(" ", rng.choice([" | ", "!! ", "*** ", " "])) if rng.random() < 0.6 else " ".join([text.split()[0]] * rng.randint(2, 60))
-        return rng.choice([f"<p{noise()}>{text}</p>"] * 6 + [f"<p>{text} <a href='/x'>{words(1, 3)}</a> {words(3, 20)}.</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"])
+        return rng.choice([f"<p{noise()}>{text}</p>"] * 6 + [f"<p>{text} <a{noise()} href='/x'>{words(1, 3)}</a> {words(3, 20)}.</p>", f"<p>{words(2, 9)} <span{noise()}>{words(1, 2)}</span> {text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"])
 
     def heading() -> str:
         tag = rng.choice(["h2", "h3", "h3", "h4"])
         return f"<{tag}>{words(1, 3)}</{tag}>"
 
+    def counted_heading() -> str:
+        n, tag = rng.randint(1, 240), rng.choice(["h2", "h3", "h4"])
+        return rng.choice([heading(), f"<{tag}>{n} {words(1, 1)}</{tag}>", f"<{tag}>{words(1, 1).strip('.,')} ({n})</{tag}>"])
+
     def clutter(kind: str) -> str:
+        if plain and kind in ("ad", "notice", "header"):
+            kind = rng.choice(["nav", "share", "form"])  # text in a box without a name is not told from an article
         tag = {"nav": ["nav", "nav", "div", "ul"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section"], "form": ["form", "form", "div"]}.get(kind, ["div", "div", "section", "aside", "p"])
         tag = rng.choice(tag)
         attribute = "" if tag in {"nav", "footer", "header", "aside", "form"} and rng.random() < 0.5 else named(kind)
+        one = noise() if plain else " class='comment'"
         inner = {
             "nav": lambda: link_list(),
             "header": lambda: rng.choice([f"<a href='/'>{words(1, 2)}</a>", f"<h1>{words(1, 3)}</h1><p>{words(3, 9)}</p>", link_list(), words(2, 8)]),
             "footer": lambda: rng.choice([f"&copy; {words(1, 2)}.example &middot; {words(4, 14)}.", f"<p>{words(5, 25)}</p>" + link_list(), f"<p>&copy; {words(1, 4)}</p>"]),
-            "aside": lambda: heading() + rng.choice([link_list(), paragraph(), f"<p>{words(10, 40)}</p><p>{words(10, 40)}</p>"]),
+            "aside": lambda: heading() + (link_list() if plain else rng.choice([link_list(), paragraph(), f"<p>{words(10, 40)}</p><p>{words(10, 40)}</p>"])),
             "notice": lambda: rng.choice([words(5, 25), f"<p>{words(8, 30)}</p><button>{words(1, 2)}</button>"]),
             "ad": lambda: rng.choice([words(3, 25), f"<a href='/'>{words(3, 9)}</a>", f"<p>{words(5, 25)}</p>"]),
             "form": lambda: f"<label>{words(1, 3)}</label><input name='q'><button>{words(1, 2)}</button>" + rng.choice(["", f"<p>{words(5, 20)}</p>", f"<select><option>{words(1, 2)}<option>{words(1, 2)}</select>"]),
-            "comment": lambda: heading() + "".join(rng.choice([f"<div class='comment'><b>{words(1, 2)}</b><p>{words(5, 50)}</p></div>", f"<article class='comment'><p>{words(5, 50)}</p></article>", f"<ol><li><p>{words(5, 40)}</p></li></ol>"]) for _ in range(rng.randint(1, 4))),
+            "comment": lambda: counted_heading() + "".join(rng.choice([f"<div{one}><b>{words(1, 2)}</b><p>{words(5, 50)}</p></div>", f"<article{one}><p>{words(5, 50)}</p></article>", f"<ol><li><p>{words(5, 40)}</p></li></ol>", f"<p>{words(2, 30)}.</p>"]) for _ in range(rng.randint(1, 4))),
             "share": lambda: rng.choice([link_list(), f"<a href='/'>{words(1, 1)}</a> <a href='/'>{words(1, 1)}</a>"]),
         }[kind]()
         return f'<{tag}{attribute} {DATA_CONTENT}="0">{inner}</{tag}>'
@@ -410,25 +504,65 @@ def example_pages(n: int = 900, seed: int = 11) -> list[str]:
             parts.append(clutter(rng.choice(["comment", "comment", "nav", "footer", "share", "form"])))
         if rng.random() < 0.3:  # the body in wrappers of its own
             parts = [parts[0], f'<div{rng.choice(["", noise()])} class="{rng.choice(CONTENT_NAMES)}">', *parts[1:], "</div>"]
+        if plain:
+            tag, attribute = rng.choice([("div", noise()), ("div", noise()), ("section", noise()), ("main", ""), ("article", "")])
+            return f'<{tag}{attribute} {DATA_CONTENT}="1">{"".join(parts)}</{tag}>'
         tag, attribute = rng.choice([("article", ""), ("article", ""), ("article", noise()), ("article", f' class="{rng.choice(CONTENT_NAMES)}"'), ("main", ""), ("div", f' class="{rng.choice(CONTENT_NAMES)}"'), ("div", f' id="{rng.choice(CONTENT_NAMES)}"'), ("section", f' class="{rng.choice(CONTENT_NAMES)}"')])
         return f'<{tag}{attribute} {DATA_CONTENT}="1">{"".join(parts)}</{tag}>'
 
-    def page() -> str:
+    def columns(core: str, side: str) -> str:
+        if rng.random() < 0.4:
+            cells = [f"<td>{core}</td>", f'<td {DATA_CONTENT}="0">{side}</td>']
+            rng.shuffle(cells)
+            return f"<table><tr>{''.join(cells)}</tr></table>"
+        return f'<div{noise()}><div{noise()}>{core}</div><div{noise()} {DATA_CONTENT}="0">{side}</div></div>'
+
+    def page(shaped: bool) -> str:
+        nonlocal plain
+        plain = shaped
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 9)}</title><style>p{{}}</style><script>var t='</p>';</script></head>"
         before = [clutter(k) for k in ("header", "nav", "notice", "ad", "form", "share") if rng.random() < 0.5]
         after = [clutter(k) for k in ("comment", "aside", "ad", "nav", "form", "share", "footer") if rng.random() < 0.5]
         rng.shuffle(before)
         core = "".join(before[:2]) + article() + "".join(after[:2])
+        if plain and rng.random() < 0.15:  # a page that is nearly nothing but its article
+            before, after, core = [], [], article()
+        if plain and rng.random() < 0.5:
+            core = columns(core, rng.choice([link_list(), f"<h3>{words(1, 3)}</h3>" + link_list(), "".join(f'<a href="/{words(1, 1)}">{words(1, 3)}</a>' for _ in range(rng.randint(3, 9)))]))
+        elif plain and rng.random() < 0.5:  # short and bare: some paragraphs in a box or cell, beside links
+            outer, inner = rng.choice([("div", "div"), ("div", "div"), ("div", "section"), ("tr", "td")])
+            side = rng.choice([link_list(), "".join(f'<a href="/{words(1, 1)}">{words(1, 2)}</a> ' for _ in range(rng.randint(2, 7)))])
+            boxes = [f'<{inner}{noise()} {DATA_CONTENT}="1">{"".join(f"<p>{words(6, 40)}.</p>" for _ in range(rng.randint(1, 5)))}</{inner}>', f'<{inner}{noise()} {DATA_CONTENT}="0">{side}</{inner}>']
+            rng.shuffle(boxes)
+            core = f"<{outer}{noise()}>{''.join(boxes)}</{outer}>"
+            core = f"<table>{core}</table>" if outer == "tr" else core
+            before, after = ([], []) if rng.random() < 0.5 else (before, after)
+        elif plain and rng.random() < 0.6:
+            core = f"<main {DATA_CONTENT}=\"1\"><h1>{words(2, 8)}</h1>{''.join(paragraph() for _ in range(rng.randint(1, 8)))}{clutter('comment')}</main>"
         wrapped = rng.choice([core, f"<main>{core}</main>", f"<div{noise()}>{core}</div>", f'<div class="wrapper container"><div class="row">{core}</div></div>'])
         return f"{head}<body{noise()}>{''.join(before[2:])}{wrapped}{''.join(after[2:])}</body></html>"
 
-    return [page() for _ in range(n)]
+    return [page(k % 2 == 1) for k in range(n)]
 
 
-def example_frame(spark: SparkSession, n: int = 900) -> DataFrame:
+def example_frame(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     return spark.createDataFrame([(p,) for p in example_pages(n)], "html string")
 
 
+def stored_model() -> TreeModel:
+    """The model of the weights file, so that no run fits it again."""
+    held = json.loads(_weights_text())
+    own = np.zeros(FEATURES)
+    own[[int(k) for k in held["own"]]] = list(held["own"].values())
+    return TreeModel(own, np.array(held["pair"]))
+
+
+def _weights_text() -> str:
+    import importlib.resources
+
+    return importlib.resources.files("lectern.llm").joinpath(WEIGHTS.name).read_text()
+
+
 def op5_html_extract(spark, sf_dir: str) -> DataFrame:
-    found = extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), train(example_frame(spark)), "page_id", "url")
+    found = extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), stored_model(), "page_id", "url")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -322,11 +322,51 @@ def test_html_contract_pages_exactly(spark):
     rng = np.random.default_rng(12)
     made = [article_page(rng, k) for k in range(120)]
     pages = spark.createDataFrame([(k, page) for k, (page, _) in enumerate(made)], "page_id long, html string")
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.train(html_extract.example_frame(spark)), "page_id").collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.stored_model(), "page_id").collect()}
     wrong = [k for k, (_, text) in enumerate(made) if got[k] != text]
     assert not wrong, (len(wrong), got[wrong[0]], made[wrong[0]][1])
 
 
+def test_html_weights_belong_to_the_example_pages(spark):
+    import json
+
+    from lectern.llm import fit_html_weights
+
+    held = json.loads(html_extract.WEIGHTS.read_text())
+    assert held["pages"] == fit_html_weights.pages_digest(html_extract.example_pages())
+    pages = [html_extract.parse(p) for p in html_extract.example_pages(60, seed=99)]  # other pages than it was fitted to
+    forest = html_extract.Forest.of(pages)
+    right = (html_extract.stored_model().marginals(forest)[0] >= 0.5) == forest.label
+    assert right.mean() > 0.97
+    small = html_extract.train(spark.createDataFrame([(p,) for p in html_extract.example_pages(40)], "html string"))
+    assert ((small.marginals(forest)[0] >= 0.5) == forest.label).mean() > 0.85
+
+
+BARE = {
+    '<html><head><title>t</title></head><body><div class="cols"><div class="left"><p>First paragraph of the story that we want to keep, with enough words in it.</p><p>The second paragraph goes on about the same matter and ends here.</p></div>'
+    '<div class="right"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul></div></div></body></html>':
+        "First paragraph of the story that we want to keep, with enough words in it.\nThe second paragraph goes on about the same matter and ends here.",
+    '<html><body><main><h1>Title here</h1><p>Some long paragraph about a thing that happened in the town, with details.</p><p>Another paragraph of the same length which goes on and on for a while.</p>'
+    '<section class="user-opinions"><h2>5 opinions</h2><p>I think this is wrong.</p><p>Me too.</p></section></main></body></html>':
+        "Title here\nSome long paragraph about a thing that happened in the town, with details.\nAnother paragraph of the same length which goes on and on for a while.",
+    '<html><body><table><tr><td><a href=/a>A</a> <a href=/b>B</a></td><td><p>The text of the page in a table cell, as old pages have it, with a number of words.</p><p>And a second paragraph for good measure, also with words.</p></td></tr></table></body></html>':
+        "The text of the page in a table cell, as old pages have it, with a number of words.\nAnd a second paragraph for good measure, also with words.",
+    '<html><body><ul class="q1"><li><a href="/1">Home</a></li><li><a href="/2">News</a></li><li><a href="/3">Sport</a></li></ul></body></html>': "",
+}
+
+
+@pytest.mark.parametrize("page", sorted(BARE))
+def test_html_pages_whose_names_say_nothing(page):
+    assert html_extract.extract_texts(html_extract.stored_model(), [page]) == [BARE[page]]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 50_000 + "</i>" * 50_000, "<i><article>" + "<b>" * 50_000 + "</i>" * 50_000, "<p>" * 50_000 + "</li>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<ul><li>" * 30_000])
+def test_html_stray_tags_cost_no_walk(page):
+    began = time.monotonic()
+    html_extract.parse(page)
+    assert time.monotonic() - began < 5
+
+
 def test_html_takes_long_and_deep_pages():
     model = html_extract.TreeModel(np.zeros(html_extract.FEATURES), np.zeros((4, 2, 2)))
     deep = "<div>" * 5_000 + "x" + "</div>" * 5_000
