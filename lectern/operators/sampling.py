@@ -64,8 +64,31 @@ def validation_sample(turns: DataFrame, scorer: Scorer, signal_quota: int, rando
     taken = taken.withColumn("passage", passage(F.coalesce("text", F.lit("")), at, chars)).withColumn("passage_sha256", F.sha2("passage", 256))
     taken = taken.withColumn("sample_id", F.concat(F.lit("VAL-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "turn_id", "stratum", "passage_sha256"), 256), 1, 20))))
     shown = ["turn_id", "source", "source_family", "date", "congress", "year", "era", "chamber", "speaker_name", "party", "passage", "passage_sha256", "sample_id"]
-    hidden = score_turns(taken.select("sample_id", "turn_id", "passage_sha256", F.col("stratum").alias("sampling_stratum"), "party", "passage"), scorer, text="passage")
-    return taken.select(*shown), hidden.drop("passage", "party")
+    hidden = score_turns(taken.select("sample_id", "turn_id", "passage_sha256", F.col("stratum").alias("sampling_stratum"), "party", "passage", "kind"), scorer, text="passage")
+    return taken.select(*shown), holding_their_signal(hidden).drop("passage", "party", "kind")
+
+
+def holding_their_signal(hidden: DataFrame) -> DataFrame:
+    """The scores, in which a passage drawn for a signal (``kind``) that does not score it fails the job and is named."""
+    score = F.coalesce(*[F.when(F.col("kind") == signal, F.col(column)) for signal, column in SIGNAL_SCORE.items()], F.lit(1))
+    lost = F.raise_error(F.concat(F.lit("accepted "), F.col("kind"), F.lit(" span missing from passage for "), F.col("turn_id"))).cast("boolean")
+    return hidden.filter(F.when(score > 0, True).otherwise(lost))
+
+
+def save_sample(shown: DataFrame, hidden: DataFrame, out: str, signal_quota: int, random_quota: int, chars: int, source_files: list[str]) -> dict:
+    """Write the blinded rows (Parquet, and CSV for annotators), the hidden scores and a manifest below ``out``; returns the manifest.
+
+    Samples are bounded by quotas, so each is one file.
+    """
+    spark = shown.sparkSession
+    shown = stored(shown, "sample-shown")
+    hidden.coalesce(1).write.mode("overwrite").parquet(f"{out}/production_features_hidden")
+    shown.coalesce(1).write.mode("overwrite").parquet(f"{out}/validation_sample_blinded")
+    shown.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(f"{out}/validation_sample_blinded_csv")
+    manifest = {"version": VERSION, "rows": shown.count(), "signal_quota": signal_quota, "random_quota": random_quota, "passage_chars": chars, "source_files": sorted(source_files)}
+    schema = "version string, rows long, signal_quota int, random_quota int, passage_chars int, source_files array<string>"
+    spark.createDataFrame([tuple(manifest.values())], schema).coalesce(1).write.mode("overwrite").json(f"{out}/sample_manifest")
+    return manifest
 
 
 def slices(rows: DataFrame, order: str, size: int = 50) -> DataFrame:

@@ -16,12 +16,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.scoring import Scorer, score_turns
+from lectern.functions import domain as dom
+from lectern.functions.scoring import Scorer
 from lectern.functions.sentiment import Valences, compound_sentiment
 from lectern.operators import bills as bl
 from lectern.operators import incremental as inc
 from lectern.operators import members as mem
-from lectern.operators import metrics as met
 from lectern.operators import phrase_index as pi
 from lectern.operators import resumable
 from lectern.plans.scratch import application_root, stored
@@ -318,3 +318,45 @@ def streamed_member_days(spark, sf):
     conform(turns(spark, sf).withColumn("turn_id", F.lpad("turn_id", 12, "0")).withColumn("speaker_id", F.lit(""))).write.parquet(src)
     member_state.start(spark, src, out, scratch(spark, "stream-state"), demo_scorer(), partitions=cores(spark)).awaitTermination()
     return member_state.member_days(spark, out).select("bioguide", "date", "chamber", "party", "congress", "turns", "words", *mem.HITS)
+
+
+@query("domain_values", """WITH o AS (SELECT *, o_orderkey AS k, 1870 + o_orderkey % 160 AS y FROM orders)
+SELECT k AS o_orderkey, CASE k % 4 WHEN 0 THEN 'house' WHEN 1 THEN 'senate' WHEN 2 THEN 'extensions' ELSE 'other' END AS chamber,
+  CASE k % 3 WHEN 0 THEN 118 ELSE (year(o_orderdate) - 1789) // 2 + 1 END::INTEGER AS congress, strftime(o_orderdate, '%Y-%m-%d') AS iso,
+  CASE WHEN y BETWEEN 1873 AND 1900 THEN '1873-1900' WHEN y BETWEEN 1901 AND 1945 THEN '1901-1945' WHEN y BETWEEN 1946 AND 1980 THEN '1946-1980' WHEN y BETWEEN 1981 AND 1993 THEN '1981-1993'
+       WHEN y BETWEEN 1994 AND 2016 THEN '1994-2016' WHEN y BETWEEN 2017 AND 2026 THEN '2017-2026' ELSE 'outside' END AS era,
+  CASE WHEN k % 2 = 0 THEN 'hein' ELSE 'govinfo' END AS family, CASE WHEN k % 2 = 0 THEN 'DOE' || o_custkey ELSE 'ROE' || o_custkey END AS surname,
+  'http://h/x?a=1&api_key=***&b=' || k AS url, k || CASE WHEN k % 100 BETWEEN 11 AND 13 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+  'https://h/118th-congress/' || CASE WHEN k % 2 = 0 THEN 'senate-bill/' ELSE 'house-bill/' END || k AS page, k % 5 <> 0 AS safe,
+  strftime(greatest(o_orderdate, TIMESTAMP '1998-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS newest FROM o""")
+def domain_values(spark, sf):
+    """Chambers, congresses, dates, eras, families, surnames, links and stamps from strings that are made of orders."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", dom.chamber_of(pick(4, "H", " senate", "e", "joint")).alias("chamber"), dom.congress_or_date(pick(3, "118", "0", "none"), day).alias("congress"),
+        dom.iso_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso"), dom.era_of(1870 + k % 160).alias("era"), dom.source_family(pick(2, "hein_bound", "govinfo")).alias("family"),
+        dom.surname(F.when(k % 2 == 0, F.concat(F.lit(" Doe"), cust, F.lit(", Jane"))).otherwise(F.concat(F.lit("Ann van  Roe"), cust))).alias("surname"),
+        dom.without_key(F.concat(F.lit("http://h/x?a=1&api_key=s3cret"), cust, F.lit("&b="), k.cast("string"))).alias("url"), dom.ordinal(k).alias("ordinal"),
+        dom.bill_url("https://h/", F.lit(118), pick(2, "S", "hr"), k).alias("page"), dom.safe_id(F.concat(F.lit("CREC-"), k.cast("string"), F.when(k % 5 == 0, "/..").otherwise(""))).alias("safe"),
+        dom.newest_stamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("no date"), F.lit("1998-01-01T00:00:00Z")).alias("newest"),
+    )
+
+
+@query("passages", """SELECT doc_id, substr(t, greatest(0, least(c - 30, length(t) - 60)) + 1, 60) AS passage, sha256(substr(t, greatest(0, least(c - 30, length(t) - 60)) + 1, 60)) AS passage_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t, (doc_id * 37) % greatest(1, length(coalesce(text, ''))) AS c FROM documents)""")
+def passages(spark, sf):
+    """Sixty characters around a place of each text, kept inside it."""
+    text = F.coalesce("text", F.lit(""))
+    made = dom.passage(text, ((F.col("doc_id") * 37) % F.greatest(F.lit(1), F.length(text))).cast("int"), 60)
+    return table(spark, sf, "documents").select("doc_id", made.alias("passage"), F.sha2(made, 256).alias("passage_sha256"))
+
+
+@query("shards_of_files", """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'govinfo:' || o_custkey % 20 ELSE 'file:hein_daily_' || o_custkey % 20 END AS shard, count(*) AS files FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
+def shards_of_files(spark, sf):
+    """Files that may share turn ids make one shard."""
+    c = F.col("o_custkey")
+    name = F.concat(F.when(c % 3 == 0, F.lit("/d/govinfo_bulk_")).otherwise(F.lit("/d/hein_daily_")), (c % 20).cast("string"), F.lit(".parquet"))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(inc.shard_of(name).alias("shard")).agg(F.count(F.lit(1)).alias("files"))
