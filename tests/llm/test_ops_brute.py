@@ -68,6 +68,31 @@ def py_components(rows, n, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_near_dedup_recall_on_given_documents(spark):
+    """Every link of the documents whose id is divisible by 20, against all documents of the next size, is inside one component."""
+    from collections import Counter, defaultdict
+
+    from lectern.llm import near_dedup
+
+    sf = "/root/testdata/sf0.1"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    component = {r["doc_id"]: r["component_id"] for r in near_dedup.op6_near_dedup(spark, sf).select("doc_id", "component_id").collect()}
+    sets, holders = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = set(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else {tuple(w)} if w else set()
+        for shingle in sets[i]:
+            holders[hash(shingle)].append(i)
+    links = 0
+    for i in (k for k in texts if k % 20 == 0):
+        near = Counter(j for shingle in sets[i] for j in holders[hash(shingle)] if j != i)
+        for j, n in near.items():
+            if n * 2 >= len(sets[i]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                links += 1
+                assert component[i] == component[j], (i, j)
+    assert links > 100
+
+
 def family(rng, base, count, most):
     out = [list(base)]
     for _ in range(count):
