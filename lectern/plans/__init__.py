@@ -1 +1 @@
-"""Plan-level helpers: scratch tables, size-checked broadcasts, skew handling."""
+"""Plan-level helpers: scratch tables, size-checked broadcasts, spreading of small scans."""
