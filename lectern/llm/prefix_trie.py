@@ -8,8 +8,8 @@ counted once, by its owner. No tree is ever walked and no node meets its childre
 
 Skew: a node may have a third of all conversations as members. The windows work on salted groups first, and only the
 smallest member of each salted group goes on to the node's own window; the root, which all share, is summed with
-map-side combine; lookups of parents join stored tables, which Spark splits at hot keys. SHA-256 is sequential, so the ids
-of conversations that end in one node stream through one task, eight bytes each, and are never held together.
+map-side combine; lookups of parents join stored tables, which Spark splits at hot keys. SHA-256 is sequential, so for a node in
+which many conversations end their ids are sorted and joined to chunks by many tasks, and the chunks stream through one.
 
 Nodes are told apart by depth and 120 bits, the exclusive or of SHA-256 values of (position, turn): a running sum
 that a window keeps in constant memory, however long the conversation is.
@@ -101,34 +101,64 @@ def owned(found: DataFrame) -> DataFrame:
     return marked.withColumn("leaf", F.col("owned") & (F.col("reach") == F.col("depth"))).drop("reach")
 
 
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One digest a node from rows (depth, x, y, conv_id) that come sorted by them."""
-    now, digest, empty = None, None, True
-    schema = pa.schema([("depth", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("ends_sha256", pa.string())])
+NODE = [("depth", pa.int32()), ("x", pa.int64()), ("y", pa.int64())]
+CHUNK_IDS = 4_096
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _chunked(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (depth, x, y, conv_id) that come sorted, as rows (depth, x, y, first, ids) of up to ``size`` ids of one node, joined."""
+        schema = pa.schema([*NODE, ("first", pa.int64()), ("ids", pa.string())])
+        now, ids = None, []
+        for batch in batches:
+            done = []
+            for *node, conv_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if node != now or len(ids) == size:
+                    if ids:
+                        done.append((*now, ids[0], ",".join(map(str, ids))))
+                    now, ids = node, []
+                ids.append(conv_id)
+            yield _batch(done, schema)
+        if ids:
+            yield _batch([(*now, ids[0], ",".join(map(str, ids)))], schema)
 
-    def made(done: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(schema)], schema=schema)
+    return run
 
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest a node from chunks that come sorted by node and first id."""
+    schema = pa.schema([*NODE, ("ends_sha256", pa.string())])
+    now, digest = None, None
     for batch in batches:
         done = []
-        for *node, conv_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *node, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if node != now:
                 if now is not None:
                     done.append((*now, digest.hexdigest()))
-                now, digest, empty = node, hashlib.sha256(), True
-            digest.update(str(conv_id).encode() if empty else b",%d" % conv_id)
-            empty = False
-        yield made(done)
+                now, digest = node, hashlib.sha256(ids.encode())
+            else:
+                digest.update(f",{ids}".encode())
+        yield _batch(done, schema)
     if now is not None:
-        yield made([(*now, digest.hexdigest())])
+        yield _batch([(*now, digest.hexdigest())], schema)
 
 
 def ends(found: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(depth, x, y, ends_sha256) of nodes in which conversations end; the root (0, 0, 0) if some have no turns."""
+    """(depth, x, y, ends_sha256) of nodes in which conversations end; the root (0, 0, 0) if some have no turns.
+
+    Ids are sorted by node and id over all tasks, so the ids of a hot node lie in many, which join them to chunks; what one task
+    digests for it are those chunks.
+    """
     last = found.filter("depth = length").select("depth", "x", "y", "conv_id")
     turnless = conversations.filter("length = 0").select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "conv_id")
-    lasts = last.unionByName(turnless).repartition("depth", "x", "y").sortWithinPartitions("depth", "x", "y", "conv_id")
-    return lasts.mapInArrow(_ended, "depth int, x long, y long, ends_sha256 string")
+    place = ["depth", "x", "y"]
+    lasts = last.unionByName(turnless).repartitionByRange(*place, "conv_id").sortWithinPartitions(*place, "conv_id")
+    chunks = lasts.mapInArrow(_chunked(CHUNK_IDS), "depth int, x long, y long, first long, ids string")
+    return chunks.repartition(*place).sortWithinPartitions(*place, "first").mapInArrow(_ended, "depth int, x long, y long, ends_sha256 string")
 
 
 def trie(rebuilt_turns: Turns) -> DataFrame:

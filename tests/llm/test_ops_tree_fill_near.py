@@ -66,8 +66,9 @@ def test_trie_equals_brute_force(spark):
     assert spark_trie(spark, rows) == py_trie(rows)
 
 
-def test_trie_of_many_copies_and_of_long_conversations(spark):
-    rows = [(c, t, "user", f"same {t}") for c in range(700) for t in range(3)] + [(5_000, t, "u", f"w{t % 9}") for t in range(2_000)]
+def test_trie_of_many_copies_and_of_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CHUNK_IDS", 50)
+    rows = [(c, t, "user", f"same {t}") for c in range(400) for t in range(3)] + [(5_000, t, "u", f"w{t % 9}") for t in range(600)]
     assert spark_trie(spark, rows) == py_trie(rows)
 
 
