@@ -157,21 +157,3 @@ def test_logged_failures_are_resolved_against_the_corpus(spark, tmp_path):
     log = spark.createDataFrame([("CREC-2020-01-02 failed",), ("2020 CREC-2020-01-09 CREC-2026-13-99",), ("CREC-2020-02-03-v2",), ("xCREC-2020-05-05",), (None,)], "value string")
     found = zone_map.still_failed(log, zones)
     assert [r["package"] for r in found.values.collect()] == ["CREC-2020-01-09"] and (found.opened, found.skipped) == (2, 1)
-
-
-def test_samples_hold_their_signal_and_are_saved_with_a_manifest(spark, tmp_path):
-    from pyspark.errors import PySparkException
-
-    from lectern.operators import sampling as smp
-
-    filler = "word " * 600
-    rows = [turn(i, text=f"{filler} a damn liar {filler}" if i % 2 else filler, party="DR"[i % 2], congress=115) for i in range(12)]
-    shown, hidden = smp.validation_sample(frame(spark, rows), SCORER, 3, 2, 200)
-    found = hidden.collect()
-    assert {r["sampling_stratum"].split("|")[-1] for r in found} == {"random", "personal_attack", "profanity"}
-    made = smp.save_sample(shown, hidden, str(tmp_path / "s"), 3, 2, 200, ["b", "a"])
-    assert made["rows"] == len(found) and spark.read.json(str(tmp_path / "s/sample_manifest")).first()["source_files"] == ["a", "b"]
-    assert spark.read.option("header", "true").csv(str(tmp_path / "s/validation_sample_blinded_csv")).count() == len(found) == spark.read.parquet(str(tmp_path / "s/production_features_hidden")).count()
-    lost = hidden.limit(1).withColumn("kind", F.lit("profanity")).withColumn("profanity_hits", F.lit(0).cast("long")).withColumn("turn_id", F.lit("t77"))
-    with pytest.raises(PySparkException, match="accepted profanity span missing from passage for t77"):
-        smp.holding_their_signal(lost).collect()
