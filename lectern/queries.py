@@ -237,7 +237,9 @@ SELECT doc_id, (CASE WHEN trim(parts[1], E' \t\n\r\f\v') <> '' OR n = 1 THEN i E
 FROM e WHERE trim(parts[i + 1], E' \t\n\r\f\v') <> ''""")
 def segment_turns(spark, sf):
     d = spread(table(spark, sf, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = d.select("doc_id", F.posexplode(seg.segments(F.col("text"), r"\b(Of)\b")).alias("i", "s"))
+    # The word boundary of the SQL's engine knows ASCII only and Java's depends on its version, so it is spelled out.
+    marker = r"(?<![0-9A-Za-z_])(Of)(?![0-9A-Za-z_])"
+    rows = d.select("doc_id", F.posexplode(seg.segments(F.col("text"), marker)).alias("i", "s"))
     return rows.select("doc_id", "i", "s.marker", "s.body").filter("body <> ''")
 
 
