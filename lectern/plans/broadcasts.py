@@ -20,10 +20,14 @@ def _width(field: T.StructField):
     return F.coalesce(F.octet_length(flat), F.lit(0)) + 8
 
 
+def row_bytes(df: DataFrame):
+    """Bytes of a row's values."""
+    return sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
+
+
 def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` in all; both are counted. Give it stored tables."""
-    width = sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 

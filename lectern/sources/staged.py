@@ -12,17 +12,21 @@ without such a rename need a commit service of their own.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.plans.broadcasts import small_or_shuffled
+from lectern.plans.broadcasts import row_bytes, small_or_shuffled
 from lectern.plans.scratch import stored
 
 SNAPSHOT = "partition string, path string, bytes long, sha256 string"
 BROADCAST_ROWS = 100_000
+#: Rows and bytes of values that one file should have: a task sorts what it writes and digests a file whole.
+FILE_ROWS = 250_000
+FILE_BYTES = 128 << 20
 
 
 class DamagedTable(ValueError):
@@ -73,16 +77,27 @@ def _digests(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"/([^/]*)/[^/]*\z", 1).alias("partition"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _dealt(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """A stored table in partitions of about ``FILE_ROWS`` rows or ``FILE_BYTES``; a value's rows lie in as few as hold them."""
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / FILE_ROWS, F.sum(row_bytes(rows)) / FILE_BYTES, F.lit(least)))
+    sizes = stored(rows.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.sum(row_bytes(rows)).alias("_bytes"), pieces.alias("_pieces")), "staged-sizes")
+    n, size = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    slots = max(rows.sparkSession.sparkContext.defaultParallelism, least, 2 * math.ceil(max(n / FILE_ROWS, size / FILE_BYTES)))
+    placed = rows.withColumn("_place", F.monotonically_increasing_id()).join(small_or_shuffled(sizes, BROADCAST_ROWS), F.col(key).eqNullSafe(F.col("_of")))
+    slot = F.pmod(F.xxhash64(key) + F.pmod("_place", "_pieces"), F.lit(slots)).cast("int")
+    return placed.repartitionById(slots, slot).select(*rows.columns)
+
+
 def stage(rows: DataFrame, root: str, key: str, run: str | None = None, files_a_partition: int = 1) -> Staged:
     """Write ``rows`` aside, a folder for each value of ``key``, with digests and the next snapshot; readers see nothing of it.
 
-    A run replaces the partitions that its rows have and keeps all others. ``files_a_partition`` splits large ones.
+    A run replaces the partitions that its rows have and keeps all others. The rows are stored and counted first, so that a value
+    gets as many files, and the write as many tasks, as its rows and bytes need; ``files_a_partition`` is the least number of files.
     """
     spark = rows.sparkSession
     run = run or uuid.uuid4().hex
     folder = f"{root}/runs/{run}"
-    dealt = rows.withColumn(f"{key}_key", F.col(key))
-    dealt = dealt.repartition(F.col(f"{key}_key"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(files_a_partition)))
+    dealt = _dealt(stored(rows.withColumn(f"{key}_key", F.col(key)), "staged-rows"), f"{key}_key", files_a_partition)
     dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(f"{key}_key").parquet(folder)
     _, path, system = _hadoop(spark, folder)
     wrote = any(s.isDirectory() for s in system.listStatus(path))
