@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed n-grams of each language over a bounded, hash-chosen sample of the labelled rows
-(``TRAIN_ROWS`` a language, whole texts), smooths them and keeps one matrix of log probabilities, languages by
-buckets. Its size is bounded by ``MAX_LANGUAGES`` x ``BUCKETS``, so it is broadcast; scoring adds up the rows
+Training counts the hashed n-grams of each language over all labelled rows, whole texts, smooths them and keeps one
+matrix of log probabilities, languages by buckets. Counts travel in slices of buckets, so no task adds up more than one slice
+from each of the others. The matrix's size is bounded by ``MAX_LANGUAGES`` x ``BUCKETS``, so it is broadcast; scoring adds up the rows
 of the matrix that a text's n-grams pick, in numpy, for many texts at once.
 
 The score is the posterior of the predicted language with evenly likely languages, evidence divided by the
@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.blocks import U, mix
 from lectern.plans.parallelism import spread
-from lectern.plans.scratch import stored
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-TRAIN_ROWS = 3_000
 MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Log probability per n-gram by which a text may fall below the lowest training text of its language.
 FLOOR_MARGIN = 2.0
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Buckets whose counts make one row.
+SLICE = 256
 #: Code points handled at once.
 BLOCK_CHARS = 1 << 18
 
@@ -83,7 +83,7 @@ def letters_of(texts: list[str]) -> list[str]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each language a task has seen: its n-gram counts."""
+    """The n-gram counts of each language a task has seen, a row for every ``SLICE`` buckets."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for first, texts in text_groups(batch.column(1)):
@@ -95,9 +95,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 count = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for rows in bucket_rows(points, starts):
                     count += np.bincount(rows[mine], minlength=BUCKETS + 1)[:BUCKETS]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(totals), pa.string()), pa.array([c.tobytes() for c in totals.values()], pa.binary())], names=["lang", "counts"]
-    )
+    for lang, count in totals.items():
+        slices = count.reshape(-1, SLICE)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(slices), pa.string()), pa.array(range(len(slices)), pa.int32()), pa.array([c.tobytes() for c in slices], pa.binary())], names=["lang", "slice", "counts"]
+        )
 
 
 def _floor_batches(broadcast):
@@ -119,7 +121,7 @@ def _floor_batches(broadcast):
 
 def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
-    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "slice": [rows["slice"].iloc[0]], "counts": [total.tobytes()]})
 
 
 @dataclass
@@ -129,39 +131,39 @@ class LanguageModel:
     floor: np.ndarray | None = None  # least mean log probability per n-gram of each language's texts
 
     @staticmethod
-    def sample(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> DataFrame | None:
-        """(lang, text): the bounded, hash-chosen training rows of (doc_id, text, lang); None without any."""
-        labelled = labelled.select(F.xxhash64("doc_id", F.length("text")).alias("place"), F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL")
-        sizes = labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-        if len(sizes) > MAX_LANGUAGES:
+    def learned(labelled: DataFrame) -> DataFrame | None:
+        """(lang, text): all rows of (text, lang) that have a lang; None without any."""
+        labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL")
+        languages = labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+        if languages > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        if not sizes:
-            return None
-        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-        return labelled.filter(F.pmod("place", F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")]).select("lang", "text")
+        return labelled if languages else None
 
     @classmethod
-    def train(cls, labelled: DataFrame, rows_per_language: int = TRAIN_ROWS) -> LanguageModel:
-        """``labelled``: doc_id, text, lang; rows without lang are left out."""
-        return cls.fit(cls.sample(labelled, rows_per_language))
+    def train(cls, labelled: DataFrame) -> LanguageModel:
+        """``labelled``: text, lang; rows without lang are left out."""
+        return cls.fit(cls.learned(labelled))
 
     @classmethod
-    def fit(cls, sample: DataFrame | None) -> LanguageModel:
-        if sample is None:
+    def fit(cls, learned: DataFrame | None) -> LanguageModel:
+        if learned is None:
             return cls([], np.zeros((BUCKETS + 1, 0), np.float32))
-        counted = sample.mapInArrow(_count_batches, "lang string, counts binary").groupBy("lang").applyInPandas(_sum_counts, "lang string, counts binary")
-        found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}
+        row = "lang string, slice int, counts binary"
+        counted = learned.mapInArrow(_count_batches, row).groupBy("lang", "slice").applyInPandas(_sum_counts, row)
+        found: dict[str, np.ndarray] = {}
+        for r in counted.collect():  # BUCKETS counts a language
+            found.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
         languages = sorted(found)
         counts = np.array([found[x] for x in languages], dtype=np.float64) + SMOOTHING
         matrix = np.log(counts / counts.sum(axis=1, keepdims=True)).T
         return cls(languages, np.vstack([matrix, np.zeros((1, len(languages)))]).astype(np.float32))
 
-    def with_floor(self, sample: DataFrame) -> LanguageModel:
-        """The model with each language's floor over ``sample`` (lang, text)."""
+    def with_floor(self, learned: DataFrame) -> LanguageModel:
+        """The model with each language's floor over all rows of ``learned`` (lang, text)."""
         if not self.languages:
             return self
-        broadcast = sample.sparkSession.sparkContext.broadcast(self)
-        found = sample.mapInArrow(_floor_batches(broadcast), "lang string, lowest double").groupBy("lang").agg(F.min("lowest").alias("lowest"))
+        broadcast = learned.sparkSession.sparkContext.broadcast(self)
+        found = learned.mapInArrow(_floor_batches(broadcast), "lang string, lowest double").groupBy("lang").agg(F.min("lowest").alias("lowest"))
         lowest = {r["lang"]: r["lowest"] for r in found.collect()}  # one row a language
         return LanguageModel(self.languages, self.log_probability, np.array([lowest.get(x, -np.inf) for x in self.languages]) - FLOOR_MARGIN)
 
@@ -235,11 +237,10 @@ def _keep_batches(broadcast):
 
 
 def drop_foreign(documents: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that belong to a language of ``labelled`` (doc_id, text, lang)."""
-    sample = LanguageModel.sample(labelled)
-    sample = None if sample is None else stored(sample, "language-sample")
-    model = LanguageModel.fit(sample)
-    model = model if sample is None else model.with_floor(sample)
+    """The documents, with all their columns, that belong to a language of ``labelled`` (text, lang)."""
+    learned = LanguageModel.learned(labelled)
+    model = LanguageModel.fit(learned)
+    model = model if learned is None else model.with_floor(learned)
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_keep_batches(broadcast), documents.schema)
 
