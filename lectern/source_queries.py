@@ -24,6 +24,7 @@ from lectern.operators import incremental as inc
 from lectern.operators import members as mem
 from lectern.operators import phrase_index as pi
 from lectern.operators import resumable
+from lectern.plans.parallelism import spread
 from lectern.plans.scratch import application_root, stored
 from lectern.queries import SCORES_SQL, SUMS_SQL, demo_scorer, query, table, turns
 from lectern.schema import conform
@@ -263,7 +264,7 @@ def phrase_occurrences(spark, sf):
         F.lit("benchmark").alias("lexicon"), F.xxhash64("three").alias("phrase"), F.lit(0).alias("priority"), F.lit(3).alias("size"),
         F.transform("three", lambda x: F.array(x)).alias("forms"), F.array(F.lit(" "), F.lit(" ")).alias("gaps"),
     )
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     index = pi.index_phrases(spark, rows.withColumn("phrase", F.pmod("phrase", F.lit(2**31 - 1)).cast("int")), docs)
     found = pi.matches(docs, index)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("found").alias("phrases"))

@@ -37,3 +37,14 @@ def test_segments_keep_a_letter_v_at_the_ends(spark, made):
     # In DuckDB E'\\v' is the letter v, so the query's SQL cuts it off; only white space is stripped here.
     got = engine.queries()["segment_turns"](spark, made(["vequa Of \x0bmolv\x0b"])).orderBy("i").collect()
     assert [(r["i"], r["marker"], r["body"]) for r in got] == [(0, "", "vequa"), (1, "Of", "molv")]
+
+
+@pytest.mark.parametrize("name", ["phrase_occurrences"])
+def test_a_table_of_one_row_group_is_dealt_out(spark, sf, name, monkeypatch):
+    from lectern import source_queries
+
+    dealt = []
+    real = getattr(source_queries, "spread", None)
+    monkeypatch.setattr(source_queries, "spread", lambda scan: dealt.append(real(scan)) or dealt[-1], raising=False)
+    engine.queries()[name](spark, sf)
+    assert [d.rdd.getNumPartitions() for d in dealt if "text" in d.columns] == [spark.sparkContext.defaultParallelism]
