@@ -302,7 +302,7 @@ SELECT source, lang, count(*) AS sentences, round(sum(value) / count(*), 9) AS m
 @query("sentiment_means", _sentiment_sql())
 def sentiment_means(spark, sf):
     """Compound sentiment of every sentence, as sentence-weighted means by source and language."""
-    docs = table(spark, sf, "documents").withColumn("party", F.lit("D"))
+    docs = spread(table(spark, sf, "documents").select("source", "lang", "text"))
     scored = docs.withColumn("_s", compound_sentiment(VALENCES)(F.col("text"))).select("source", "lang", "_s.*")
     weight = F.col("n_sentences")
     sums = scored.groupBy("source", "lang").agg(F.sum(weight).alias("sentences"), *(F.sum(F.col(c) * weight).alias(c) for c in ("sentiment", "neg_share"))).filter("sentences > 0")

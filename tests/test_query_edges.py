@@ -39,7 +39,7 @@ def test_segments_keep_a_letter_v_at_the_ends(spark, made):
     assert [(r["i"], r["marker"], r["body"]) for r in got] == [(0, "", "vequa"), (1, "Of", "molv")]
 
 
-@pytest.mark.parametrize("name", ["phrase_occurrences"])
+@pytest.mark.parametrize("name", ["phrase_occurrences", "sentiment_means"])
 def test_a_table_of_one_row_group_is_dealt_out(spark, sf, name, monkeypatch):
     from lectern import source_queries
 
