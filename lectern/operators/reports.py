@@ -54,8 +54,11 @@ def average_ranks(rows: DataFrame, column: str) -> DataFrame:
 
 
 def rank_correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, spearman) for every pair of columns over all rows, ties at their average rank; rows with a null drop out."""
-    ranked = stored(rows.select(*columns).dropna(), "ranked")
+    """(a, b, spearman) for every pair of columns over all rows, ties at their average rank; rows with a null drop out.
+
+    The columns are stored before nulls are dropped: a filter on them would be pushed below the work that makes them and repeat it.
+    """
+    ranked = stored(rows.select(*columns), "ranked").dropna()
     for c in columns:
         ranks = small_or_shuffled(stored(average_ranks(ranked, c), f"rank-of-{c}"), BROADCAST_ROWS)
         ranked = ranked.join(ranks.select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}")), c)
