@@ -47,6 +47,12 @@ MILD_EXCLUSIONS = (
     r"|\bmy\s+damn\s+sin\b"
     r"|\bcrap\s+game\b"
 )
+# Literals of which every match of a fixed pattern has at least one.
+OTHER_PARTY_NEEDS = {"D": ("republican",), "R": ("democratic",)}
+COOPERATION_NEEDS = ("in a bipartisan",)
+HOSTILITY_NEEDS = ("phony", "incompetent", "coward", "liar")
+MISCONDUCT_NEEDS = ("corrupt",)
+MILD_NEEDS = ("damn", "crap")
 
 
 @dataclass(frozen=True)
@@ -91,13 +97,13 @@ class Scorer:
         idioms = tx.match_spans(low, self.idioms.phrases)
 
         def of(p: str) -> Column:
-            return tx.merge_spans(F.concat(idioms, tx.token_spans(low, OTHER_PARTY_WORDS[p]), tx.match_spans(low, OTHER_PARTY_PHRASES[p])))
+            return tx.merge_spans(F.concat(idioms, tx.token_spans(low, OTHER_PARTY_WORDS[p], OTHER_PARTY_WORDS[p]), tx.match_spans(low, OTHER_PARTY_PHRASES[p], OTHER_PARTY_NEEDS[p])))
 
         return F.when(party == "D", of("D")).when(party == "R", of("R")).otherwise(tx.merge_spans(idioms))
 
     def misconduct_spans(self, text: Column, toks: Column | None = None) -> Column:
         """Accepted misconduct spans. With the text's tokens, texts without any term skip the span work."""
-        spans = tx.without_overlaps(tx.lexicon_spans(self.misconduct, text), text, MISCONDUCT_EXCLUSIONS)
+        spans = tx.without_overlaps(tx.lexicon_spans(self.misconduct, text), text, MISCONDUCT_EXCLUSIONS, MISCONDUCT_NEEDS)
         spans = tx.unnegated(spans, text, NEGATION, COORDINATION)
         if toks is None:
             return spans
@@ -110,29 +116,29 @@ class Scorer:
         return (
             tx.count_hits(self.courtesy, text, toks)
             + tx.count_hits(self.gratitude, text, toks)
-            + tx.count_hits_excluding(self.cooperation, text, toks, COOPERATION_EXCLUSIONS)
+            + tx.count_hits_excluding(self.cooperation, text, toks, COOPERATION_EXCLUSIONS, COOPERATION_NEEDS)
         )
 
     def attack(self, text: Column, toks: Column) -> Column:
-        return tx.count_hits_excluding(self.hostility, text, toks, HOSTILITY_EXCLUSIONS)
+        return tx.count_hits_excluding(self.hostility, text, toks, HOSTILITY_EXCLUSIONS, HOSTILITY_NEEDS)
 
     def profanity_counts(self, low: Column, toks: Column) -> dict[str, Column]:
         """Hits of the mild tier, less its exclusions, and of the strong tier."""
         return {
-            "profanity_mild": tx.count_hits_excluding(self.profanity["mild"], low, toks, MILD_EXCLUSIONS),
+            "profanity_mild": tx.count_hits_excluding(self.profanity["mild"], low, toks, MILD_EXCLUSIONS, MILD_NEEDS),
             "profanity_strong": tx.count_hits(self.profanity["strong"], low, toks),
         }
 
     def signal_spans(self, low: Column, party: Column) -> dict[str, Column]:
         """Accepted spans of each signal, for sampling."""
-        clean = lambda lex, exclusions: tx.without_overlaps(tx.lexicon_spans(lex, low), low, exclusions)
+        clean = lambda lex, exclusions, needs: tx.without_overlaps(tx.lexicon_spans(lex, low), low, exclusions, needs)
         return {
             "formal_courtesy": tx.lexicon_spans(self.courtesy, low),
             "gratitude_praise": tx.lexicon_spans(self.gratitude, low),
-            "cooperation": clean(self.cooperation, COOPERATION_EXCLUSIONS),
-            "personal_attack": clean(self.hostility, HOSTILITY_EXCLUSIONS),
+            "cooperation": clean(self.cooperation, COOPERATION_EXCLUSIONS, COOPERATION_NEEDS),
+            "personal_attack": clean(self.hostility, HOSTILITY_EXCLUSIONS, HOSTILITY_NEEDS),
             "misconduct_allegation": self.misconduct_spans(low),
-            "profanity": F.array_sort(F.concat(clean(self.profanity["mild"], MILD_EXCLUSIONS), tx.lexicon_spans(self.profanity["strong"], low))),
+            "profanity": F.array_sort(F.concat(clean(self.profanity["mild"], MILD_EXCLUSIONS, MILD_NEEDS), tx.lexicon_spans(self.profanity["strong"], low))),
             "identity_slur": tx.lexicon_spans(self.profanity["slurs"], low),
             "outparty_target": self.outgroup_spans(low, party),
         }
@@ -168,7 +174,7 @@ def _steps(scorer: Scorer, text: str, party: str) -> tuple[dict[str, Column], ..
     made = {
         "formal_courtesy_hits": tx.count_hits(scorer.courtesy, low, tok),
         "gratitude_praise_hits": tx.count_hits(scorer.gratitude, low, tok),
-        "cooperation_hits": tx.count_hits_excluding(scorer.cooperation, low, tok, COOPERATION_EXCLUSIONS),
+        "cooperation_hits": tx.count_hits_excluding(scorer.cooperation, low, tok, COOPERATION_EXCLUSIONS, COOPERATION_NEEDS),
         "hostility_hits": scorer.attack(low, tok),
         "misconduct_hits": F.size(scorer.misconduct_spans(low, tok)),
         "ideological_label_hits": tx.count_hits(scorer.labels, low, tok),

@@ -10,8 +10,10 @@ running maximum, and text is cut from blocks, as a substring walks the text from
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +36,11 @@ def tokens(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
+def holds(text: Column, needs: Iterable[str]) -> Column:
+    """Whether the text has any of these literals. They are searched as bytes, at a fraction of the cost of a pattern."""
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(x)) for x in needs])
+
+
 def _in(word: Column, words) -> Column:
     return word.isin(*sorted(words)) if words else F.lit(False)
 
@@ -49,14 +56,19 @@ def count_hits(lexicon: Lexicon, low: Column, toks: Column) -> Column:
         return words
     if not lexicon.words:
         return F.regexp_count(low, F.lit(lexicon.phrases))
-    added = F.aggregate(F.regexp_extract_all(low, F.lit(lexicon.phrases), F.lit(0)), F.lit(0), lambda n, m: n + 1 - count_tokens(tokens(m), lexicon.words))
-    return words + added
+    # All matches' words are counted at once: no token crosses the blanks between them.
+    added = lambda found: F.size(found) - count_tokens(tokens(F.array_join(found, " ")), lexicon.words)
+    return words + let(F.regexp_extract_all(low, F.lit(lexicon.phrases), F.lit(0)), added)
 
 
-def count_hits_excluding(lexicon: Lexicon, low: Column, toks: Column, exclusions: str) -> Column:
-    """Hits less exclusion matches, never below 0; the exclusions are only looked for where there are hits."""
-    net = lambda hits: F.when(hits > 0, F.greatest(F.lit(0), hits - F.regexp_count(low, F.lit(exclusions)))).otherwise(0)
-    return let(count_hits(lexicon, low, toks), net)
+def count_hits_excluding(lexicon: Lexicon, low: Column, toks: Column, exclusions: str, needs: Iterable[str] = ()) -> Column:
+    """Hits less exclusion matches, never below 0; the exclusions are only looked for where there are hits.
+
+    ``needs``: literals of which every exclusion match has one; texts without any are not searched.
+    """
+    excluded = F.regexp_count(low, F.lit(exclusions))
+    excluded = F.when(holds(low, needs), excluded).otherwise(0) if needs else excluded
+    return let(count_hits(lexicon, low, toks), lambda hits: F.when(hits > 0, F.greatest(F.lit(0), hits - excluded)).otherwise(0))
 
 
 def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
@@ -97,26 +109,29 @@ def in_blocks(text: Column, use: Callable[[Blocks], Column]) -> Column:
     return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b: use(Blocks(b)))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Spans of all matches of a pattern that never matches the empty string."""
+def match_spans(text: Column, pattern: str, needs: Iterable[str] = ()) -> Column:
+    """Spans of all matches of a pattern that never matches the empty string; each match has one of the literals ``needs``, if given."""
     if not pattern:
         return no_spans()
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     pairs = F.filter(F.zip_with(gaps, lengths, lambda g, n: F.struct((g + n).alias("step"), n.alias("n"))), lambda p: p["n"].isNotNull())
     placed = lambda p: F.zip_with(p, running_sum(F.transform(p, lambda x: x["step"])), lambda x, en: F.struct((en - x["n"]).alias("st"), en.alias("en")))
-    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(no_spans())  # most texts have no match: one pass, nothing made
+    some = holds(text, needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(some, let(pairs, placed)).otherwise(no_spans())  # most texts have no match: one pass, nothing made
 
 
 def token_pattern(words) -> str:
-    """Matches exactly the tokens in ``words``: no letter, digit or joined part before or after."""
-    joined = "|".join(sorted((re.sub(r"([^A-Za-z0-9_’])", r"\\\1", w) for w in words), key=lambda w: (-len(w), w)))
-    return rf"(?<![a-z0-9])(?<![a-z0-9][-'’])(?:{joined})(?![a-z0-9])(?![-'’][a-z0-9])"
+    """Matches exactly the tokens in ``words``: no letter, digit or joined part before or after. First letters are looked at first, as that is cheap."""
+    quote = lambda w: re.sub(r"([^A-Za-z0-9_’])", r"\\\1", w)
+    joined = "|".join(sorted(map(quote, words), key=lambda w: (-len(w), w)))
+    first = "".join(sorted({quote(w[0]) for w in words}))
+    return rf"(?=[{first}])(?<![a-z0-9])(?<![a-z0-9][-'’])(?:{joined})(?![a-z0-9])(?![-'’][a-z0-9])"
 
 
-def token_spans(text: Column, words) -> Column:
+def token_spans(text: Column, words, needs: Iterable[str] = ()) -> Column:
     """Spans of the tokens in ``words``."""
-    return match_spans(text, token_pattern(words)) if words else no_spans()
+    return match_spans(text, token_pattern(words), needs) if words else no_spans()
 
 
 def _swept(spans: Column, others: Column, at: str, others_first: bool, keep: Callable[[Column, Column], Column]) -> Column:
@@ -152,11 +167,11 @@ def lexicon_spans(lexicon: Lexicon, text: Column) -> Column:
     return let(F.struct(phrases.alias("p"), words.alias("w")), both)
 
 
-def without_overlaps(spans: Column, text: Column, exclusions: str) -> Column:
-    """The spans that overlap no exclusion match."""
+def without_overlaps(spans: Column, text: Column, exclusions: str, needs: Iterable[str] = ()) -> Column:
+    """The spans that overlap no exclusion match; each of those has one of the literals ``needs``, if given."""
     clear = lambda b: _swept(b["s"], b["x"], "en", False, lambda s, reach: reach <= s["st"])
     both = lambda b: F.when((F.size(b["s"]) == 0) | (F.size(b["x"]) == 0), b["s"]).otherwise(clear(b))
-    return let(F.struct(spans.alias("s"), match_spans(text, exclusions).alias("x")), both)
+    return let(F.struct(spans.alias("s"), match_spans(text, exclusions, needs).alias("x")), both)
 
 
 def merge_spans(spans: Column, touching: bool = False) -> Column:
